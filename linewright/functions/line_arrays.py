@@ -66,9 +66,13 @@ def rewritten(
     """Replace hit lines: all of them, or only the one at 1-based ``only_at``."""
     if only_at is None:
         return F.transform(lines, lambda line: F.when(test(line), new(line)).otherwise(line))
-    return F.transform(
+    # Asking for a hit first skips documents without one. It also reads ``only_at`` twice,
+    # and Catalyst then keeps it a column of its own instead of moving the search for the
+    # first hit into the lambda, where it would run once per line.
+    changed = F.transform(
         lines, lambda line, i: F.when(i + 1 == only_at, new(line)).otherwise(line)
     )
+    return F.when(only_at > 0, changed).otherwise(lines)
 
 
 def with_block_at(lines: Column, at: Column, marker: str, block: Sequence[str]) -> Column:

@@ -54,29 +54,27 @@ def _fold_parents(parts: Column, absolute: Column) -> Column:
     return F.when(F.array_contains(parts, ".."), folded).otherwise(parts)
 
 
-def normal_path(joined: Column) -> Column:
-    """Collapse slashes, drop ``.`` and resolve ``..``.
+def real_parts(joined: Column) -> Column:
+    """The parts of a path that count: neither empty nor ``.``."""
+    return F.filter(F.split(joined, "/"), lambda s: ~s.isin("", "."))
 
-    Exactly two leading slashes stay two, as POSIX asks.
+
+def normal_path(joined: Column, parts: Column) -> Column:
+    """Collapse slashes, drop ``.`` and resolve ``..``; ``parts`` = ``real_parts(joined)``.
+
+    Exactly two leading slashes stay two, as POSIX asks. Both arguments should be
+    plain columns, since they are read from a lambda.
     """
+    rooted = F.startswith(joined, F.lit("/"))
     root = (
         F.when(F.rlike(joined, F.lit(r"\A//(?!/)")), F.lit("//"))
-        .when(F.startswith(joined, F.lit("/")), F.lit("/"))
+        .when(rooted, F.lit("/"))
         .otherwise(F.lit(""))
     )
-    parts = F.filter(F.split(joined, "/"), lambda s: ~s.isin("", "."))
-    body = F.array_join(_fold_parents(parts, F.startswith(joined, F.lit("/"))), "/")
-    full = F.concat(root, body)
+    full = F.concat(root, F.array_join(_fold_parents(parts, rooted), "/"))
     return F.when(full == "", F.lit(".")).otherwise(full)
 
 
-def absolute_path(path: Column, cwd: Column) -> Column:
-    """``path`` seen from ``cwd``, normalised; pass-through URIs unchanged."""
-    return F.when(F.startswith(path, F.lit(PASS_THROUGH)), path).otherwise(
-        normal_path(join_path(path, cwd))
-    )
-
-
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

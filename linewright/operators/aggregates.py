@@ -28,7 +28,7 @@ def ordered_concat(
     no task ever holds more than a part.
     """
     ranked = group_rank(df.select(*dict.fromkeys([*group, *order, value])), group, order, "_no", max_rows)
-    cut = ranked.withColumn("part", F.floor((F.col("_no") - 1) / part_size).cast("bigint"))
+    cut = ranked.withColumn("part", F.expr(f"(_no - 1) div {int(part_size)}"))
     pairs = F.sort_array(F.collect_list(F.struct("_no", F.col(value).cast("string").alias("_v"))))
     return cut.groupBy(*group, "part").agg(
         F.count(F.lit(1)).alias("n_values"),

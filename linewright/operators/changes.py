@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.plans.ranking import sorted_runs
-from linewright.plans.sizing import HOT_ROWS, fits_broadcast, split_hot
+from linewright.plans.ranking import with_previous
+from linewright.plans.sizing import HOT_ROWS
 
 
 def change_log(
@@ -21,58 +21,9 @@ def change_log(
     """Rows whose value differs from the row before, per key: adds ``prev``.
 
     The first row of a key is the initial set and is not reported. NULL is a value:
-    going to or from it is a change. ``order`` should be unique per key.
-
-    Ordinary keys take one window. Keys above ``max_rows`` rows are cut into sorted runs
-    over many tasks; each run then learns the last value of the run before.
+    going to or from it is a change. ``order`` should be unique per key. Keys above
+    ``max_rows`` rows are spread over many tasks.
     """
-    by = Window.partitionBy(*key).orderBy(*order)
-    cold, hot = split_hot(df, key, max_rows)
-    logged = _changed(
-        cold.withColumns({"prev": F.lag(value).over(by), "_first": F.row_number().over(by) == 1}),
-        df.columns,
-        value,
-    )
-    return logged if hot is None else logged.unionByName(_hot_changes(hot, key, order, value))
-
-
-def _changed(df: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
+    seen = with_previous(df, key, order, value, max_rows)
     differs = ~F.col(value).eqNullSafe(F.col("prev"))
-    return df.filter(~F.col("_first") & differs).select(*columns, "prev")
-
-
-def _hot_changes(
-    hot: DataFrame, key: Sequence[str], order: Sequence[str], value: str
-) -> DataFrame:
-    runs = sorted_runs(hot, [*key, *order], "changes")
-    # One row per key and run; the order is by key first, so that is at most
-    # (hot keys + runs) rows.
-    ends = runs.groupBy(*key, "_run").agg(
-        F.min("_row").alias("_start"), F.max_by(F.col(value), F.col("_row")).alias("_last")
-    )
-    earlier = Window.partitionBy(*key).orderBy("_run")
-    carried = ends.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-        F.col("_run").alias("_piece"),
-        F.col("_start"),
-        F.lag("_last").over(earlier).alias("_carry"),
-        (F.row_number().over(earlier) == 1).alias("_opening"),
-    )
-    carried = F.broadcast(carried) if fits_broadcast(carried) else carried
-    same = F.col("_run") == F.col("_piece")
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy("_run", *key).orderBy("_row")
-    seen = runs.join(carried, same).withColumns(
-        {"_at_start": F.col("_row") == F.col("_start"), "_before": F.lag(value).over(inside)}
-    )
-    return _changed(
-        seen.withColumns(
-            {
-                "prev": F.when(F.col("_at_start"), F.col("_carry")).otherwise(F.col("_before")),
-                "_first": F.col("_at_start") & F.col("_opening"),
-            }
-        ),
-        hot.columns,
-        value,
-    )
+    return seen.filter(~F.col("is_first") & differs).drop("is_first")

@@ -63,13 +63,21 @@ def token_profile(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
 
 def path_profile(df: DataFrame, column: str, cwd: Column) -> DataFrame:
     """Add ``abs_path``, ``base``, ``parent`` and ``leaf`` of a path seen from ``cwd``."""
-    full = df.withColumn("abs_path", paths.absolute_path(F.col(column), cwd))
-    return full.withColumns(
-        {
-            "base": paths.base_name(F.col("abs_path")),
-            "parent": paths.dir_name(F.col("abs_path")),
-            "leaf": paths.leaf_name(F.col("abs_path")),
-        }
+    path = F.col(column)
+    joined = df.withColumn("_joined", paths.join_path(path, cwd))
+    cut = joined.withColumn("_parts", paths.real_parts(F.col("_joined")))
+    full = cut.withColumn(
+        "abs_path",
+        F.when(F.startswith(path, F.lit(paths.PASS_THROUGH)), path).otherwise(
+            paths.normal_path(F.col("_joined"), F.col("_parts"))
+        ),
+    )
+    return full.select(
+        *df.columns,
+        "abs_path",
+        paths.base_name(F.col("abs_path")).alias("base"),
+        paths.dir_name(F.col("abs_path")).alias("parent"),
+        paths.leaf_name(F.col("abs_path")).alias("leaf"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions.text import full_match
 from linewright.operators.filters import SPEC_LIST, SPEC_RANGE
+from linewright.plans.ranking import EARLY_CUT, group_rank
 from linewright.plans.sizing import fits_broadcast, sized_join
 
 # A range is opened in two steps, so no row ever holds an array of the whole range.
@@ -43,9 +44,10 @@ def expand_specs(specs: DataFrame, spec: str = "spec") -> DataFrame:
             F.sequence(F.col("_lo"), F.col("_hi"), step),
         ).when(F.col("_list"), F.array(F.lit(0).cast("bigint"))),
     )
+    # The outer form keeps Catalyst from inferring a filter that matches specs twice.
     block = blocks.select(
-        *specs.columns, "_list", "_stem", "_lo", "_hi", F.explode("_blocks").alias("_block")
-    )
+        *specs.columns, "_list", "_stem", "_lo", "_hi", F.explode_outer("_blocks").alias("_block")
+    ).filter("_block IS NOT NULL")
     top = F.least(F.col("_block") + step - 1, F.col("_hi"))
     hosts = F.when(F.col("_list"), F.split(value, ",")).otherwise(
         F.transform(
@@ -210,7 +212,11 @@ def prefix_complete(
     window = Window.partitionBy("_head").orderBy("_line")
 
     def best(df: DataFrame) -> DataFrame:
-        return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k)
+        if k > EARLY_CUT:
+            ranked = group_rank(df, ["_head"], ["_line"], "_rank")
+        else:
+            ranked = df.withColumn("_rank", F.row_number().over(window))
+        return ranked.filter(F.col("_rank") <= k)
 
     if fits_broadcast(asked):
         found = best(heads.join(F.broadcast(asked), "_head"))

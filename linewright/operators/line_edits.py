@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions import line_arrays as la
-from linewright.functions.text import line_test, quoted
+from linewright.functions.text import LineTest, line_test, quoted
 from linewright.sources.lines import unpacked
 
 
@@ -34,23 +34,19 @@ def grep_context(
 ) -> DataFrame:
     """Hit lines with the lines around them: other columns, ``pos``, ``line``, ``is_hit``.
 
-    Work follows the number of hits. Overlapping surroundings give each line once.
+    Lines are only copied out near hits. Overlapping surroundings give each line once.
+    For a literal, ``packed(.., holding=literal)`` skips other texts before the split.
     """
     test = line_test(pattern, literal, ignore_case)
     others = [c for c in df.columns if c != "lines"]
-    hits = df.withColumn("_hits", la.hit_places(F.col("lines"), test)).filter(F.size("_hits") > 0)
-    near = hits.withColumn(
-        "_near", la.places_around(F.col("_hits"), F.size("lines"), before, after)
+    places = la.places_around(
+        la.hit_places(F.col("lines"), test), F.size("lines"), before, after
     )
-    rows = near.select(
-        *others,
-        F.explode_outer(
-            F.transform(
-                "_near",
-                lambda p: F.struct(p.alias("pos"), F.get(F.col("lines"), p).alias("line")),
-            )
-        ).alias("_row"),
+    near = F.transform(
+        places, lambda p: F.struct(p.alias("pos"), F.get(F.col("lines"), p).alias("line"))
     )
+    # Outer, as in ``unpacked``: no inferred filter that would do the search twice.
+    rows = df.select(*others, F.explode_outer(near).alias("_row")).filter("_row IS NOT NULL")
     return rows.select(*others, "_row.pos", "_row.line").withColumn("is_hit", test(F.col("line")))
 
 
@@ -110,7 +106,7 @@ def cut_between_markers(
     )
     # Seen backwards from the end line, the nearest start line is the last one before it.
     back = F.array_position(
-        F.reverse(F.slice("_starts", F.lit(1), F.col("_first") + F.col("_end") - 1)), True
+        F.reverse(F.slice("_starts", F.lit(1), F.greatest(F.col("_first") + F.col("_end") - 1, F.lit(0)))), True
     ).cast("int")
     kept = F.col("_first") + F.col("_end") - back
     edited = la.with_gap(lines, kept, F.col("_first") + F.col("_end"), block)
@@ -127,6 +123,21 @@ def env_block(name: str, home: str, *relative: str) -> list[str]:
     ]
 
 
+def stale_line(name: str, broad: bool = False) -> LineTest:
+    """Test for the lines of the block of ``name`` (see ``block_upsert``)."""
+    if name[:1].isdigit():
+        raise ValueError(f"a name cannot start with a digit: {name}")
+    if broad:
+        return line_test(name, literal=True)
+    name = name.upper()
+    tests = [
+        line_test(rf"^#\s+\b{quoted(name)}\b"),
+        line_test(f"export {name}=", literal=True),
+        line_test(f"${name}", literal=True),
+    ]
+    return lambda line: tests[0](line) | tests[1](line) | tests[2](line)
+
+
 def block_upsert(
     df: DataFrame, name: str, block: Sequence[str], broad: bool = False
 ) -> DataFrame:
@@ -137,24 +148,7 @@ def block_upsert(
     ``broad`` drops every line that holds the name. Then a blank line, the block, and
     runs of blanks collapsed.
     """
-    if name[:1].isdigit():
-        raise ValueError(f"a name cannot start with a digit: {name}")
-    if broad:
-        tests = [line_test(name, literal=True)]
-    else:
-        name = name.upper()
-        tests = [
-            line_test(rf"^#\s+\b{quoted(name)}\b"),
-            line_test(f"export {name}=", literal=True),
-            line_test(f"${name}", literal=True),
-        ]
-
-    def stale(line: Column) -> Column:
-        hit = tests[0](line)
-        for test in tests[1:]:
-            hit = hit | test(line)
-        return hit
-
+    stale = stale_line(name, broad)
     kept = df.withColumn("lines", F.filter("lines", lambda line: ~stale(line)))
     last = F.get(F.col("lines"), F.size("lines") - 1)
     gap = F.when(last != "", la.literal_lines(["", ""])).otherwise(la.literal_lines([]))

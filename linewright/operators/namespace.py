@@ -14,8 +14,10 @@ def _prefixes(parts: Column, depth: Column) -> Column:
 
 def _levels(df: DataFrame, location: Column) -> DataFrame:
     """One row per path and depth (from 1): ``_parts`` and ``depth``."""
-    cut = df.select(segments(location).alias("_parts")).filter(F.size("_parts") > 0)
-    return cut.select("_parts", F.explode(F.sequence(F.lit(1), F.size("_parts"))).alias("depth"))
+    cut = df.select(segments(location).alias("_parts"))
+    depths = F.when(F.size("_parts") > 0, F.sequence(F.lit(1), F.size("_parts")))
+    # The outer form keeps Catalyst from inferring a size filter that cuts paths twice.
+    return cut.select("_parts", F.explode_outer(depths).alias("depth")).filter("depth IS NOT NULL")
 
 
 def namespace_listing(df: DataFrame, location: Column) -> DataFrame:

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions.text import line_test
 from linewright.operators.filters import grep_lines
-from linewright.plans.ranking import global_rank, group_rank
-
-# Up to this many rows per group Spark cuts each task's share before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-EARLY_CUT = 1000
+from linewright.plans.ranking import EARLY_CUT, global_rank, group_rank
 
 
 def sort_lines(
@@ -21,9 +17,10 @@ def sort_lines(
 ) -> DataFrame:
     """Lines in code point order, a range exchange. ``rank`` adds the 1-based place.
 
-    ``ties`` order equal lines, and let a line that is very frequent spread over tasks.
+    Equal lines are ordered by ``ties`` and then by the other columns, which also lets a
+    very frequent line spread over tasks.
     """
-    by = [line, *ties]
+    by = list(dict.fromkeys([line, *ties, *df.columns]))
     return df.orderBy(*by) if rank is None else global_rank(df, by, rank)
 
 

@@ -15,17 +15,25 @@ from pyspark.sql import functions as F
 from linewright.plans.scratch import written
 from linewright.plans.sizing import HOT_ROWS, fits_broadcast, split_hot
 
+# Up to this many rows per group Spark cuts each task's share of a ``row_number() <= n``
+# before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold), so that a hot group
+# is small by then.
+EARLY_CUT = 1000
+
 # monotonically_increasing_id keeps the partition above bit 33 and the row below it.
 _ROW_BITS = 33
 
 
-def sorted_runs(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
+def sorted_runs(
+    df: DataFrame, by: Sequence[str], label: str, n_runs: int | None = None
+) -> DataFrame:
     """Rows in even sorted runs, with ``_run`` and ``_row`` (0-based in the run).
 
     ``by`` should be unique per row: then no single value, however frequent, can
-    fill one run.
+    fill one run. ``n_runs`` defaults to the shuffle partitions of the session.
     """
-    runs = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    spread = df.repartitionByRange(n_runs, *by) if n_runs else df.repartitionByRange(*by)
+    runs = spread.sortWithinPartitions(*by)
     table = written(runs.withColumn("_id", F.monotonically_increasing_id()), label)
     return table.select(
         *df.columns,
@@ -66,12 +74,12 @@ def group_rank(
     runs over many tasks.
     """
     window = Window.partitionBy(*group).orderBy(*by)
-    cold, hot = split_hot(df, group, max_rows)
+    cold, hot, n_runs = split_hot(df, group, max_rows)
     ranked = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
     if hot is None:
         return ranked
 
-    runs = sorted_runs(hot, [*group, *by], "group-rank")
+    runs = sorted_runs(hot, [*group, *by], "group-rank", n_runs)
     # At most (hot groups + runs) rows: the order is sorted by group first.
     pieces = runs.groupBy(*group, "_run").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_start")
@@ -94,3 +102,53 @@ def group_rank(
         *df.columns, (F.col("_row") + F.col("_shift") + 1).cast("bigint").alias(name)
     )
     return ranked.unionByName(spread)
+
+
+def with_previous(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    max_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``prev``, the value of the row before in its group, and ``is_first``.
+
+    ``order`` should be unique in the group. Ordinary groups take one window. Groups
+    above ``max_rows`` rows are cut into sorted runs over many tasks; each run then
+    learns the last value of the run before.
+    """
+    by = Window.partitionBy(*key).orderBy(*order)
+    cold, hot, n_runs = split_hot(df, key, max_rows)
+    seen = cold.withColumns(
+        {"prev": F.lag(value).over(by), "is_first": F.row_number().over(by) == 1}
+    )
+    if hot is None:
+        return seen
+
+    runs = sorted_runs(hot, [*key, *order], "previous", n_runs)
+    # At most (hot groups + runs) rows, as in group_rank.
+    ends = runs.groupBy(*key, "_run").agg(
+        F.min("_row").alias("_start"), F.max_by(F.col(value), F.col("_row")).alias("_last")
+    )
+    earlier = Window.partitionBy(*key).orderBy("_run")
+    carried = ends.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
+        F.col("_run").alias("_piece"),
+        F.col("_start"),
+        F.lag("_last").over(earlier).alias("_carry"),
+        (F.row_number().over(earlier) == 1).alias("_opening"),
+    )
+    carried = F.broadcast(carried) if fits_broadcast(carried) else carried
+    same = F.col("_run") == F.col("_piece")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy("_run", *key).orderBy("_row")
+    at_start = F.col("_row") == F.col("_start")
+    spread = runs.join(carried, same).withColumn("_before", F.lag(value).over(inside))
+    return seen.unionByName(
+        spread.select(
+            *df.columns,
+            F.when(at_start, F.col("_carry")).otherwise(F.col("_before")).alias("prev"),
+            (at_start & F.col("_opening")).alias("is_first"),
+        )
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
+MOST_RUNS = 10_000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -55,23 +56,28 @@ def sized_join(
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], max_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Split ``df`` into rows of ordinary keys and rows of hot keys.
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Split ``df`` into rows of ordinary keys, rows of hot keys, and a number of runs.
 
     A key is hot above ``max_rows`` rows. Counting combines on the map side, so hot
     keys do not hurt here. There are at most ``rows / max_rows`` hot keys, and their
     list is measured before it is broadcast. Without hot keys the second part is None.
+    The number says into how many runs the hot rows should be cut: about ``max_rows``
+    rows each, within what one range exchange can plan.
     """
     from linewright.plans.scratch import written
 
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    hot = counted.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)])
+    hot = counted.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)], "_n")
     if hot.isEmpty():
-        return df, None
+        return df, None, 0
     hot = written(hot, "hot-keys")
+    rows = hot.agg(F.sum("_n")).first()[0]
+    n_runs = min(MOST_RUNS, rows // max_rows + 1)
+    hot = hot.drop("_n")
     if fits_broadcast(hot):
         hot = F.broadcast(hot)
     same = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot{i}")) for i, k in enumerate(keys)]
     )
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi"), n_runs

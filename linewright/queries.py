@@ -18,9 +18,11 @@ from linewright.operators import (
     filters,
     joins,
     line_edits,
+    line_rows,
     namespace,
     ordering,
 )
+from linewright.plans import ranking
 from linewright.plans.scratch import scratch_path
 from linewright.sources import lines, listing, sinks
 from linewright.streaming import changes as live
@@ -68,6 +70,27 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_lines(spark, sf_dir)
 
 
+@bind(
+    """
+SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos,
+       concat(lpad(CAST(event_id AS VARCHAR), 12, '0'), ' ', event_type) AS line
+FROM events
+"""
+)
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sorted text files; files in name order make one sequence of lines."""
+    number = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    out = scratch_path(spark, "text")
+    table(spark, sf_dir, "events").select(
+        F.concat(number, F.lit(" "), "event_type").alias("line")
+    ).orderBy("line").write.text(out)
+    found = lines.scan_files(spark, out)
+    # part-00000.., in order: a line's place over all files is the rank of (path, pos).
+    return ranking.global_rank(found, ["path", "pos"], "rank").select(
+        (F.col("rank") - 1).alias("pos"), "line"
+    )
+
+
 @bind(
     """
 SELECT CAST(0 AS BIGINT) AS src_no, 'documents' AS src, doc_id AS a, CAST(0 AS BIGINT) AS b, text
@@ -777,7 +800,8 @@ def change_log_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, pos, line, contains(line, '@') AS is_hit FROM h WHERE near = 1"""
 )
 def grep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_edits.grep_context(doc_arrays(spark, sf_dir), "@", literal=True)
+    arrays = lines.packed(table(spark, sf_dir, "documents"), ["doc_id"], holding="@")
+    return line_edits.grep_context(arrays, "@", literal=True)
 
 
 @bind(
@@ -856,8 +880,9 @@ def cut_between_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, doc_id, pos, line FROM k WHERE no = 1"""
 )
 def kth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
     return ordering.kth_match(
-        doc_lines(spark, sf_dir, "source"),
+        lines.line_scan(documents, ["source", "doc_id"], holding="token"),
         ["source"],
         ["doc_id", "pos"],
         "token",
@@ -866,6 +891,59 @@ def kth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- the same edits on line rows ---------------------------------------------------
+
+
+def _same_as(name: str) -> Callable[[Query], Query]:
+    """Bind to the SQL of another query; row operators have bigint positions."""
+    sql = BINDINGS[name][1]
+    assert sql is not None
+    return bind(sql.replace("CAST(row_number()", "(row_number()").replace("- 1 AS INTEGER)", "- 1)"))
+
+
+@bind(
+    LINES_SQL
+    + """
+, k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM l)
+SELECT doc_id, pos, line FROM k WHERE prev IS DISTINCT FROM line"""
+)
+def collapse_repeats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rows.collapse_repeats(
+        doc_lines(spark, sf_dir), ["doc_id"], lambda a, b: a == b, max_rows=500
+    )
+
+
+@_same_as("grep_context")
+def grep_context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rows.grep_context(doc_lines(spark, sf_dir), ["doc_id"], "@", literal=True)
+
+
+@_same_as("rewrite_lines")
+def rewrite_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rows.rewrite_first(doc_lines(spark, sf_dir), ["doc_id"], "the", "THE")
+
+
+@_same_as("insert_before_marker")
+def insert_before_marker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rows.insert_before_marker(
+        doc_lines(spark, sf_dir), ["doc_id"], "Licens", ["# before"]
+    )
+
+
+@_same_as("cut_between_markers")
+def cut_between_markers_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rows.cut_between_markers(
+        doc_lines(spark, sf_dir), ["doc_id"], "The", "And", ["# cut"]
+    )
+
+
+@_same_as("block_upsert_broad")
+def block_upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rows.block_upsert(
+        doc_lines(spark, sf_dir), ["doc_id"], "License", ["# License"], broad=True
+    )
+
+
 # --- sort and limit --------------------------------------------------------------
 
 
