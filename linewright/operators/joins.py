@@ -136,9 +136,8 @@ def keyed_upsert(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> D
     Only the distinct keys meet the target, so a key with many update rows is small.
     """
     keys = updates.select(*key).distinct()
-    return sized_join(target, keys, list(key), "left_anti").select(*target.columns).unionByName(
-        updates
-    )
+    kept = sized_join(target, keys, list(key), "left_anti")
+    return kept.select(*target.columns).unionByName(updates)
 
 
 def member_filter(

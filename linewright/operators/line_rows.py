@@ -19,16 +19,20 @@ from linewright.functions.line_arrays import blank_repeat, literal_lines
 from linewright.functions.text import line_test
 from linewright.operators.line_edits import stale_line
 from linewright.plans.ranking import group_rank, with_previous
+from linewright.plans.scratch import written
 from linewright.plans.sizing import HOT_ROWS, sized_join
 
 
-def _per_document(df: DataFrame, per_doc: DataFrame, doc: Sequence[str]) -> DataFrame:
+def _per_document(
+    df: DataFrame, per_doc: DataFrame, doc: Sequence[str], write_first: bool = False
+) -> DataFrame:
     """Add the columns of ``per_doc``, one row per document, NULL where it has none."""
     right, same = per_doc, F.lit(True)
     for i, c in enumerate(doc):
         right = right.withColumnRenamed(c, f"_d{i}")
         same = same & F.col(c).eqNullSafe(F.col(f"_d{i}"))
-    return sized_join(df, right, same, "left").drop(*[f"_d{i}" for i in range(len(doc))])
+    joined = sized_join(df, right, same, "left", write_first=write_first)
+    return joined.drop(*[f"_d{i}" for i in range(len(doc))])
 
 
 def _block_rows(
@@ -76,7 +80,8 @@ def grep_context(
     test = line_test(pattern, literal, ignore_case)
     reach = F.sequence(F.col("pos") - F.lit(before), F.col("pos") + F.lit(after))
     near = df.filter(test(F.col("line"))).select(*doc, F.explode(reach).alias("pos")).distinct()
-    return sized_join(df, near, [*doc, "pos"], "left_semi").withColumn("is_hit", test(F.col("line")))
+    found = sized_join(df, near, [*doc, "pos"], "left_semi", write_first=True)
+    return found.withColumn("is_hit", test(F.col("line")))
 
 
 def rewrite_first(
@@ -87,7 +92,8 @@ def rewrite_first(
     first = df.filter(test(F.col("line"))).groupBy(*doc).agg(F.min("pos").alias("_at"))
     new = F.lit(repl) if whole_line else F.replace(F.col("line"), F.lit(find), F.lit(repl))
     line = F.when(F.col("pos") == F.col("_at"), new).otherwise(F.col("line"))
-    return _per_document(df, first, doc).withColumn("line", line).select(*df.columns)
+    seen = _per_document(df, first, doc, write_first=True)
+    return seen.withColumn("line", line).select(*df.columns)
 
 
 def insert_before_marker(
@@ -98,6 +104,7 @@ def insert_before_marker(
     docs = df.groupBy(*doc).agg(
         F.min(F.when(test(F.col("line")), F.col("pos"))).alias("_at"), F.max("pos").alias("_top")
     )
+    docs = written(docs, "docs")
     after = F.col("pos") >= F.col("_at")
     moved = _per_document(df, docs, doc).select(
         *doc, F.when(after, F.col("pos") + len(block)).otherwise(F.col("pos")).alias("pos"), "line"
@@ -119,6 +126,8 @@ def cut_between_markers(
     marks = df.select(
         *doc, pos, is_start(F.col("line")).alias("_opens"), is_end(F.col("line")).alias("_closes")
     ).filter("_opens OR _closes")
+    # Three passes look at the marks: write them once instead of reading every line again.
+    marks = written(marks, "marks")
     first = marks.filter("_opens").groupBy(*doc).agg(F.min("pos").alias("_first"))
     ends = (
         _per_document(marks.filter("_closes"), first, doc)
@@ -132,6 +141,7 @@ def cut_between_markers(
         .groupBy(*doc)
         .agg(F.max("pos").alias("_start"), F.max("_end").alias("_end"))
     )
+    gaps = written(gaps, "gaps")
     lost = F.col("_end") - F.col("_start") - 1
     kept = _per_document(df, gaps, doc).filter(
         F.col("_end").isNull() | (pos <= F.col("_start")) | (pos >= F.col("_end"))
@@ -158,6 +168,7 @@ def block_upsert(
         F.max("pos").alias("_top"),
         F.max_by(F.when(fresh, F.col("line")), F.when(fresh, F.col("pos"))).alias("_last"),
     )
+    docs = written(docs, "docs")
     gap = docs.filter("_last <> ''")
     grown = reduce(
         DataFrame.unionByName,
@@ -167,4 +178,6 @@ def block_upsert(
             _block_rows(docs, doc, block, F.col("_top") + 3),
         ],
     )
+    # Collapsing and numbering both look for hot documents first, in the key column only.
+    grown = written(grown, "upsert")
     return renumbered(collapse_repeats(grown, doc, max_rows=max_rows), doc, max_rows)

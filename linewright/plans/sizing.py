@@ -43,12 +43,19 @@ def sized_join(
     on: list[str] | Column,
     how: str,
     max_rows: int = BROADCAST_ROWS,
+    write_first: bool = False,
 ) -> DataFrame:
     """Join that broadcasts ``right`` when measured small.
 
     Beyond the bound it is a shuffle join on the key, where adaptive execution splits
     skewed partitions of the left side (inner, left, semi and anti joins all allow it).
+    ``write_first`` is for a ``right`` that takes work to compute: it is written, so that
+    measuring and joining read the result instead of computing it twice.
     """
+    from linewright.plans.scratch import written
+
+    if write_first:
+        right = written(right, "side")
     if fits_broadcast(right, max_rows):
         right = F.broadcast(right)
     return left.join(right, on, how)

@@ -41,29 +41,29 @@ class ChangeStream:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        before = self.last_values(spark, batch.schema, batch_id)
+        # Last values sort before the batch whatever their order columns say.
+        marked = batch.withColumn("_new", F.lit(1))
+        if before is not None:
+            known = self.of_batch(before.drop("_batch"), batch).withColumn("_new", F.lit(0))
+            marked = marked.unionByName(known, allowMissingColumns=True)
+        marked = marked.persist()
         try:
-            before = self.last_values(spark, batch.schema, batch_id)
-            marked = batch.withColumn("_old", F.lit(False))
-            if before is not None:
-                touched = batch.select(
-                    *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)]
-                ).distinct()
-                same = F.lit(True)
-                for i, k in enumerate(self.key):
-                    same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-                known = sized_join(before.drop("_batch"), touched, same, "left_semi")
-                marked = marked.unionByName(
-                    known.withColumn("_old", F.lit(True)), allowMissingColumns=True
-                )
-            # Old values sort before the batch whatever their order columns say.
-            marked = marked.withColumn("_new", (~F.col("_old")).cast("int"))
             log = change_log(marked, self.key, ["_new", *self.order], self.value, self.max_rows)
-            log.drop("_old", "_new").write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-
-            self.write_state(batch, before, batch_id)
+            log.filter("_new = 1").drop("_new").write.mode("overwrite").parquet(
+                f"{self.out}/batch={batch_id}"
+            )
+            self.write_state(marked.filter("_new = 1"), before, batch_id)
         finally:
-            batch.unpersist()
+            marked.unpersist()
+
+    def of_batch(self, before: DataFrame, batch: DataFrame) -> DataFrame:
+        """Last values of the keys that the batch has."""
+        keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)]
+        same = F.lit(True)
+        for i, k in enumerate(self.key):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return sized_join(before, batch.select(*keys).distinct(), same, "left_semi")
 
     def write_state(self, batch: DataFrame, before: DataFrame | None, batch_id: int) -> None:
         """Last value per key: of this batch alone, or now and then of all so far."""

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from oracle import compare, connect
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
