@@ -70,7 +70,7 @@ def spec_expand_join(
 ) -> DataFrame:
     """Rows of ``df`` named by each spec: an equi-join on the expanded host."""
     hosts = expand_specs(specs, spec)
-    return sized_join(hosts, df, F.col("host") == F.col(key), "inner")
+    return sized_join(hosts, df.withColumn("_key", F.col(key)), {"host": "_key"}, "inner")
 
 
 def fan_out(
@@ -105,7 +105,7 @@ def lookup_precedence(
             for s in ("common", "hdfs", "local")
         ]
     )
-    found = sized_join(df, table, F.col(key) == F.col("_name"), "left")
+    found = sized_join(df, table, {key: "_name"}, "left")
     chosen = F.coalesce(
         F.col("_common"), F.when(hdfs_mode, F.col("_hdfs")), F.col("_local")
     )
@@ -136,8 +136,7 @@ def keyed_upsert(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> D
     Only the distinct keys meet the target, so a key with many update rows is small.
     """
     keys = updates.select(*key).distinct()
-    kept = sized_join(target, keys, list(key), "left_anti")
-    return kept.select(*target.columns).unionByName(updates)
+    return sized_join(target, keys, {k: k for k in key}, "left_anti").unionByName(updates)
 
 
 def member_filter(
@@ -147,11 +146,8 @@ def member_filter(
 
     ``on`` maps columns of ``df`` to columns of ``members``. A NULL key is no member.
     """
-    keys = members.select(*[F.col(m).alias(f"_m{i}") for i, m in enumerate(on.values())]).distinct()
-    same = F.lit(True)
-    for i, c in enumerate(on):
-        same = same & (F.col(c) == F.col(f"_m{i}"))
-    return sized_join(df, keys, same, "left_anti" if negate else "left_semi")
+    keys = members.select(*on.values()).distinct()
+    return sized_join(df, keys, on, "left_anti" if negate else "left_semi")
 
 
 def sync_delta(src: DataFrame, dst: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -27,12 +27,9 @@ def _per_document(
     df: DataFrame, per_doc: DataFrame, doc: Sequence[str], write_first: bool = False
 ) -> DataFrame:
     """Add the columns of ``per_doc``, one row per document, NULL where it has none."""
-    right, same = per_doc, F.lit(True)
-    for i, c in enumerate(doc):
-        right = right.withColumnRenamed(c, f"_d{i}")
-        same = same & F.col(c).eqNullSafe(F.col(f"_d{i}"))
-    joined = sized_join(df, right, same, "left", write_first=write_first)
-    return joined.drop(*[f"_d{i}" for i in range(len(doc))])
+    return sized_join(
+        df, per_doc, {c: c for c in doc}, "left", null_safe=True, write_first=write_first
+    )
 
 
 def _block_rows(
@@ -80,7 +77,9 @@ def grep_context(
     test = line_test(pattern, literal, ignore_case)
     reach = F.sequence(F.col("pos") - F.lit(before), F.col("pos") + F.lit(after))
     near = df.filter(test(F.col("line"))).select(*doc, F.explode(reach).alias("pos")).distinct()
-    found = sized_join(df, near, [*doc, "pos"], "left_semi", write_first=True)
+    found = sized_join(
+        df, near, {c: c for c in [*doc, "pos"]}, "left_semi", null_safe=True, write_first=True
+    )
     return found.withColumn("is_hit", test(F.col("line")))
 
 

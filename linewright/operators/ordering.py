@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linewright.functions.text import line_test
 from linewright.operators.filters import grep_lines
 from linewright.plans.ranking import EARLY_CUT, global_rank, group_rank
+from linewright.plans.sizing import sized_join
 
 
 def sort_lines(
@@ -63,14 +64,9 @@ def head_tail(
     if end == "head":
         return ranked.filter(F.col("rank") <= n)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    same = F.lit(True)
-    for i, g in enumerate(group):
-        sizes = sizes.withColumnRenamed(g, f"_g{i}")
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    sized = sized_join(ranked, sizes, {g: g for g in group}, "inner", null_safe=True)
     back = F.col("_size") - F.col("rank") + 1
-    return ranked.join(sizes, same).withColumn("rank", back).filter(F.col("rank") <= n).select(
-        *df.columns, "rank"
-    )
+    return sized.withColumn("rank", back).filter(F.col("rank") <= n).select(*df.columns, "rank")
 
 
 def kth_match(

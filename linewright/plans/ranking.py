@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.plans.scratch import written
-from linewright.plans.sizing import HOT_ROWS, fits_broadcast, split_hot
+from linewright.plans.sizing import HOT_ROWS, all_equal, fits_broadcast, split_hot
 
 # Up to this many rows per group Spark cuts each task's share of a ``row_number() <= n``
 # before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold), so that a hot group
@@ -95,9 +95,9 @@ def group_rank(
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"),
     )
     pieces = F.broadcast(pieces) if fits_broadcast(pieces) else pieces
-    same = F.col("_run") == F.col("_piece")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    same = all_equal(
+        {"_run": "_piece", **{g: f"_g{i}" for i, g in enumerate(group)}}, null_safe=True
+    )
     spread = runs.join(pieces, same).select(
         *df.columns, (F.col("_row") + F.col("_shift") + 1).cast("bigint").alias(name)
     )
@@ -139,9 +139,9 @@ def with_previous(
         (F.row_number().over(earlier) == 1).alias("_opening"),
     )
     carried = F.broadcast(carried) if fits_broadcast(carried) else carried
-    same = F.col("_run") == F.col("_piece")
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    same = all_equal(
+        {"_run": "_piece", **{k: f"_k{i}" for i, k in enumerate(key)}}, null_safe=True
+    )
     inside = Window.partitionBy("_run", *key).orderBy("_row")
     at_start = F.col("_row") == F.col("_start")
     spread = runs.join(carried, same).withColumn("_before", F.lag(value).over(inside))

@@ -59,11 +59,8 @@ class ChangeStream:
 
     def of_batch(self, before: DataFrame, batch: DataFrame) -> DataFrame:
         """Last values of the keys that the batch has."""
-        keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)]
-        same = F.lit(True)
-        for i, k in enumerate(self.key):
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return sized_join(before, batch.select(*keys).distinct(), same, "left_semi")
+        touched = batch.select(*self.key).distinct()
+        return sized_join(before, touched, {k: k for k in self.key}, "left_semi", null_safe=True)
 
     def write_state(self, batch: DataFrame, before: DataFrame | None, batch_id: int) -> None:
         """Last value per key: of this batch alone, or now and then of all so far."""

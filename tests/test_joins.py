@@ -115,9 +115,28 @@ def test_completion(spark, monkeypatch, bound):
         assert got == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_join_beyond_the_broadcast_bound(spark, how, null_safe):
+    """A hot key, a hot NULL, keys on one side only; with and without the hot split."""
+    rows = [(1, i) for i in range(40)] + [(None, 100 + i) for i in range(30)]
+    left = spark.createDataFrame([*rows, (2, 200), (3, 300)], "a int, x int")
+    right = spark.createDataFrame([(1, "one"), (2, "two"), (None, "none"), (9, "no")], "b int, v string")
+
+    def run(**bounds):
+        df = sizing.sized_join(left, right, {"a": "b"}, how, null_safe, **bounds)
+        return sorted(map(str, df.collect()))
+
+    small = run()
+    assert len(small) > 0
+    assert run(max_rows=0) == small
+    assert run(max_rows=0, hot_rows=10) == small
+    assert run(max_rows=2, hot_rows=10, write_first=True) == small
+
+
 @pytest.mark.parametrize("bound", [10, 0])
 def test_membership_with_and_without_broadcast(spark, monkeypatch, bound):
-    monkeypatch.setattr(sizing, "fits_broadcast", lambda df, rows: bound > 0)
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda df, rows=0: bound > 0)
     left = spark.createDataFrame([(1,), (1,), (2,), (None,)], "a int")
     members = spark.createDataFrame([(1,), (1,), (3,), (None,)], "b int")
     kept = joins.member_filter(left, members, {"a": "b"}).collect()
