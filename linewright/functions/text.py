@@ -52,5 +52,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
 
+def home_variable(name: Column) -> Column:
+    """Name of an environment variable: upper case, ``_HOME`` added when missing."""
+    upper = F.upper(name)
+    ending = F.lit("_HOME")
+    return F.when(F.endswith(upper, ending), upper).otherwise(F.concat(upper, ending))
+
+
 def is_option(token: Column) -> Column:
     return F.startswith(token, F.lit("-"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from linewright.functions import paths, text
 
-# The alias grammar, host specs and file URIs.
+# The alias grammar, host specs, host numbers and file URIs.
 ALIAS_PATTERN = r"(\w+)\s*=\s*(\w+)(?:\s+-([hlc]))?((?:\s+-\w+)*)"
 SPEC_LIST = r"\w+(?:,\w+)*"
 SPEC_RANGE = r"(\w+)\[(\d+)-(\d+)\]"
+HOST_NUMBER = r"[a-zA-Z]+([0-9]+)"
 HDFS_URI = r"hdfs://(?:\w+|(?:\d{1,3})(?:(\.\w+){1,3}))(/\w+)+"
 
 
@@ -128,6 +129,17 @@ def ensure_element(df: DataFrame, column: str, value: Column, at: int = 1) -> Da
     return df.withColumn(column, F.when(F.array_contains(array, value), array).otherwise(grown))
 
 
+def server_lines(df: DataFrame, column: str) -> DataFrame:
+    """Add ``server``: the cluster member line of a host, numbered by the digits in its name.
+
+    A host without letters before digits has no number and gets NULL.
+    """
+    host = F.col(column)
+    number = F.regexp_extract(host, HOST_NUMBER, 1)
+    line = F.concat(F.lit("server."), number, F.lit("="), host, F.lit(":2888:3888"))
+    return df.withColumn("server", F.when(number != "", line))
+
+
 def truncate_text(df: DataFrame, column: str, n: int) -> DataFrame:
     """Keep the first ``n`` characters and tell with ``cut`` whether any were lost."""
     return df.withColumns(

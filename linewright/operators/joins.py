@@ -182,21 +182,36 @@ def apply_delta(delta: DataFrame, key: Sequence[str], values: Sequence[str]) ->
 
 
 def prefix_complete(
-    queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", line: str = "line"
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    query: str = "query",
+    line: str = "line",
+    order: Sequence[str] = (),
+    empty_asks_all: bool = False,
 ) -> DataFrame:
-    """The first ``k`` corpus lines, in code point order, that start with each query.
+    """The first ``k`` corpus lines that start with each query.
 
-    Duplicates in the corpus stay; an empty query gives nothing. Output: query,
-    ``rank`` from 1, line.
+    Lines come in code point order, or in that of the corpus columns ``order`` (candidates
+    as their source lists them). Duplicates in the corpus stay. An empty query gives
+    nothing unless ``empty_asks_all``. Output: query, ``rank`` from 1, line.
 
     Each line is looked up by its own heads of those lengths that some query has: an
     equi-join, no pairwise comparison. Per-task top-k runs before the shuffle, so a
     prefix shared by most of the corpus stays small.
     """
-    asked = queries.select(F.col(query).alias("_head")).filter("_head <> ''").distinct()
+    asked = queries.select(F.col(query).alias("_head")).filter("_head IS NOT NULL").distinct()
+    if not empty_asks_all:
+        asked = asked.filter("_head <> ''")
+    by = [f"_o{i}" for i in range(len(order))] or ["_line"]
     lengths = asked.agg(F.collect_set(F.length("_head"))).scalar()
-    heads = corpus.select(F.col(line).alias("_line"), lengths.alias("_lengths")).select(
-        "_line",
+    lines = corpus.select(
+        F.col(line).alias("_line"),
+        *[F.col(c).alias(o) for c, o in zip(order, by)],
+        lengths.alias("_lengths"),
+    )
+    heads = lines.select(
+        *dict.fromkeys(["_line", *by]),
         F.explode(
             F.transform(
                 F.filter("_lengths", lambda n: n <= F.length("_line")),
@@ -204,11 +219,11 @@ def prefix_complete(
             )
         ).alias("_head"),
     )
-    window = Window.partitionBy("_head").orderBy("_line")
+    window = Window.partitionBy("_head").orderBy(*by)
 
     def best(df: DataFrame) -> DataFrame:
         if k > EARLY_CUT:
-            ranked = group_rank(df, ["_head"], ["_line"], "_rank")
+            ranked = group_rank(df, ["_head"], by, "_rank")
         else:
             ranked = df.withColumn("_rank", F.row_number().over(window))
         return ranked.filter(F.col("_rank") <= k)

@@ -10,8 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.functions import paths
-from linewright.functions.text import tokens
+from linewright.functions import paths, text
 from linewright.operators import (
     aggregates,
     changes,
@@ -122,8 +121,8 @@ def append_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     low = F.coalesce(F.col("value") < 10, F.lit(False))
     out = scratch_path(spark, "append")
-    sinks.append_table(events.filter(low), out)
-    sinks.append_table(events.filter(~low), out)
+    sinks.append_table(out, events.filter(low))
+    sinks.append_table(out, events.filter(~low))
     return spark.read.parquet(out)
 
 
@@ -413,11 +412,41 @@ SELECT event_id,
 FROM t"""
 )
 def ensure_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _commands(spark, sf_dir).select("event_id", tokens(F.col("cmd")).alias("cmd"))
+    cut = _commands(spark, sf_dir).select("event_id", text.tokens(F.col("cmd")).alias("cmd"))
     grown = filters.ensure_element(cut, "cmd", F.lit("-p"))
     return grown.withColumn("cmd", F.array_join("cmd", " "))
 
 
+@bind(
+    """
+SELECT s_suppkey, replace(s_name, '#', '') AS host,
+       concat('server.', regexp_extract(s_name, '[0-9]+'), '=', replace(s_name, '#', ''),
+              ':2888:3888') AS server
+FROM supplier
+"""
+)
+def server_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.replace("s_name", F.lit("#"), F.lit("")).alias("host")
+    )
+    return filters.server_lines(hosts, "host")
+
+
+@bind(
+    """
+SELECT p_partkey, CASE WHEN ends_with(p_type, 'L') THEN concat(p_type, '_HOME')
+                       ELSE upper(concat(p_type, '_HOME')) END AS variable
+FROM part
+"""
+)
+def home_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.lower("p_type")
+    given = F.when(F.endswith("p_type", F.lit("L")), F.concat(kind, F.lit("_home"))).otherwise(kind)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.home_variable(given).alias("variable")
+    )
+
+
 @bind("SELECT doc_id, left(text, 100) AS text, length(text) > 100 AS cut FROM documents")
 def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -530,7 +559,7 @@ LEFT JOIN ao ON ao.name = w[1]
 """
 )
 def apply_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _commands(spark, sf_dir).select("event_id", tokens(F.col("cmd")).alias("cmd"))
+    cut = _commands(spark, sf_dir).select("event_id", text.tokens(F.col("cmd")).alias("cmd"))
     found = joins.apply_aliases(cut, "cmd", _aliases(spark), F.lit(False))
     return found.withColumn("cmd", F.array_join("cmd", " "))
 
@@ -614,6 +643,28 @@ def prefix_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.prefix_complete(asked, part, 3, line="p_name")
 
 
+@bind(
+    """
+WITH q AS (
+  SELECT left(p_name, 3) AS query FROM part UNION SELECT ''
+), m AS (
+  SELECT query, p_name, row_number() OVER (PARTITION BY query ORDER BY p_partkey DESC) AS rank
+  FROM q JOIN part ON starts_with(p_name, query)
+)
+SELECT query, rank, p_name FROM m WHERE rank <= 5
+"""
+)
+def prefix_complete_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in the order of their source, here newest part first."""
+    part = table(spark, sf_dir, "part").withColumn("place", -F.col("p_partkey"))
+    asked = part.select(
+        F.explode(F.array(F.left("p_name", F.lit(3)), F.lit(""))).alias("query")
+    )
+    return joins.prefix_complete(
+        asked, part, 5, line="p_name", order=["place"], empty_asks_all=True
+    )
+
+
 @bind(
     """
 SELECT * FROM customer
@@ -1011,7 +1062,7 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox = scratch_path(spark, "inbox")
     out, state, mark = (scratch_path(spark, f"changes-{x}") for x in ("out", "state", "mark"))
     for part in slices:
-        sinks.append_table(events.filter(part), inbox)
+        sinks.append_table(inbox, events.filter(part))
         stream = follow.follow_files(spark, inbox, events.schema)
         live.change_stream(
             stream, ["user_id"], ["ts", "event_id"], "event_type", out, state, mark

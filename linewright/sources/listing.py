@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ORDERS = {"name": [("path", False)], "time": [("modificationTime", True)], "size": [("length", True)]}
 
 
+def human_size(length: Column) -> Column:
+    """Bytes with a binary prefix and one decimal: ``512``, ``1.5 K``, ``64.0 M``."""
+    size = length.cast("string")
+    for power, prefix in enumerate("KMGTPE", start=1):
+        unit = float(1024**power)
+        text = F.format_string(f"%.1f {prefix}", length / F.lit(unit))
+        size = F.when(length >= F.lit(unit), text).otherwise(size)
+    return size
+
+
 def file_catalog(
     spark: SparkSession,
     path: str,
@@ -16,8 +26,9 @@ def file_catalog(
     sort: str = "name",
     reverse: bool = False,
     names_only: bool = False,
+    human: bool = False,
 ) -> DataFrame:
-    """List files: path, modification time, length.
+    """List files: path, modification time, length; ``human`` adds a readable ``size``.
 
     ``sort`` is ``name``, ``time`` (newest first) or ``size`` (largest first); ``reverse``
     turns it round. File contents are never selected, so they are not read.
@@ -31,4 +42,6 @@ def file_catalog(
         for c, down in [*_ORDERS[sort], *([] if sort == "name" else [("path", False)])]
     ]
     files = files.orderBy(*keys)
+    if human:
+        files = files.withColumn("size", human_size(F.col("length")))
     return files.select("path") if names_only else files

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import posixpath
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Add rows to a table, creating it when it is missing."""
-    df.write.mode("append").format(fmt).save(path)
+def append_table(path: str, *sources: DataFrame, fmt: str = "parquet") -> None:
+    """Add the rows of all sources to a table in one write, creating it when missing."""
+    rows = reduce(DataFrame.unionByName, sources)
+    rows.write.mode("append").format(fmt).save(path)
 
 
 def copy_table(
     spark: SparkSession,
     src: str,
-    dst: str,
+    dst: str | None = None,
+    cwd: str = "/",
     force: bool = False,
     src_format: str = "parquet",
     dst_format: str = "parquet",
-) -> None:
-    """Copy a table, converting the format on request.
+) -> str:
+    """Copy a table, converting the format on request; returns the target path.
 
-    An existing target is refused unless ``force`` is set.
+    Without ``dst`` the copy goes to ``cwd`` under its own name. An existing target is
+    refused unless ``force`` is set.
     """
+    target = dst or posixpath.join(cwd, posixpath.basename(src.rstrip("/")))
     mode = "overwrite" if force else "errorifexists"
-    spark.read.format(src_format).load(src).write.mode(mode).format(dst_format).save(dst)
+    spark.read.format(src_format).load(src).write.mode(mode).format(dst_format).save(target)
+    return target
 
 
 def rewrite_table(df: DataFrame, path: str, fmt: str = "parquet") -> str | None:

@@ -115,6 +115,16 @@ def test_completion(spark, monkeypatch, bound):
         assert got == want
 
 
+def test_completion_in_source_order(spark):
+    corpus = spark.createDataFrame([(i, x) for i, x in enumerate(HISTORY)], "i int, line string")
+    queries = spark.createDataFrame([("l",), ("",)], "query string")
+    found = joins.prefix_complete(queries, corpus, 4, order=["i"], empty_asks_all=True)
+    got: dict[str, list] = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.line)
+    assert got == {"l": ["ls", "ls -l", "ls", "l"], "": ["ls", "ls -l", "ls", ""]}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("null_safe", [True, False])
 def test_join_beyond_the_broadcast_bound(spark, how, null_safe):

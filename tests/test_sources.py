@@ -51,18 +51,22 @@ def test_sources_keep_order_and_duplicates(spark):
 def test_append_and_copy(spark):
     one = spark.range(3)
     src, dst = scratch_path(spark, "src"), scratch_path(spark, "dst")
-    sinks.append_table(one, src)
-    sinks.append_table(one, src)
-    assert spark.read.parquet(src).count() == 6
+    sinks.append_table(src, one)
+    sinks.append_table(src, one, one)
+    assert spark.read.parquet(src).count() == 9
     sinks.copy_table(spark, src, dst)
     with pytest.raises(AnalysisException):
         sinks.copy_table(spark, src, dst)
-    sinks.append_table(one, src)
+    sinks.append_table(src, one)
     sinks.copy_table(spark, src, dst, force=True)
-    assert spark.read.parquet(dst).count() == 9
+    assert spark.read.parquet(dst).count() == 12
     text = scratch_path(spark, "json")
     sinks.copy_table(spark, src, text, dst_format="json")
-    assert spark.read.json(text).count() == 9
+    assert spark.read.json(text).count() == 12
+    cwd = scratch_path(spark, "cwd")
+    copied = sinks.copy_table(spark, src, cwd=cwd)
+    assert copied == f"{cwd}/{os.path.basename(src)}"
+    assert spark.read.parquet(copied).count() == 12
 
 
 def test_rewrite_reads_its_own_path(spark):
@@ -103,10 +107,17 @@ def test_listing_orders(spark, tmp_path):
     assert listing.file_catalog(spark, str(tmp_path), names_only=True).columns == ["path"]
 
 
+def test_readable_sizes(spark):
+    sizes = {0: "0", 1023: "1023", 1024: "1.0 K", 1536: "1.5 K", 64 << 20: "64.0 M", 3 << 40: "3.0 T"}
+    frame = spark.createDataFrame([(n,) for n in sizes], "n bigint")
+    got = {r.n: r.s for r in frame.select("n", listing.human_size(F.col("n")).alias("s")).collect()}
+    assert got == sizes
+
+
 def test_follow_sees_only_new_files(spark):
     inbox, out, mark = (scratch_path(spark, x) for x in ("inbox", "out", "mark"))
     for n in (4, 7):
-        sinks.append_table(spark.range(n), inbox)
+        sinks.append_table(inbox, spark.range(n))
         stream = follow.follow_files(spark, inbox, "id bigint")
         query = follow.land(stream, out, mark)
         query.awaitTermination()
@@ -138,7 +149,7 @@ def expected(batches):
 def test_live_changes_over_batches_and_restarts(spark, full_every):
     inbox, out, state, mark = (scratch_path(spark, x) for x in ("in", "out", "state", "mark"))
     for batch in BATCHES:
-        sinks.append_table(spark.createDataFrame(batch, "k string, t int, v string"), inbox)
+        sinks.append_table(inbox, spark.createDataFrame(batch, "k string, t int, v string"))
         stream = follow.follow_files(spark, inbox, "k string, t int, v string")
         live.change_stream(
             stream, ["k"], ["t"], "v", out, state, mark, full_every=full_every

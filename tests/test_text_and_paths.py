@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from linewright.functions import paths
-from linewright.functions.text import line_test, split_lines
+from linewright.functions.text import home_variable, line_test, split_lines
 from linewright.operators import filters
 
 
@@ -122,6 +122,16 @@ def test_null_matches_nothing(spark):
     assert frame.select(line_test("a")(F.col("x")).alias("v")).first().v is False
 
 
+def test_server_lines_and_variables(spark):
+    frame = spark.createDataFrame([("hadoop102",), ("n-7",), ("a1b2",)], "h string")
+    got = {r.h: r.server for r in filters.server_lines(frame, "h").collect()}
+    assert got == {
+        "hadoop102": "server.102=hadoop102:2888:3888", "n-7": None, "a1b2": "server.1=a1b2:2888:3888",
+    }
+    names = spark.createDataFrame([("java",), ("zk_home",)], "n string")
+    assert [r[0] for r in names.select(home_variable(F.col("n"))).collect()] == ["JAVA_HOME", "ZK_HOME"]
+
+
 def test_uri_pattern(spark):
     frame = spark.createDataFrame(
         [("hdfs://nn/a/b",), ("hdfs://10.0.0.1/a",), ("hdfs://nn",), ("file:///a",)], "u string"
