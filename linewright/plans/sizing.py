@@ -17,26 +17,31 @@ HOT_ROWS = 5_000_000
 MOST_RUNS = 10_000
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    """Rough bytes of one row: text by its length, anything else by a flat charge."""
-    total = F.lit(16)
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Measure ``df``: few enough rows, and few enough bytes with text at its length.
+
+    Rows are counted first, which reads no columns of a plain scan; only a table that
+    passes has its texts measured. One number per job reaches the driver.
+    """
+    flat, lengths = 16, []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+            lengths.append(F.octet_length(column))
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+            lengths.append(F.octet_length(F.to_json(F.struct(column))))
         else:
-            total = total + F.lit(8)
-    return total.cast("bigint")
-
-
-def fits_broadcast(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Measure ``df`` with one aggregation job; two numbers reach the driver."""
-    seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
-    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+            flat += 8
+    rows = df.count()
+    if rows > max_rows or rows * flat > max_bytes:
+        return False
+    if not lengths:
+        return True
+    known = [F.coalesce(n, F.lit(0)).cast("bigint") for n in lengths]
+    texts = df.agg(F.sum(reduce(lambda a, b: a + b, known))).first()[0] or 0
+    return rows * flat + texts <= max_bytes
 
 
 def all_equal(pairs: Mapping[str, str], null_safe: bool = False) -> Column:

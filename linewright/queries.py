@@ -489,13 +489,13 @@ def spec_expand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.spec_expand_join(specs, table(spark, sf_dir, "nation"), "n_name").drop("n_name")
 
 
-TARGETS = ["hadoop102", "hadoop103", "hadoop104"]
+TARGETS = ["node2", "node3", "node4"]
 
 
 @bind(
     """
 SELECT page_id, url, CAST(target_no AS BIGINT) AS target_no, target
-FROM pages, (VALUES (0, 'hadoop102'), (1, 'hadoop103'), (2, 'hadoop104')) AS t(target_no, target)
+FROM pages, (VALUES (0, 'node2'), (1, 'node3'), (2, 'node4')) AS t(target_no, target)
 """
 )
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,10 +123,10 @@ def test_null_matches_nothing(spark):
 
 
 def test_server_lines_and_variables(spark):
-    frame = spark.createDataFrame([("hadoop102",), ("n-7",), ("a1b2",)], "h string")
+    frame = spark.createDataFrame([("node102",), ("n-7",), ("a1b2",)], "h string")
     got = {r.h: r.server for r in filters.server_lines(frame, "h").collect()}
     assert got == {
-        "hadoop102": "server.102=hadoop102:2888:3888", "n-7": None, "a1b2": "server.1=a1b2:2888:3888",
+        "node102": "server.102=node102:2888:3888", "n-7": None, "a1b2": "server.1=a1b2:2888:3888",
     }
     names = spark.createDataFrame([("java",), ("zk_home",)], "n string")
     assert [r[0] for r in names.select(home_variable(F.col("n"))).collect()] == ["JAVA_HOME", "ZK_HOME"]
