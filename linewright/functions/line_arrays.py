@@ -36,14 +36,20 @@ def hit_places(lines: Column, test: LineTest) -> Column:
 
 
 def places_around(places: Column, size: Column, before: int, after: int) -> Column:
-    """0-based places within reach of a hit, ascending and without repeats."""
-    spans = F.transform(
-        places,
-        lambda p: F.sequence(
-            F.greatest(p - F.lit(before), F.lit(0)), F.least(p + F.lit(after), size - 1)
-        ),
-    )
-    return F.array_distinct(F.flatten(spans))
+    """0-based places within reach of a hit, ascending and without repeats.
+
+    Each hit adds only what the hit before it did not reach, so the work is that of the
+    result, however dense the hits are. ``places`` has to be a plain column.
+    """
+
+    def fresh(p: Column, i: Column) -> Column:
+        reached = F.when(i > 0, F.get(places, i - 1) + F.lit(after + 1)).otherwise(F.lit(0))
+        first = F.greatest(p - F.lit(before), reached, F.lit(0))
+        last = F.least(p + F.lit(after), size - 1)
+        none = F.array().cast("array<int>")
+        return F.when(first <= last, F.sequence(first, last)).otherwise(none)
+
+    return F.flatten(F.transform(places, fresh))
 
 
 def without_repeats(lines: Column, repeats: Callable[[Column, Column], Column]) -> Column:

@@ -39,14 +39,12 @@ def grep_context(
     """
     test = line_test(pattern, literal, ignore_case)
     others = [c for c in df.columns if c != "lines"]
-    places = la.places_around(
-        la.hit_places(F.col("lines"), test), F.size("lines"), before, after
-    )
+    hits = df.withColumn("_hits", la.hit_places(F.col("lines"), test))
     near = F.transform(
-        places, lambda p: F.struct(p.alias("pos"), F.get(F.col("lines"), p).alias("line"))
+        la.places_around(F.col("_hits"), F.size("lines"), before, after), lambda p: F.struct(p.alias("pos"), F.get(F.col("lines"), p).alias("line"))
     )
     # Outer, as in ``unpacked``: no inferred filter that would do the search twice.
-    rows = df.select(*others, F.explode_outer(near).alias("_row")).filter("_row IS NOT NULL")
+    rows = hits.select(*others, F.explode_outer(near).alias("_row")).filter("_row IS NOT NULL")
     return rows.select(*others, "_row.pos", "_row.line").withColumn("is_hit", test(F.col("line")))
 
 

@@ -4,7 +4,7 @@ Tables have the document keys ``doc``, ``pos`` (0, 1, .. without gaps in each do
 ``line``. ``line_edits`` does the same inside one row and is cheaper; here a single
 document may be larger than a task can hold. Nothing gathers a document: marker
 positions come from aggregations that combine before the shuffle, neighbours from joins
-on (document, position), and a document with most of the lines is cut into runs.
+on (document, position), and windows run over chunks of positions.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.line_arrays import blank_repeat, literal_lines
 from linewright.functions.text import line_test
 from linewright.operators.line_edits import stale_line
-from linewright.plans.ranking import group_rank, with_previous
 from linewright.plans.scratch import written
-from linewright.plans.sizing import HOT_ROWS, sized_join
+from linewright.plans.sizing import sized_join
+
+# Positions per chunk. A window never sees more rows of a document than that.
+CHUNK = 1_000_000
 
 
 def _per_document(
@@ -46,22 +48,68 @@ def _rows(df: DataFrame, doc: Sequence[str], pos: Column | str = "pos") -> DataF
     return df.select(*doc, where.cast("bigint").alias("pos"), "line")
 
 
-def renumbered(df: DataFrame, doc: Sequence[str], max_rows: int = HOT_ROWS) -> DataFrame:
+def _chunked(df: DataFrame, doc: Sequence[str], chunk: int) -> DataFrame:
+    """Add what a row knows of the rows before it in its document.
+
+    ``_no`` is its number from 1 and ``_prev`` the line before; ``_chunk`` is kept, so that
+    a second step on the same chunks finds its rows in place. Windows run over chunks of
+    positions. Documents that stay within one chunk, usually all, are done with that.
+    For the others, each chunk also gets the count and the last line of the chunks
+    before it, from a table with one row per chunk.
+    """
+    part = df
+    if "_chunk" not in df.columns:
+        part = df.withColumn("_chunk", F.expr(f"pos div {int(chunk)}"))
+    here = Window.partitionBy(*doc, "_chunk").orderBy("pos")
+    seen = part.withColumns({"_no": F.row_number().over(here), "_prev": F.lag("line").over(here)})
+
+    beyond = df.filter(F.col("pos") >= chunk).select(*doc).distinct()
+    if beyond.isEmpty():
+        return seen
+    beyond = written(beyond, "long-docs")
+    same = {c: c for c in doc}
+    chunks = (
+        sized_join(part, beyond, same, "left_semi", null_safe=True)
+        .groupBy(*doc, "_chunk")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max_by("line", "pos").alias("_last"))
+    )
+    order = Window.partitionBy(*doc).orderBy("_chunk")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(
+        *doc, "_chunk", F.sum("_n").over(earlier).alias("_before"), F.lag("_last").over(order).alias("_carry")
+    ).filter("_before IS NOT NULL")
+    known = sized_join(
+        seen, carried, {**same, "_chunk": "_chunk"}, "left", null_safe=True, write_first=True
+    )
+    opening = (F.col("_no") == 1) & F.col("_before").isNotNull()
+    return known.select(
+        *part.columns,
+        (F.col("_no") + F.coalesce(F.col("_before"), F.lit(0))).alias("_no"),
+        F.when(opening, F.col("_carry")).otherwise(F.col("_prev")).alias("_prev"),
+    )
+
+
+def renumbered(df: DataFrame, doc: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """Close the gaps in ``pos``."""
-    ranked = group_rank(df, doc, ["pos"], "_rank", max_rows)
-    return _rows(ranked, doc, F.col("_rank") - 1)
+    return _rows(_chunked(df, doc, chunk), doc, F.col("_no") - 1)
 
 
 def collapse_repeats(
     df: DataFrame,
     doc: Sequence[str],
     repeats: Callable[[Column, Column], Column] = blank_repeat,
-    max_rows: int = HOT_ROWS,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Drop a line that repeats the line before it; ``pos`` keeps its gaps."""
-    seen = with_previous(df, doc, ["pos"], "line", max_rows)
-    again = F.coalesce(repeats(F.col("prev"), F.col("line")), F.lit(False))
-    return seen.filter(F.col("is_first") | ~again).select(*df.columns)
+    return _collapsed(df, doc, repeats, chunk).select(*df.columns)
+
+
+def _collapsed(
+    df: DataFrame, doc: Sequence[str], repeats: Callable[[Column, Column], Column], chunk: int
+) -> DataFrame:
+    again = F.coalesce(repeats(F.col("_prev"), F.col("line")), F.lit(False))
+    kept = _chunked(df, doc, chunk).filter((F.col("_no") == 1) | ~again)
+    return kept.drop("_no", "_prev")
 
 
 def grep_context(
@@ -72,11 +120,24 @@ def grep_context(
     after: int = 1,
     literal: bool = False,
     ignore_case: bool = False,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """Hit lines with the lines around them; adds ``is_hit``."""
+    """Hit lines with the lines around them; adds ``is_hit``.
+
+    Each hit adds only the positions that the hit before it in its chunk did not reach, so
+    dense hits and wide surroundings do not multiply; repeats across chunks go by distinct.
+    """
     test = line_test(pattern, literal, ignore_case)
-    reach = F.sequence(F.col("pos") - F.lit(before), F.col("pos") + F.lit(after))
-    near = df.filter(test(F.col("line"))).select(*doc, F.explode(reach).alias("pos")).distinct()
+    pos = F.col("pos")
+    hits = df.filter(test(F.col("line"))).select(
+        *doc, pos, F.expr(f"pos div {int(chunk)}").alias("_chunk")
+    )
+    here = Window.partitionBy(*doc, "_chunk").orderBy("pos")
+    reached = F.coalesce(F.lag("pos").over(here) + F.lit(after + 1), F.lit(0))
+    spans = hits.withColumn("_first", F.greatest(pos - F.lit(before), reached, F.lit(0)))
+    last = pos + F.lit(after)
+    fresh = F.when(F.col("_first") <= last, F.sequence(F.col("_first"), last))
+    near = spans.select(*doc, F.explode(fresh).alias("pos")).distinct()
     found = sized_join(
         df, near, {c: c for c in [*doc, "pos"]}, "left_semi", null_safe=True, write_first=True
     )
@@ -157,7 +218,7 @@ def block_upsert(
     name: str,
     block: Sequence[str],
     broad: bool = False,
-    max_rows: int = HOT_ROWS,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Replace the block of ``name`` in every document, or append it (see ``line_edits``)."""
     stale = stale_line(name, broad)
@@ -177,6 +238,5 @@ def block_upsert(
             _block_rows(docs, doc, block, F.col("_top") + 3),
         ],
     )
-    # Collapsing and numbering both look for hot documents first, in the key column only.
-    grown = written(grown, "upsert")
-    return renumbered(collapse_repeats(grown, doc, max_rows=max_rows), doc, max_rows)
+    # Both steps use the same chunks, so numbering needs no further exchange.
+    return renumbered(_collapsed(grown, doc, blank_repeat, chunk), doc, chunk)

@@ -967,7 +967,7 @@ SELECT doc_id, pos, line FROM k WHERE prev IS DISTINCT FROM line"""
 )
 def collapse_repeats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rows.collapse_repeats(
-        doc_lines(spark, sf_dir), ["doc_id"], lambda a, b: a == b, max_rows=500
+        doc_lines(spark, sf_dir), ["doc_id"], lambda a, b: a == b, chunk=20
     )
 
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from helpers import as_docs, packed_docs, positions, row_docs
+from helpers import LINE_ROWS, as_docs, packed_docs, positions, row_docs
 from linewright.operators import line_edits, line_rows
 
 DOC = ["doc_id"]
@@ -51,14 +51,28 @@ def test_collapse_blanks_in_both_layouts(spark):
     assert as_docs(line_edits.collapse_repeats(once)) == want
     rows = row_docs(spark, docs)
     assert as_docs(line_rows.collapse_repeats(rows, DOC)) == want
-    assert as_docs(line_rows.collapse_repeats(rows, DOC, max_rows=5)) == want
+    assert as_docs(line_rows.collapse_repeats(rows, DOC, chunk=3)) == want
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_renumber_over_gaps_and_empty_chunks(spark, chunk):
+    rng = random.Random(8)
+    rows = [(d, p, f"{d}.{p}") for d in range(30) for p in rng.sample(range(60), rng.randint(1, 25))]
+    frame = spark.createDataFrame(rows, LINE_ROWS)
+    got = {(r.doc_id, r.pos, r.line) for r in line_rows.renumbered(frame, DOC, chunk).collect()}
+    want = set()
+    for d in range(30):
+        lines = sorted(p for doc, p, _ in rows if doc == d)
+        want |= {(d, i, f"{d}.{p}") for i, p in enumerate(lines)}
+    assert got == want
 
 
 def test_null_lines_are_kept(spark):
     docs = {1: [None, None, "", "", None, ""]}
     want = {1: [None, None, "", None, ""]}
     assert as_docs(line_edits.collapse_repeats(packed_docs(spark, docs))) == want
-    assert as_docs(line_rows.collapse_repeats(row_docs(spark, docs), DOC)) == want
+    for chunk in (1, 2, 100):
+        assert as_docs(line_rows.collapse_repeats(row_docs(spark, docs), DOC, chunk=chunk)) == want
 
 
 @pytest.mark.parametrize("before,after", [(2, 1), (0, 0), (1, 3), (50, 0)])
@@ -72,8 +86,12 @@ def test_context_of_hits(spark, before, after):
             want[d] = near
     packed = line_edits.grep_context(packed_docs(spark, docs), "hit", before, after, ignore_case=True)
     rows = line_rows.grep_context(row_docs(spark, docs), DOC, "HIT", before, after, literal=True)
+    small = line_rows.grep_context(
+        row_docs(spark, docs), DOC, "HIT", before, after, literal=True, chunk=3
+    )
     assert positions(packed) == want
     assert positions(rows) == want
+    assert positions(small) == want
     for r in packed.union(rows.select(packed.columns)).collect():
         assert r.line == docs[r.doc_id][r.pos]
         assert r.is_hit == ("HIT" in r.line)
@@ -156,7 +174,7 @@ def test_block_upsert(spark):
     assert as_docs(line_edits.block_upsert(packed, "A_HOME", block)) == want
     rows = line_rows.block_upsert(row_docs(spark, docs), DOC, "a_home", block)
     assert as_docs(rows) == want
-    split = line_rows.block_upsert(row_docs(spark, docs), DOC, "a_home", block, max_rows=3)
+    split = line_rows.block_upsert(row_docs(spark, docs), DOC, "a_home", block, chunk=3)
     assert as_docs(split) == want
     assert positions(split) == {d: list(range(len(x))) for d, x in want.items()}
 
