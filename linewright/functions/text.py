@@ -48,8 +48,8 @@ def split_lines(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace-separated tokens, empties dropped."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+    """Tokens between whitespace (of any script, and the separators 1C-1F), empties dropped."""
+    return F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
 
 
 def home_variable(name: Column) -> Column:

@@ -79,7 +79,13 @@ def _chunked(df: DataFrame, doc: Sequence[str], chunk: int) -> DataFrame:
         *doc, "_chunk", F.sum("_n").over(earlier).alias("_before"), F.lag("_last").over(order).alias("_carry")
     ).filter("_before IS NOT NULL")
     known = sized_join(
-        seen, carried, {**same, "_chunk": "_chunk"}, "left", null_safe=True, write_first=True
+        seen,
+        carried,
+        {**same, "_chunk": "_chunk"},
+        "left",
+        null_safe=True,
+        write_first=True,
+        hot_rows=None,
     )
     opening = (F.col("_no") == 1) & F.col("_before").isNotNull()
     return known.select(
@@ -139,7 +145,13 @@ def grep_context(
     fresh = F.when(F.col("_first") <= last, F.sequence(F.col("_first"), last))
     near = spans.select(*doc, F.explode(fresh).alias("pos")).distinct()
     found = sized_join(
-        df, near, {c: c for c in [*doc, "pos"]}, "left_semi", null_safe=True, write_first=True
+        df,
+        near,
+        {c: c for c in [*doc, "pos"]},
+        "left_semi",
+        null_safe=True,
+        write_first=True,
+        hot_rows=None,
     )
     return found.withColumn("is_hit", test(F.col("line")))
 

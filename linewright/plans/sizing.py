@@ -97,13 +97,14 @@ def sized_join(
     null_safe: bool = False,
     write_first: bool = False,
     max_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Inner, left, left_semi or left_anti join; ``on`` maps left to right key columns.
 
     ``right`` is broadcast when measured small. Beyond the bound it is a shuffle join, and
     left rows of hot keys go apart: they meet only the few right rows of those keys, which
-    are measured and broadcast in turn. The right key columns are dropped.
+    are measured and broadcast in turn. With ``hot_rows`` None, for left keys known to have
+    few rows each, nobody looks for hot keys. The right key columns are dropped.
 
     ``write_first`` is for a ``right`` that takes work to compute: it is written, so that
     measuring and joining read the result instead of computing it twice.
@@ -119,7 +120,7 @@ def sized_join(
 
     if fits_broadcast(right, max_rows):
         return join(left, F.broadcast(right))
-    found = hot_keys(left, list(on), hot_rows)
+    found = None if hot_rows is None else hot_keys(left, list(on), hot_rows)
     if found is None:
         return join(left, right)
     hot, _ = found

@@ -79,9 +79,8 @@ def scan_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "_block",
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"),
     )
-    return sized_join(rows, shifts, {c: c for c in ("path", "_block")}, "inner").select(
-        "path", (F.col("_id") + F.col("_shift")).alias("pos"), "line"
-    )
+    placed = sized_join(rows, shifts, {"path": "path", "_block": "_block"}, "inner", hot_rows=None)
+    return placed.select("path", (F.col("_id") + F.col("_shift")).alias("pos"), "line")
 
 
 def concat_sources(
