@@ -52,7 +52,7 @@ def test_leaf_names(spark):
 
 
 def test_commands(spark):
-    texts = ["ls -R /a", "  rm   -f  x ", "mkdir a", "", "   ", "a b\tc -d"]
+    texts = ["ls -R /a", "  rm   -f  x ", "mkdir a", "", "   ", "a b\tc  -d", "a　-b\x1cd​e"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in filters.token_columns(frame, "t").collect():
         cut = [x for x in re.split(r"\s+", r.t) if x != ""]
