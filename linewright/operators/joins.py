@@ -68,9 +68,16 @@ def expand_specs(specs: DataFrame, spec: str = "spec") -> DataFrame:
 def spec_expand_join(
     specs: DataFrame, df: DataFrame, key: str, spec: str = "spec"
 ) -> DataFrame:
-    """Rows of ``df`` named by each spec: an equi-join on the expanded host."""
+    """Rows of ``df`` named by each spec: an equi-join on the expanded host.
+
+    A small ``df`` is sent to the specs. Otherwise small specs are sent to ``df``, and
+    beyond that rows of hot keys in ``df`` are joined apart.
+    """
     hosts = expand_specs(specs, spec)
-    return sized_join(hosts, df.withColumn("_key", F.col(key)), {"host": "_key"}, "inner")
+    if fits_broadcast(df):
+        return hosts.join(F.broadcast(df), F.col("host") == F.col(key))
+    joined = sized_join(df, hosts, {key: "host"}, "inner")
+    return joined.select(*specs.columns, "host_no", F.col(key).alias("host"), *df.columns)
 
 
 def fan_out(

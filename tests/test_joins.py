@@ -25,6 +25,18 @@ def test_specs_expand(spark, monkeypatch):
     assert got == {s: list(enumerate(h)) for s, h in want.items()}
 
 
+def test_specs_meet_small_and_large_tables(spark, monkeypatch):
+    specs = spark.createDataFrame([("h[1-3]",), ("h2,x",)], "spec string")
+    rows = [("h1", 0), ("h9", 0)] + [("h2", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "name string, v int")
+    small = joins.spec_expand_join(specs, df, "name")
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    large = joins.spec_expand_join(specs, df, "name")
+    assert small.columns == large.columns == ["spec", "host_no", "host", "name", "v"]
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    assert small.count() == 41
+
+
 def test_fan_out_is_bounded(spark):
     frame = spark.createDataFrame([(1,), (2,)], "x int")
     rows = joins.fan_out(frame, ["a", "b"]).collect()
