@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_root: str | None = None
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only in local mode."""
-    global _local_root
-    root = spark.conf.get(CHECKPOINT_CONF, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="linewright-")
-    return _local_root
+    """The shared folder the session names, else its warehouse, which a cluster shares too."""
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(WAREHOUSE_CONF)
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -37,4 +29,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing lazy reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
