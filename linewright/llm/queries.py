@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import bpe, exact, minhash, sharding
+from linewright.llm import bpe, exact, langid, minhash, packing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 BINDINGS: dict[str, tuple[Query, str | None]] = {}
@@ -79,6 +79,16 @@ def op3_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@bind()
+def op4_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@bind()
+def op5_best_two_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), size=2048)
+
+
 @bind()
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe.round_trips(table(spark, sf_dir, "documents"), vocabulary())
