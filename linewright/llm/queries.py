@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import bpe, exact, langid, minhash, packing, sharding
+from linewright.llm import bpe, exact, html_text, langid, minhash, packing, personal, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 BINDINGS: dict[str, tuple[Query, str | None]] = {}
@@ -97,3 +97,23 @@ def op9_bpe_round_trip(spark, sf_dir):
 @bind()
 def op10_ring_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
+@bind()
+def op2_text_density(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@bind()
+def op6_risk_controlled_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@bind()
+def op8_guess_cost_secrets(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@bind()
+def op7_boosted_personal_data(spark, sf_dir):
+    return personal.find_personal(table(spark, sf_dir, "documents"))
