@@ -1,8 +1,71 @@
-"""A corpus pipeline of the operators in linewright.llm; stages follow."""
+"""From raw documents to packed training sequences, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its
+result is written as Parquet and read again as the next one's docs. All but the last return
+the columns of documents. Rows without a doc_id have no name that later stages could keep
+them by; the first stage that removes copies drops them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linewright.llm import exact, langid, minhash, packing, personal
+from linewright.llm.queries import table, vocabulary
+from linewright.plans.scratch import written
+
+WORDS = 5  # per shingle
+PERCENT = 80  # similarity from which documents are near copies
+SEQUENCE = 2048  # tokens
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stay, one per doc_id."""
+    stay = verdicts.filter("kept").select(F.col("doc_id").alias("_stays"))
+    return docs.join(stay, docs["doc_id"] == stay["_stays"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; texts without a letter go."""
+    return langid.decided(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest row, then the smallest id."""
+    return _kept(docs, exact.exact_duplicates(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest id."""
+    return _kept(docs, minhash.near_duplicates(docs, width=WORDS, percent=PERCENT))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return personal.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of SEQUENCE tokens."""
+    return packing.pack(docs, vocabulary(), size=SEQUENCE)
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+#: Language ID, signatures and token ids are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise RuntimeError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the last one's rows."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

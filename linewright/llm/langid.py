@@ -184,23 +184,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Language of every whole text of ``docs`` (doc_id, text, lang, anything else).
-
-    Learns from rows with a label that are not held out, predicts from the text alone. Returns
-    ``doc_id``, ``held_out``, ``lang_pred`` (``und`` if the text is null or has no letter, or if
-    there is no labelled text) and ``score``: 0 when undecided, else the share of the winner
-    when languages weigh less the more bits they need. Equal languages: the first by name.
-
-    A null doc_id is not held out and not learned from; repeated rows each get a row. Other
-    columns are ignored; an empty table gives no rows.
-    """
+def predicted(docs: DataFrame, returned: list[str]) -> DataFrame:
+    """Columns ``returned`` of ``docs`` (doc_id, text, lang) with ``_lang_pred`` and ``_score``."""
     samples = learned_sample(docs.filter(~held_out(F.col("doc_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
         for batch in batches:
-            texts = [letters_of(t.as_py()) for t in batch.column(2)]
+            texts = [letters_of(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             names, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
             if parser.languages:
                 found = parser.phrases(texts) * np.array(parser.bits)[:, None]
@@ -210,10 +201,36 @@ def identify(docs: DataFrame) -> DataFrame:
                         names[i] = parser.languages[int(bits.argmin())]
                         scores[i] = float(1 / np.exp2(-SHARPNESS * (bits - 1)).sum())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=[*returned, "_lang_pred", "_score"],
             )
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        run, "doc_id bigint, held_out boolean, lang_pred string, score double"
+    asked = docs.select(*returned, F.col("text").alias("_text"))
+    schema = asked.drop("_text").schema.add("_lang_pred", "string").add("_score", "double")
+    return asked.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """Language of every whole text of ``docs`` (doc_id, text, lang, anything else).
+
+    Learns from rows with a label that are not held out, predicts from the text alone. Returns
+    ``doc_id``, ``held_out``, ``lang_pred`` (``und`` if the text is null or has no letter, or if
+    there is no labelled text) and ``score``: 0 when undecided, else the share of the winner
+    when languages weigh less the more bits they need. Equal languages: the first by name.
+
+    A null doc_id is not held out and not learned from; repeated rows each get a row. Other
+    columns are ignored; an empty table gives no rows.
+    """
+    return predicted(docs.select("doc_id", "text", "lang"), ["doc_id"]).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_lang_pred").alias("lang_pred"),
+        F.col("_score").alias("score"),
     )
+
+
+def decided(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that get no language; all columns stay."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")
+    found = predicted(rows, ["_row"]).filter(F.col("_lang_pred") != UNDECIDED)
+    return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

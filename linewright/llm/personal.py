@@ -4,7 +4,7 @@ Only Spark SQL functions run over the texts. Wide patterns propose spans; each g
 format and context features. The base's own finds are the labels: proposals that touch one
 are positive. Trees are fitted on how often each code was seen with each label, over half of
 the documents, and a threshold per generator is calibrated on the other half: the lowest
-score from which at least PRECISION of the proposals are positive. Proposals above it, off the
+score, of even odds or better, from which at least PRECISION of the proposals are positive. Proposals above it, off the
 base's finds, are added. A text never leaves its row, so nothing is shuffled but the counts.
 
 The patterns never try a start inside a run that already failed, and their loops give
@@ -33,10 +33,10 @@ BASE = {
 #: Wide patterns: written-out addresses; any run of digit groups.
 PROPOSED = {
     "contact": rf"(?:\G|(?<!{LOCAL})){LOCAL}++ ?(?:\(at\)|\[at\]|\{{at\}}|@) ?{HOST}++(?: ?(?:\(dot\)|\[dot\]|\{{dot\}}|\.) ?{HOST}++)*+",
-    "number": r"(?:\G|(?<![0-9A-Za-z]))[+(]?[0-9](?:[ ()./:-]{0,2}[0-9])++",
+    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ()./:-]{0,2}[0-9])++(?![0-9A-Za-z])",
 }
-#: A text without any of these marks has no match (fixed by the patterns).
-MARKS = {"email": "@", "phone": "+"}
+#: A match needs one of these strings, or a digit (follows from the patterns).
+MARKS = {"email": ["@"], "phone": ["+"], "contact": ["@", "(at)", "[at]", "{at}"]}
 LEAST_DIGITS = 7  # of a proposed number
 
 PRECISION = 0.98
@@ -47,10 +47,11 @@ PLACE = "array<struct<kind:string,start:bigint,end:bigint,match:string>>"
 
 
 def _all_matches(text: Column, kind: str, pattern: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if kind in MARKS:
-        return F.when(text.contains(MARKS[kind]), found).otherwise(F.array().cast("array<string>"))
-    return found
+    """Most texts lack the marks and are not read by the pattern at all."""
+    marks = [text.contains(mark) for mark in MARKS.get(kind, [])]
+    may = reduce(lambda a, b: a | b, marks) if marks else F.col("_digit")
+    none = F.array().cast("array<string>")
+    return F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
 
 def _placed(kind: str, matches: Column, between: Column) -> Column:
@@ -88,18 +89,26 @@ _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_SHAPE = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 
-def _holds(kind: str, span: Column) -> Column:
-    match = span["match"]
-    size = F.char_length(digits(match))
-    if kind == "ip":
-        return match.rlike(IP_SHAPE)
-    if kind == "card":
-        return F.when(size.between(13, 19), luhn(digits(match))).otherwise(F.lit(False))
-    if kind == "phone":
-        return size.between(9, 15)
-    if kind == "number":
-        return size >= LEAST_DIGITS
-    return F.lit(True)
+def _card(span: Column) -> Column:
+    number = digits(span["match"])
+    return F.when(F.char_length(number).between(13, 19), luhn(number)).otherwise(F.lit(False))
+
+
+#: What a match must be, besides matching; the others always hold.
+CHECKS = {
+    "ip": lambda s: s["match"].rlike(IP_SHAPE),
+    "card": _card,
+    "phone": lambda s: F.char_length(digits(s["match"])).between(9, 15),
+    "number": lambda s: F.char_length(digits(s["match"])) >= LEAST_DIGITS,
+}
+
+
+def _valid(kind: str, spans: Column) -> Column:
+    return F.filter(spans, CHECKS[kind]) if kind in CHECKS else spans
+
+
+def _of_kind(kind: str) -> Column:
+    return F.filter("_base", lambda s: s["kind"] == kind)
 
 
 def _features(span: Column, text: Column) -> list[Column]:
@@ -141,17 +150,13 @@ def with_spans(docs: DataFrame) -> DataFrame:
     text = F.col("_text")
     kinds = BASE | PROPOSED
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    df = df.withColumn("_digit", text.rlike("[0-9]"))
     df = df.withColumns({f"_m_{k}": _all_matches(text, k, p) for k, p in kinds.items()})
     none = F.array().cast("array<string>")
     df = df.withColumns(
         {f"_b_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in kinds.items()}
     )
-    df = df.withColumns(
-        {
-            f"_s_{k}": F.filter(_placed(k, F.col(f"_m_{k}"), F.col(f"_b_{k}")), lambda s, k=k: _holds(k, s))
-            for k in kinds
-        }
-    )
+    df = df.withColumns({f"_s_{k}": _valid(k, _placed(k, F.col(f"_m_{k}"), F.col(f"_b_{k}"))) for k in kinds})
     df = df.withColumn("_base", F.concat(*(F.col(f"_s_{k}") for k in BASE)))
 
     def judged(span: Column) -> Column:
@@ -166,7 +171,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
     proposed = F.concat(*(F.col(f"_s_{k}") for k in PROPOSED))
     df = df.withColumn("_proposed", F.transform(proposed, judged))
-    return df.drop("_text", *(f"_{x}_{k}" for x in "mbs" for k in kinds))
+    return df.drop("_text", "_digit", *(f"_{x}_{k}" for x in "mbs" for k in kinds))
 
 
 def fit(docs: DataFrame) -> dict[str, list[int]]:
@@ -189,7 +194,7 @@ def fit(docs: DataFrame) -> dict[str, list[int]]:
         least = None
         for score in sorted(set(scores.tolist()), reverse=True):  # thresholds, falling
             chosen = scores >= score
-            if n[1, 1, chosen].sum() < PRECISION * n[1][:, chosen].sum():
+            if score <= 0 or n[1, 1, chosen].sum() < PRECISION * n[1][:, chosen].sum():
                 break
             least = score
         if least is not None:
@@ -225,9 +230,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """
     accepted = fit(docs)
     spanned = with_spans(docs.select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE
-    ]
+    counts = [F.size(_of_kind(k)).cast("bigint").alias(f"n_{k}") for k in BASE]
     base = _listed(F.col("_base"))
     every = F.array_join(F.filter(F.array(base, _listed(added(accepted))), lambda x: x != ""), ",")
     return spanned.select(
@@ -241,11 +244,12 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named for the first. All columns stay, ``n_chars`` follows the
     text when there is one; a null text stays null.
     """
-    columns = docs.columns
     accepted = fit(docs)
     plain = F.transform("_base", lambda s: F.struct(s["start"], s["end"], s["kind"]))
     more = F.transform(added(accepted), lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    df = with_spans(docs).withColumn("_spans", F.array_sort(F.concat(plain, more)))
+    # Whole rows are one column, so that no name of theirs meets the ones used here.
+    df = with_spans(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    df = df.withColumn("_spans", F.array_sort(F.concat(plain, more)))
 
     def step(seen: Column, span: Column) -> Column:
         start, end, kind = span["start"], span["end"], span["kind"]
@@ -261,7 +265,7 @@ def redact(docs: DataFrame) -> DataFrame:
         F.substr(F.col("text"), (seen["at"] + 1).cast("int"), F.char_length("text")),
     )
     clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", empty, step, rest)).otherwise(F.col("text"))
-    df = df.withColumn("text", clean)
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars")))
-    return df.select(*columns)
+    new = {"text": clean}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.char_length(clean).cast("bigint"), F.col("_row.n_chars"))
+    return df.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
