@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from linewright.functions import paths, text
 
-# The alias grammar, host specs, host numbers and file URIs.
+# The alias grammar, host specs and host numbers.
 ALIAS_PATTERN = r"(\w+)\s*=\s*(\w+)(?:\s+-([hlc]))?((?:\s+-\w+)*)"
 SPEC_LIST = r"\w+(?:,\w+)*"
 SPEC_RANGE = r"(\w+)\[(\d+)-(\d+)\]"
 HOST_NUMBER = r"[a-zA-Z]+([0-9]+)"
-HDFS_URI = r"hdfs://(?:\w+|(?:\d{1,3})(?:(\.\w+){1,3}))(/\w+)+"
 
 
 def grep_lines(

@@ -2,65 +2,112 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions.text import full_match
 from linewright.operators.filters import SPEC_LIST, SPEC_RANGE
-from linewright.plans.ranking import EARLY_CUT, group_rank
-from linewright.plans.sizing import fits_broadcast, sized_join
+from linewright.plans.ranking import early_cut, group_rank
+from linewright.plans.scratch import written
+from linewright.plans.sizing import all_equal, fits_broadcast
 
-# A range is opened in two steps, so no row ever holds an array of the whole range.
+# A range is opened level by level, RANGE_STEP parts each, so no row ever holds a long array.
 RANGE_STEP = 10_000
+RANGE_LEVELS = 4
+MOST_HOSTS = 10**18
+
+# Bounds are kept as text; arithmetic is done on this many of their last digits.
+TAIL_DIGITS = 36
+WIDE = "decimal(38,0)"
+
+
+def _power() -> Column:
+    return F.lit("1" + "0" * TAIL_DIGITS).cast(WIDE)
+
+
+@lru_cache(maxsize=1)
+def _other_digits() -> tuple[str, str]:
+    """Decimal digits of all scripts but ASCII, and the ASCII digit of each."""
+    found = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
+def _successor(digits: Column) -> Column:
+    """The next number after a string of digits; an empty string stands for zero."""
+    kept = F.rtrim(digits, F.lit("9"))
+    nines = F.char_length(digits) - F.char_length(kept)
+    last = F.right(kept, F.lit(1)).cast("int") + 1
+    grown = F.concat(F.left(kept, F.char_length(kept) - 1), last.cast("string"))
+    return F.concat(F.when(kept == "", "1").otherwise(grown), F.repeat(F.lit("0"), nines))
+
+
+def _number_from(head: Column, tail: Column, offset: Column) -> Column:
+    """Digits of ``head * 10**TAIL_DIGITS + tail + offset``, without leading zeros."""
+    total = tail + offset.cast("decimal(20,0)")
+    # A carry out of the tail adds one to the head, once at most.
+    carried = total >= _power()
+    rest = F.when(carried, total - _power()).otherwise(total).cast(WIDE).cast("string")
+    start = F.when(carried, _successor(head)).otherwise(head)
+    return F.when(start == "", rest).otherwise(F.concat(start, F.lpad(rest, TAIL_DIGITS, "0")))
 
 
 def expand_specs(specs: DataFrame, spec: str = "spec") -> DataFrame:
     """One row per host of ``name[a-b]`` or ``n1,n2,..``: adds ``host_no`` and ``host``.
 
-    Bounds are inclusive numbers, so leading zeros are lost and a reversed range is
-    empty. Anything else gives no rows.
+    Bounds are inclusive numbers of any length, so leading zeros are lost and a reversed
+    range is empty. Anything else gives no rows. A range of more than MOST_HOSTS hosts, which
+    no table could hold, stops the job with a message.
     """
     value = F.col(spec)
+    pattern = "(?U)" + SPEC_RANGE
     form = specs.withColumns(
-        {
-            "_range": full_match(value, "(?U)" + SPEC_RANGE),
-            "_list": full_match(value, "(?U)" + SPEC_LIST),
-        }
-    )
-    parts = form.withColumns(
-        {
-            "_stem": F.regexp_extract(value, "(?U)" + SPEC_RANGE, 1),
-            "_lo": F.regexp_extract(value, "(?U)" + SPEC_RANGE, 2).try_cast("bigint"),
-            "_hi": F.regexp_extract(value, "(?U)" + SPEC_RANGE, 3).try_cast("bigint"),
-        }
+        {"_range": full_match(value, pattern), "_list": full_match(value, "(?U)" + SPEC_LIST)}
     )
-    step = F.lit(RANGE_STEP).cast("bigint")
-    blocks = parts.withColumn(
-        "_blocks",
-        F.when(
-            F.col("_range") & (F.col("_lo") <= F.col("_hi")),
-            F.sequence(F.col("_lo"), F.col("_hi"), step),
-        ).when(F.col("_list"), F.array(F.lit(0).cast("bigint"))),
-    )
-    # The outer form keeps Catalyst from inferring a filter that matches specs twice.
-    block = blocks.select(
-        *specs.columns, "_list", "_stem", "_lo", "_hi", F.explode_outer("_blocks").alias("_block")
-    ).filter("_block IS NOT NULL")
-    top = F.least(F.col("_block") + step - 1, F.col("_hi"))
-    hosts = F.when(F.col("_list"), F.split(value, ",")).otherwise(
-        F.transform(
-            F.sequence(F.col("_block"), top),
-            lambda n: F.concat(F.col("_stem"), n.cast("string")),
+    cut = form.withColumn("_stem", F.regexp_extract(value, pattern, 1))
+    for name, group in (("_lo", 2), ("_hi", 3)):
+        digits = F.translate(F.regexp_extract(value, pattern, group), *_other_digits())
+        cut = cut.withColumn(name, F.ltrim(digits, F.lit("0")))
+        size = F.char_length(name)
+        tail = F.nullif(F.right(name, F.least(size, F.lit(TAIL_DIGITS))), F.lit(""))
+        cut = cut.withColumns(
+            {
+                f"{name}_head": F.left(name, F.greatest(size - TAIL_DIGITS, F.lit(0))),
+                f"{name}_tail": F.coalesce(tail, F.lit("0")).cast(WIDE),
+            }
+        )
+    by_size = F.char_length("_hi") - F.char_length("_lo")
+    below = (by_size < 0) | ((by_size == 0) & (F.col("_hi") < F.col("_lo")))
+    count = (
+        F.when(F.col("_hi_head") == F.col("_lo_head"), F.col("_hi_tail") - F.col("_lo_tail") + 1)
+        .when(
+            F.col("_hi_head") == _successor(F.col("_lo_head")),
+            F.col("_hi_tail") + (_power() - F.col("_lo_tail")) + 1,
         )
+        .otherwise(_power())
     )
-    opened = block.select(
-        *specs.columns,
-        F.when(F.col("_list"), F.lit(0)).otherwise(F.col("_block") - F.col("_lo")).alias("_skip"),
-        F.posexplode(hosts).alias("_at", "host"),
+    too_wide = F.raise_error(F.concat(F.lit("range too wide: "), value)).cast("bigint")
+    size = (
+        F.when(F.col("_list"), F.lit(1).cast("bigint"))
+        .when(~F.col("_range") | below, F.lit(0).cast("bigint"))
+        .when(count > MOST_HOSTS, too_wide)
+        .otherwise(count.cast("bigint"))
     )
-    return opened.select(
+    opened = cut.withColumns({"_size": size, "_skip": F.lit(0).cast("bigint")}).filter("_size > 0")
+    for level in reversed(range(RANGE_LEVELS)):
+        step = RANGE_STEP**level
+        last = F.expr(f"(_size - _skip - 1) div {step}")
+        if level < RANGE_LEVELS - 1:
+            last = F.least(last, F.lit(RANGE_STEP - 1).cast("bigint"))
+        # The outer form keeps Catalyst from inferring a filter that works all this out twice.
+        opened = opened.withColumn("_at", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last)))
+        opened = opened.withColumn("_skip", F.col("_skip") + F.col("_at") * step).drop("_at")
+    name = F.concat("_stem", _number_from(F.col("_lo_head"), F.col("_lo_tail"), F.col("_skip")))
+    hosts = F.when(F.col("_list"), F.split(value, ",")).otherwise(F.array(name))
+    return opened.select(*specs.columns, "_skip", F.posexplode(hosts).alias("_at", "host")).select(
         *specs.columns, (F.col("_skip") + F.col("_at")).cast("bigint").alias("host_no"), "host"
     )
 
@@ -70,26 +117,29 @@ def spec_expand_join(
 ) -> DataFrame:
     """Rows of ``df`` named by each spec: an equi-join on the expanded host.
 
-    A small ``df`` is sent to the specs. Otherwise small specs are sent to ``df``, and
-    beyond that rows of hot keys in ``df`` are joined apart.
+    Output, whatever the sizes: the columns of ``specs``, ``host_no``, ``host``, then those of
+    ``df``. A column of ``df`` whose name is already taken comes out as ``<name>_of_row``, but a
+    key called ``host`` is not repeated. Adaptive execution sends a small side round and
+    splits frequent hosts on either side.
     """
     hosts = expand_specs(specs, spec)
-    if fits_broadcast(df):
-        return hosts.join(F.broadcast(df), F.col("host") == F.col(key))
-    joined = sized_join(df, hosts, {key: "host"}, "inner")
-    return joined.select(*specs.columns, "host_no", F.col(key).alias("host"), *df.columns)
-
-
-def fan_out(
-    df: DataFrame, targets: Sequence[str], name: str = "target", max_targets: int = 10_000
-) -> DataFrame:
+    taken = {c.lower() for c in hosts.columns}
+    inner = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    joined = hosts.join(df.select(*(F.col(c).alias(n) for c, n in inner.items())), F.col("host") == F.col(inner[key]))
+    rows = [
+        F.col(n).alias(f"{c}_of_row" if c.lower() in taken else c)
+        for c, n in inner.items()
+        if not (c == key and c.lower() == "host")
+    ]
+    return joined.select(*hosts.columns, *rows)
+
+
+def fan_out(df: DataFrame, targets: Sequence[str], name: str = "target") -> DataFrame:
     """Every row once per target, in target order (``target_no``).
 
     Targets are the short list a caller writes down, so they travel inside the plan as
     an array: each row is opened where it lies, without a join.
     """
-    if len(targets) > max_targets:
-        raise ValueError(f"{len(targets)} targets; at most {max_targets} are allowed")
     listed = F.array(*[F.lit(t) for t in targets]).cast("array<string>")
     opened = df.select("*", F.posexplode(listed).alias("target_no", name))
     return opened.withColumn("target_no", F.col("target_no").cast("bigint"))
@@ -112,7 +162,7 @@ def lookup_precedence(
             for s in ("common", "hdfs", "local")
         ]
     )
-    found = sized_join(df, table, {key: "_name"}, "left")
+    found = df.join(table, F.col(key) == F.col("_name"), "left")
     chosen = F.coalesce(
         F.col("_common"), F.when(hdfs_mode, F.col("_hdfs")), F.col("_local")
     )
@@ -138,12 +188,13 @@ def apply_aliases(
 
 
 def keyed_upsert(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Drop every row of an updated key, then add the update rows.
+    """Drop every row of an updated key, then add the update rows. NULL is a key like any.
 
-    Only the distinct keys meet the target, so a key with many update rows is small.
+    An anti join needs each key once or often, so nothing is made distinct or measured first.
     """
-    keys = updates.select(*key).distinct()
-    return sized_join(target, keys, {k: k for k in key}, "left_anti").unionByName(updates)
+    keys = updates.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)))
+    same = all_equal({k: f"_key{i}" for i, k in enumerate(key)}, null_safe=True)
+    return target.join(keys, same, "left_anti").unionByName(updates)
 
 
 def member_filter(
@@ -153,33 +204,34 @@ def member_filter(
 
     ``on`` maps columns of ``df`` to columns of ``members``. A NULL key is no member.
     """
-    keys = members.select(*on.values()).distinct()
-    return sized_join(df, keys, on, "left_anti" if negate else "left_semi")
+    keys = members.select(*(F.col(m).alias(f"_key{i}") for i, m in enumerate(on.values())))
+    same = all_equal({k: f"_key{i}" for i, k in enumerate(on)})
+    return df.join(keys, same, "left_anti" if negate else "left_semi")
 
 
 def sync_delta(src: DataFrame, dst: DataFrame, key: Sequence[str]) -> DataFrame:
     """Compare two tables by key: ``status`` is added, changed, same or target_only.
 
-    Both sides go through one grouped aggregation, so there is one shuffle and partial
-    results combine before it. Each key gives one row with the source values as
-    ``src`` and the target values as ``dst``; of several rows with one key on one
-    side the largest counts.
+    One full outer join: a row has the source values as ``src`` and the target values as
+    ``dst``. NULL is a key like any. Keys should be unique on each side; repeated ones give a row
+    per pair, so that none is lost.
     """
     values = [c for c in src.columns if c not in key]
 
-    def side(df: DataFrame, here: str, there: str) -> DataFrame:
-        row = F.struct(*values)
-        return df.select(*key, row.alias(here), F.when(F.lit(False), row).alias(there))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        keys = (F.col(k).alias(f"_{name}{i}") for i, k in enumerate(key))
+        return df.select(*keys, F.struct(*values).alias(name), F.lit(True).alias(f"_in_{name}"))
 
-    both = side(src, "src", "dst").unionByName(side(dst, "dst", "src"))
-    merged = both.groupBy(*key).agg(F.max("src").alias("src"), F.max("dst").alias("dst"))
+    same = all_equal({f"_src{i}": f"_dst{i}" for i in range(len(key))}, null_safe=True)
+    both = side(src, "src").join(side(dst, "dst"), same, "full_outer")
     status = (
-        F.when(F.col("dst").isNull(), "added")
-        .when(F.col("src").isNull(), "target_only")
+        F.when(F.col("_in_dst").isNull(), "added")
+        .when(F.col("_in_src").isNull(), "target_only")
         .when(F.col("src").eqNullSafe(F.col("dst")), "same")
         .otherwise("changed")
     )
-    return merged.withColumn("status", status)
+    keys = [F.coalesce(f"_src{i}", f"_dst{i}").alias(k) for i, k in enumerate(key)]
+    return both.select(*keys, "src", "dst", status.alias("status"))
 
 
 def apply_delta(delta: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -200,7 +252,7 @@ def prefix_complete(
     """The first ``k`` corpus lines that start with each query.
 
     Lines come in code point order, or in that of the corpus columns ``order`` (candidates
-    as their source lists them). Duplicates in the corpus stay. An empty query gives
+    as their source lists them; ties by the line). Duplicates in the corpus stay. An empty query gives
     nothing unless ``empty_asks_all``. Output: query, ``rank`` from 1, line.
 
     Each line is looked up by its own heads of those lengths that some query has: an
@@ -210,7 +262,8 @@ def prefix_complete(
     asked = queries.select(F.col(query).alias("_head")).filter("_head IS NOT NULL").distinct()
     if not empty_asks_all:
         asked = asked.filter("_head <> ''")
-    by = [f"_o{i}" for i in range(len(order))] or ["_line"]
+    asked = written(asked, "asked")  # read three times below
+    by = [*(f"_o{i}" for i in range(len(order))), "_line"]
     lengths = asked.agg(F.collect_set(F.length("_head"))).scalar()
     lines = corpus.select(
         F.col(line).alias("_line"),
@@ -229,7 +282,7 @@ def prefix_complete(
     window = Window.partitionBy("_head").orderBy(*by)
 
     def best(df: DataFrame) -> DataFrame:
-        if k > EARLY_CUT:
+        if k > early_cut(df):
             ranked = group_rank(df, ["_head"], by, "_rank")
         else:
             ranked = df.withColumn("_rank", F.row_number().over(window))

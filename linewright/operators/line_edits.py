@@ -71,6 +71,24 @@ def rewrite_lines(
     )
 
 
+def rewrite_by_rules(
+    df: DataFrame, rules: Sequence[tuple[str, str]], whole_line: bool = True
+) -> DataFrame:
+    """Apply several (find, new) rules in one pass over the lines.
+
+    Each line takes the rules in order and sees what the ones before made of it. By default
+    ``new`` replaces the whole line that holds ``find``.
+    """
+
+    def rewritten(line: Column) -> Column:
+        for find, new in rules:
+            changed = F.lit(new) if whole_line else F.replace(line, F.lit(find), F.lit(new))
+            line = F.when(line_test(find, literal=True)(line), changed).otherwise(line)
+        return line
+
+    return df.withColumn("lines", F.transform("lines", rewritten)) if rules else df
+
+
 def insert_before_marker(df: DataFrame, marker: str, block: Sequence[str]) -> DataFrame:
     """Insert ``block`` before the first line holding ``marker``.
 
@@ -113,7 +131,11 @@ def cut_between_markers(
 
 
 def env_block(name: str, home: str, *relative: str) -> list[str]:
-    """The lines that define an environment variable and extend the search path."""
+    """The lines that define an environment variable and extend the search path.
+
+    The name is put in upper case, like that of the block which ``block_upsert`` removes.
+    """
+    name = name.upper()
     return [
         f"# {name}",
         f"export {name}={home}",
@@ -143,13 +165,15 @@ def block_upsert(
 
     Lines of the old block go: ``# NAME`` (a blank after ``#`` is needed), those holding
     ``export NAME=``, and those holding ``$NAME`` (also as the head of a longer name).
-    ``broad`` drops every line that holds the name. Then a blank line, the block, and
-    runs of blanks collapsed.
+    ``broad`` drops every line that holds the name, as given. Then a blank line, the block, and
+    runs of blanks collapsed. The broad form always writes the blank line first, so a
+    document left without lines begins with one; the other form then begins with the block.
     """
     stale = stale_line(name, broad)
     kept = df.withColumn("lines", F.filter("lines", lambda line: ~stale(line)))
     last = F.get(F.col("lines"), F.size("lines") - 1)
-    gap = F.when(last != "", la.literal_lines(["", ""])).otherwise(la.literal_lines([]))
+    needs_gap = F.coalesce(last != "", F.lit(broad))
+    gap = F.when(needs_gap, la.literal_lines(["", ""])).otherwise(la.literal_lines([]))
     grown = kept.withColumn("lines", F.concat(F.col("lines"), gap, la.literal_lines(block)))
     return collapse_repeats(grown)
 

@@ -19,7 +19,7 @@ from linewright.functions.line_arrays import blank_repeat, literal_lines
 from linewright.functions.text import line_test
 from linewright.operators.line_edits import stale_line
 from linewright.plans.scratch import written
-from linewright.plans.sizing import sized_join
+from linewright.plans.sizing import all_equal, sized_join
 
 # Positions per chunk. A window never sees more rows of a document than that.
 CHUNK = 1_000_000
@@ -48,14 +48,26 @@ def _rows(df: DataFrame, doc: Sequence[str], pos: Column | str = "pos") -> DataF
     return df.select(*doc, where.cast("bigint").alias("pos"), "line")
 
 
-def _chunked(df: DataFrame, doc: Sequence[str], chunk: int) -> DataFrame:
+def _with_line(marks: DataFrame, df: DataFrame, doc: Sequence[str], at: str, name: str) -> DataFrame:
+    """Add as ``name`` the line of ``df`` at position ``at``; only positions were aggregated."""
+    there = {f"_d{i}": F.col(c) for i, c in enumerate(doc)} | {"_p": F.col("pos"), name: F.col("line")}
+    found = df.select(*(c.alias(n) for n, c in there.items()))
+    same = all_equal({c: f"_d{i}" for i, c in enumerate(doc)}, null_safe=True)
+    joined = marks.join(found, same & (F.col(at) == F.col("_p")), "left")
+    return joined.select(*marks.columns, name)
+
+
+def _chunked(
+    df: DataFrame, doc: Sequence[str], chunk: int, beyond: DataFrame | None = None
+) -> DataFrame:
     """Add what a row knows of the rows before it in its document.
 
     ``_no`` is its number from 1 and ``_prev`` the line before; ``_chunk`` is kept, so that
     a second step on the same chunks finds its rows in place. Windows run over chunks of
     positions. Documents that stay within one chunk, usually all, are done with that.
     For the others, each chunk also gets the count and the last line of the chunks
-    before it, from a table with one row per chunk.
+    before it, from a table with one row per chunk. ``beyond`` has the keys of those documents,
+    if the caller knows them.
     """
     part = df
     if "_chunk" not in df.columns:
@@ -63,16 +75,14 @@ def _chunked(df: DataFrame, doc: Sequence[str], chunk: int) -> DataFrame:
     here = Window.partitionBy(*doc, "_chunk").orderBy("pos")
     seen = part.withColumns({"_no": F.row_number().over(here), "_prev": F.lag("line").over(here)})
 
-    beyond = df.filter(F.col("pos") >= chunk).select(*doc).distinct()
+    if beyond is None:
+        beyond = written(df.filter(F.col("pos") >= chunk).select(*doc).distinct(), "long-docs")
     if beyond.isEmpty():
         return seen
-    beyond = written(beyond, "long-docs")
     same = {c: c for c in doc}
-    chunks = (
-        sized_join(part, beyond, same, "left_semi", null_safe=True)
-        .groupBy(*doc, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max_by("line", "pos").alias("_last"))
-    )
+    long_docs = sized_join(part, beyond, same, "left_semi", null_safe=True)
+    chunks = long_docs.groupBy(*doc, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.max("pos").alias("_end"))
+    chunks = _with_line(chunks, long_docs, doc, "_end", "_last")
     order = Window.partitionBy(*doc).orderBy("_chunk")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     carried = chunks.select(
@@ -95,9 +105,11 @@ def _chunked(df: DataFrame, doc: Sequence[str], chunk: int) -> DataFrame:
     )
 
 
-def renumbered(df: DataFrame, doc: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def renumbered(
+    df: DataFrame, doc: Sequence[str], chunk: int = CHUNK, beyond: DataFrame | None = None
+) -> DataFrame:
     """Close the gaps in ``pos``."""
-    return _rows(_chunked(df, doc, chunk), doc, F.col("_no") - 1)
+    return _rows(_chunked(df, doc, chunk, beyond), doc, F.col("_no") - 1)
 
 
 def collapse_repeats(
@@ -111,10 +123,14 @@ def collapse_repeats(
 
 
 def _collapsed(
-    df: DataFrame, doc: Sequence[str], repeats: Callable[[Column, Column], Column], chunk: int
+    df: DataFrame,
+    doc: Sequence[str],
+    repeats: Callable[[Column, Column], Column],
+    chunk: int,
+    beyond: DataFrame | None = None,
 ) -> DataFrame:
     again = F.coalesce(repeats(F.col("_prev"), F.col("line")), F.lit(False))
-    kept = _chunked(df, doc, chunk).filter((F.col("_no") == 1) | ~again)
+    kept = _chunked(df, doc, chunk, beyond).filter((F.col("_no") == 1) | ~again)
     return kept.drop("_no", "_prev")
 
 
@@ -168,15 +184,37 @@ def rewrite_first(
     return seen.withColumn("line", line).select(*df.columns)
 
 
+def _with_empty(marks: DataFrame, docs: DataFrame | None, doc: Sequence[str]) -> DataFrame:
+    """Add the documents of ``docs`` that have no line: their last position is -1."""
+    if docs is None:
+        return marks
+    keys = docs.select(*(F.col(c).alias(f"_d{i}") for i, c in enumerate(doc)))
+    keys = keys.groupBy(*keys.columns).agg(F.lit(-1).cast("bigint").alias("_none"))
+    same = all_equal({c: f"_d{i}" for i, c in enumerate(doc)}, null_safe=True)
+    both = marks.join(keys, same, "full_outer")
+    named = [F.coalesce(c, f"_d{i}").alias(c) for i, c in enumerate(doc)]
+    rest = [c for c in marks.columns if c not in (*doc, "_top")]
+    return both.select(*named, *rest, F.coalesce("_top", "_none").alias("_top"))
+
+
 def insert_before_marker(
-    df: DataFrame, doc: Sequence[str], marker: str, block: Sequence[str]
+    df: DataFrame,
+    doc: Sequence[str],
+    marker: str,
+    block: Sequence[str],
+    docs: DataFrame | None = None,
 ) -> DataFrame:
-    """Insert ``block`` before the first marker line, or append marker and block."""
+    """Insert ``block`` before the first marker line, or append marker and block.
+
+    A document without lines has no rows here; ``docs``, a table with all document keys,
+    lets it get marker and block as well.
+    """
     test = line_test(marker, literal=True)
-    docs = df.groupBy(*doc).agg(
-        F.min(F.when(test(F.col("line")), F.col("pos"))).alias("_at"), F.max("pos").alias("_top")
+    marks = df.groupBy(*doc).agg(
+        F.min(F.when(test(F.col("line")), F.col("pos"))).alias("_at"),
+        F.max("pos").cast("bigint").alias("_top"),
     )
-    docs = written(docs, "docs")
+    docs = written(_with_empty(marks, docs, doc), "docs")
     after = F.col("pos") >= F.col("_at")
     moved = _per_document(df, docs, doc).select(
         *doc, F.when(after, F.col("pos") + len(block)).otherwise(F.col("pos")).alias("pos"), "line"
@@ -231,24 +269,31 @@ def block_upsert(
     block: Sequence[str],
     broad: bool = False,
     chunk: int = CHUNK,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
-    """Replace the block of ``name`` in every document, or append it (see ``line_edits``)."""
+    """Replace the block of ``name`` in every document, or append it (see ``line_edits``).
+
+    A document without lines has no rows here; ``docs``, a table with all document keys,
+    lets it get the block as well.
+    """
     stale = stale_line(name, broad)
     fresh = ~stale(F.col("line"))
-    # One row per document, also where every line goes.
-    docs = df.groupBy(*doc).agg(
-        F.max("pos").alias("_top"),
-        F.max_by(F.when(fresh, F.col("line")), F.when(fresh, F.col("pos"))).alias("_last"),
+    # One row per document, also where every line goes. The last place that stays carries in its
+    # lowest bit whether its line is blank: a maximum of numbers needs no sort.
+    place = F.col("pos").cast("bigint") * 2 + (F.col("line") != "").cast("int")
+    marks = df.groupBy(*doc).agg(
+        F.max("pos").cast("bigint").alias("_top"), F.max(F.when(fresh, place)).alias("_end")
     )
-    docs = written(docs, "docs")
-    gap = docs.filter("_last <> ''")
+    marks = written(_with_empty(marks, docs, doc), "docs")
+    gap = marks.filter(F.coalesce(F.col("_end") % 2 == 1, F.lit(broad)))
     grown = reduce(
         DataFrame.unionByName,
         [
             _rows(df.filter(fresh), doc),
             _block_rows(gap, doc, ["", ""], F.col("_top") + 1),
-            _block_rows(docs, doc, block, F.col("_top") + 3),
+            _block_rows(marks, doc, block, F.col("_top") + 3),
         ],
     )
+    beyond = marks.filter(F.col("_top") + 3 + len(block) >= chunk).select(*doc)
     # Both steps use the same chunks, so numbering needs no further exchange.
-    return renumbered(_collapsed(grown, doc, blank_repeat, chunk), doc, chunk)
+    return renumbered(_collapsed(grown, doc, blank_repeat, chunk, beyond), doc, chunk, beyond)

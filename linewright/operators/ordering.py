@@ -6,13 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewright.functions.text import line_test
 from linewright.operators.filters import grep_lines
-from linewright.plans.ranking import EARLY_CUT, global_rank, group_rank
+from linewright.plans.ranking import early_cut, global_rank, group_rank
 from linewright.plans.sizing import sized_join
 
 
+def _orderable(df: DataFrame) -> list[str]:
+    """Columns that rows can be sorted by."""
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
 def sort_lines(
     df: DataFrame, line: str = "line", ties: Sequence[str] = (), rank: str | None = None
 ) -> DataFrame:
@@ -51,12 +57,21 @@ def head_tail(
 ) -> DataFrame:
     """First or last ``n`` rows of each group, with ``rank`` counted from that end.
 
-    ``order`` should be unique in the group. Without a group it is a plain top-n.
+    Rows that are equal in ``order`` follow their other columns, so the answer does not depend
+    on chance. Without a group it is a top-n of the whole table: its rows are cut to n in each
+    task first, or, for a large n, ranked in runs over many tasks.
     """
+    order = list(dict.fromkeys([*order, *_orderable(df)]))
     keys: list[Column] = [F.col(c).asc() if end == "head" else F.col(c).desc() for c in order]
     if not group:
-        return df.orderBy(*keys).limit(n)
-    if n <= EARLY_CUT:
+        if n <= early_cut(df):
+            top = df.orderBy(*keys).limit(n)
+            return top.withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+        ranked = global_rank(df, order, "rank")
+        if end == "tail":
+            ranked = ranked.withColumn("rank", F.lit(df.count()) - F.col("rank") + 1)
+        return ranked.filter(F.col("rank") <= n)
+    if n <= early_cut(df):
         window = Window.partitionBy(*group).orderBy(*keys)
         ranked = df.withColumn("rank", F.row_number().over(window).cast("int"))
         return ranked.filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
@@ -80,10 +95,11 @@ def kth_match(
 ) -> DataFrame:
     """Row number ``k`` (from 0) among the matching rows of each group.
 
-    Groups with fewer matches give nothing.
+    Groups with fewer matches give nothing. Ties in ``order`` follow the other columns.
     """
     hits = df.filter(line_test(pattern, literal)(F.col(line)))
-    if k < EARLY_CUT:
+    order = list(dict.fromkeys([*order, *_orderable(df)]))
+    if k < early_cut(df):
         window = Window.partitionBy(*group).orderBy(*order)
         ranked = hits.withColumn("_rank", F.row_number().over(window))
     else:

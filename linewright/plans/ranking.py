@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from linewright.plans.scratch import written
 from linewright.plans.sizing import HOT_ROWS, all_equal, fits_broadcast, split_hot
 
-# Up to this many rows per group Spark cuts each task's share of a ``row_number() <= n``
-# before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold), so that a hot group
-# is small by then.
-EARLY_CUT = 1000
+# Up to so many rows per group Spark cuts each task's share of a ``row_number() <= n`` before
+# the shuffle, so that a hot group is small by then.
+CUT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def early_cut(df: DataFrame) -> int:
+    """The session's bound for that cut; -1 when it is off."""
+    return int(df.sparkSession.conf.get(CUT_CONF, "1000"))
+
 
 # monotonically_increasing_id keeps the partition above bit 33 and the row below it.
 _ROW_BITS = 33
@@ -29,11 +34,14 @@ def sorted_runs(
 ) -> DataFrame:
     """Rows in even sorted runs, with ``_run`` and ``_row`` (0-based in the run).
 
-    ``by`` should be unique per row: then no single value, however frequent, can
-    fill one run. ``n_runs`` defaults to the shuffle partitions of the session.
+    A last, random part of the range key lets rows that are equal in ``by`` spread over runs, so
+    no value, however frequent, fills one. ``n_runs`` defaults to the shuffle partitions of
+    the session.
     """
-    spread = df.repartitionByRange(n_runs, *by) if n_runs else df.repartitionByRange(*by)
-    runs = spread.sortWithinPartitions(*by)
+    salted = df.withColumn("_salt", F.rand(20))
+    wide = [*by, "_salt"]
+    spread = salted.repartitionByRange(n_runs, *wide) if n_runs else salted.repartitionByRange(*wide)
+    runs = spread.sortWithinPartitions(*wide).drop("_salt")
     table = written(runs.withColumn("_id", F.monotonically_increasing_id()), label)
     return table.select(
         *df.columns,

@@ -14,7 +14,6 @@ from linewright.plans.scratch import written
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
-MOST_RUNS = 10_000
 
 
 def fits_broadcast(
@@ -77,15 +76,14 @@ def split_hot(
     """Split ``df`` into rows of ordinary keys, rows of hot keys, and a number of runs.
 
     Without hot keys the second part is None. The number says into how many runs the hot
-    rows should be cut: about ``max_rows`` rows each, within what one range exchange can
-    plan.
+    rows should be cut: about ``max_rows`` rows each.
     """
     found = hot_keys(df, keys, max_rows)
     if found is None:
         return df, None, 0
     hot, rows = found
     same = all_equal({k: f"_hot{i}" for i, k in enumerate(keys)}, null_safe=True)
-    n_runs = min(MOST_RUNS, rows // max_rows + 1)
+    n_runs = rows // max_rows + 1
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi"), n_runs
 
 

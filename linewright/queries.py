@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,9 +134,22 @@ def copy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.orc(out)
 
 
-@bind(None)
+@bind(
+    """
+SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(sum(strlen(concat(c_name, ' ', c_mktsegment)) + 1) AS BIGINT) AS length
+FROM customer GROUP BY 1
+"""
+)
 def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.file_catalog(spark, sf_dir, glob="*.parquet", sort="size")
+    """Customers as text files, a folder per nation: bytes found in each folder."""
+    out = scratch_path(spark, "catalog")
+    rows = table(spark, sf_dir, "customer")
+    rows.select("c_nationkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("line")).write.partitionBy(
+        "c_nationkey"
+    ).text(out)
+    found = listing.file_catalog(spark, out, recursive=True, sort="size", folders=True)
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)$", 1).try_cast("bigint")
+    return found.select(nation.alias("nation"), "length")
 
 
 LOCATIONS_SQL = """
@@ -185,10 +199,14 @@ def namespace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bind("SELECT * FROM events")
 def follow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    stream = follow.follow_files(spark, sf_dir, schema, glob="events.parquet")
-    out = scratch_path(spark, "follow")
-    follow.land(stream, out, scratch_path(spark, "follow-checkpoint")).awaitTermination()
+    """Events land in an inbox in two slices; each is followed in a run of its own."""
+    events = table(spark, sf_dir, "events")
+    inbox, out, mark = (scratch_path(spark, f"follow-{x}") for x in ("inbox", "out", "mark"))
+    low = F.coalesce(F.col("value") < 10, F.lit(False))
+    for part in (low, ~low):
+        sinks.append_table(inbox, events.filter(part))
+        stream = follow.follow_files(spark, inbox, events.schema, recursive=True)
+        follow.land(stream, out, mark).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -201,19 +219,32 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS
 FROM k WHERE prev IS DISTINCT FROM line"""
 )
 def rewrite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch_path(spark, "rewrite")
-    doc_arrays(spark, sf_dir).write.parquet(out)
-    edited = line_edits.collapse_repeats(spark.read.parquet(out), lambda a, b: a == b)
-    sinks.rewrite_table(edited, out)
-    return lines.unpacked(spark.read.parquet(out))
+    root, name = scratch_path(spark, "rewrite"), f"rewrite_{uuid.uuid4().hex}"
+    sinks.rewrite_table(doc_arrays(spark, sf_dir), name, root)
+    edited = line_edits.collapse_repeats(spark.table(name), lambda a, b: a == b)
+    sinks.rewrite_table(edited, name, root)
+    return lines.unpacked(spark.table(name))
 
 
-@bind("SELECT c_name AS name, c_mktsegment || ' & ' || c_custkey AS value FROM customer")
+@bind(
+    """
+SELECT c_name AS name, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  '
+    WHEN 3 THEN concat('  ', c_mktsegment, ' ') WHEN 4 THEN concat(c_mktsegment, chr(10), c_custkey)
+    ELSE c_mktsegment || ' & ' || c_custkey END AS value FROM customer
+"""
+)
 def xml_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(
-        F.col("c_name").alias("name"),
-        F.concat("c_mktsegment", F.lit(" & "), F.col("c_custkey").cast("string")).alias("value"),
+    """Values with blanks around, blanks only, nothing, NULL and line breaks come back as they were."""
+    kind, number = F.col("c_custkey") % 7, F.col("c_custkey").cast("string")
+    value = (
+        F.when(kind == 0, F.lit(None).cast("string"))
+        .when(kind == 1, "")
+        .when(kind == 2, "  ")
+        .when(kind == 3, F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))
+        .when(kind == 4, F.concat("c_mktsegment", F.lit("\n"), number))
+        .otherwise(F.concat("c_mktsegment", F.lit(" & "), number))
     )
+    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), value.alias("value"))
     out = scratch_path(spark, "xml")
     sinks.xml_export(rows, out)
     return sinks.xml_import(spark, out)
@@ -692,6 +723,12 @@ def member_filter_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- aggregations ----------------------------------------------------------------
 
 
+def _servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        "c_nationkey", "c_custkey", F.concat("c_name", F.lit(":2181")).alias("v")
+    )
+
+
 @bind(
     """
 WITH r AS (
@@ -704,11 +741,20 @@ SELECT c_nationkey, (no - 1) // 25 AS part, count(*) AS n_values,
 FROM r GROUP BY 1, 2
 """
 )
-def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = table(spark, sf_dir, "customer").select(
-        "c_nationkey", "c_custkey", F.concat("c_name", F.lit(":2181")).alias("v")
+def ordered_concat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.ordered_concat_parts(
+        _servers(spark, sf_dir), ["c_nationkey"], "v", ["c_custkey"], part_size=25
     )
-    return aggregates.ordered_concat(hosts, ["c_nationkey"], "v", ["c_custkey"], part_size=25)
+
+
+@bind(
+    """
+SELECT c_nationkey, count(*) AS n_values, string_agg(concat(c_name, ':2181'), ',' ORDER BY c_custkey) AS text
+FROM customer GROUP BY 1
+"""
+)
+def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.ordered_concat(_servers(spark, sf_dir), ["c_nationkey"], "v", ["c_custkey"])
 
 
 @bind(
@@ -777,7 +823,7 @@ def block_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.lit(s) for s in ("", "", "# KEEP", "export KEEP=1")],
     )
     profiles = table(spark, sf_dir, "customer").select("c_custkey", profile.alias("text"))
-    block = line_edits.env_block("BUILDING_HOME", "/opt/b", "sbin")
+    block = line_edits.env_block("building_home", "/opt/b", "sbin")
     edited = line_edits.block_upsert(
         lines.packed(profiles, ["c_custkey"]), "BUILDING_HOME", block
     )
@@ -791,11 +837,12 @@ def block_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, pos, line FROM l WHERE NOT contains(line, 'License')
   UNION ALL
   SELECT doc_id, 1000000 + i, b FROM documents, (VALUES (0, ''), (1, '# License')) AS v(i, b)
-  WHERE i > 0 OR doc_id IN (SELECT doc_id FROM l WHERE NOT contains(line, 'License'))
+), p AS (
+  SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM grown
 )
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos,
        line
-FROM grown"""
+FROM p WHERE NOT (line = '' AND coalesce(prev, 'x') = '')"""
 )
 def block_upsert_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = line_edits.block_upsert(
@@ -820,7 +867,7 @@ def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGES_SQL = """
 SELECT event_id, ts, user_id, event_type, prev FROM (
   SELECT *, lag(event_type) OVER w AS prev, row_number() OVER w AS no FROM events
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id))
 WHERE no > 1 AND prev IS DISTINCT FROM event_type"""
 
 CHANGE_COLUMNS = ["event_id", "ts", "user_id", "event_type"]
@@ -836,7 +883,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT event_id, ts, user_id, event_type, prev FROM (
   SELECT *, lag(user_id) OVER w AS prev, row_number() OVER w AS no FROM events
-  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id))
 WHERE no > 1 AND prev IS DISTINCT FROM user_id"""
 )
 def change_log_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -883,6 +930,18 @@ def rewrite_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unpacked(edited)
 
 
+@bind(
+    LINES_SQL
+    + """
+, a AS (SELECT doc_id, pos, CASE WHEN contains(line, 'token =') THEN 'broker.id=1' ELSE line END AS line FROM l
+), b AS (SELECT doc_id, pos, CASE WHEN contains(line, 'Licens') THEN 'delete.topic=true' ELSE line END AS line FROM a)
+SELECT doc_id, pos, CASE WHEN contains(line, 'id=1') THEN 'broker.id=2' ELSE line END AS line FROM b"""
+)
+def rewrite_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("token =", "broker.id=1"), ("Licens", "delete.topic=true"), ("id=1", "broker.id=2")]
+    return lines.unpacked(line_edits.rewrite_by_rules(doc_arrays(spark, sf_dir), rules))
+
+
 @bind(
     LINES_SQL
     + """
@@ -984,7 +1043,11 @@ def rewrite_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_same_as("insert_before_marker")
 def insert_before_marker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rows.insert_before_marker(
-        doc_lines(spark, sf_dir), ["doc_id"], "Licens", ["# before"]
+        doc_lines(spark, sf_dir),
+        ["doc_id"],
+        "Licens",
+        ["# before"],
+        docs=table(spark, sf_dir, "documents"),
     )
 
 
@@ -998,7 +1061,12 @@ def cut_between_markers_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_same_as("block_upsert_broad")
 def block_upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rows.block_upsert(
-        doc_lines(spark, sf_dir), ["doc_id"], "License", ["# License"], broad=True
+        doc_lines(spark, sf_dir),
+        ["doc_id"],
+        "License",
+        ["# License"],
+        broad=True,
+        docs=table(spark, sf_dir, "documents"),
     )
 
 
@@ -1057,7 +1125,8 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = (ends["hi"] - ends["lo"]) / 3
     cuts = [ends["lo"] + step, ends["lo"] + 2 * step]
     ts = F.col("ts")
-    slices = [ts < cuts[0], (ts >= cuts[0]) & (ts < cuts[1]), ts >= cuts[1]]
+    # Rows without a time come first, as in the batch operator.
+    slices = [ts.isNull() | (ts < cuts[0]), (ts >= cuts[0]) & (ts < cuts[1]), ts >= cuts[1]]
 
     inbox = scratch_path(spark, "inbox")
     out, state, mark = (scratch_path(spark, f"changes-{x}") for x in ("out", "state", "mark"))

@@ -27,16 +27,24 @@ def file_catalog(
     reverse: bool = False,
     names_only: bool = False,
     human: bool = False,
+    folders: bool = False,
 ) -> DataFrame:
     """List files: path, modification time, length; ``human`` adds a readable ``size``.
 
-    ``sort`` is ``name``, ``time`` (newest first) or ``size`` (largest first); ``reverse``
-    turns it round. File contents are never selected, so they are not read.
+    ``recursive`` also lists the files in folders, as those of tables are. ``folders`` lists the
+    folders that hold files instead, with the newest time and all bytes in them. ``sort`` is
+    ``name``, ``time`` (newest first) or ``size`` (largest first); ``reverse`` turns it round.
+    File contents are never selected, so they are not read.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path).select("path", "modificationTime", "length")
+    if folders:
+        above = F.regexp_replace("path", "/[^/]*$", "")
+        files = files.groupBy(above.alias("path")).agg(
+            F.max("modificationTime").alias("modificationTime"), F.sum("length").alias("length")
+        )
     keys = [
         F.col(c).desc() if down != reverse else F.col(c).asc()
         for c, down in [*_ORDERS[sort], *([] if sort == "name" else [("path", False)])]

@@ -21,44 +21,42 @@ def copy_table(
     spark: SparkSession,
     src: str,
     dst: str | None = None,
-    cwd: str = "/",
+    cwd: str | None = None,
     force: bool = False,
     src_format: str = "parquet",
     dst_format: str = "parquet",
 ) -> str:
     """Copy a table, converting the format on request; returns the target path.
 
-    Without ``dst`` the copy goes to ``cwd`` under its own name. An existing target is
-    refused unless ``force`` is set.
+    Without ``dst`` the copy goes to ``cwd``, which then has to be given, under its own name. An
+    existing target is refused unless ``force`` is set.
     """
+    if dst is None and cwd is None:
+        raise ValueError("a target or a working folder is needed")
     target = dst or posixpath.join(cwd, posixpath.basename(src.rstrip("/")))
     mode = "overwrite" if force else "errorifexists"
     spark.read.format(src_format).load(src).write.mode(mode).format(dst_format).save(target)
     return target
 
 
-def rewrite_table(df: DataFrame, path: str, fmt: str = "parquet") -> str | None:
-    """Replace the table at ``path`` with ``df``, which may itself read ``path``.
+def rewrite_table(df: DataFrame, name: str, root: str, fmt: str = "parquet") -> str | None:
+    """Replace the catalog table ``name`` with ``df``, which may itself read the table.
 
-    The new table is written whole beside the old one, then the two change places by
-    rename. The old table is kept and its path returned; a failure before the renames
-    leaves the table untouched.
+    The new version is written whole to a folder of its own under ``root``, and the catalog
+    then points to it, in one step: there is always a whole table, on object stores too, and
+    nothing is renamed. Returns the folder of the version before, for the caller to delete
+    once no reader is left.
     """
     spark = df.sparkSession
-    base = path.rstrip("/")
-    stamp = uuid.uuid4().hex
-    fresh, old = f"{base}.new-{stamp}", f"{base}.old-{stamp}"
+    fresh = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.format(fmt).save(fresh)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    existed = files.exists(hadoop(base))
-    if existed and not files.rename(hadoop(base), hadoop(old)):
-        raise OSError(f"cannot set aside {base}")
-    if not files.rename(hadoop(fresh), hadoop(base)):
-        if existed:
-            files.rename(hadoop(old), hadoop(base))
-        raise OSError(f"cannot put {fresh} in place")
-    return old if existed else None
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=fresh, source=fmt)
+        return None
+    details = spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{fresh}'")
+    spark.catalog.refreshTable(name)
+    return details["data_type"]
 
 
 PROPERTY = T.StructType(
@@ -69,7 +67,10 @@ PROPERTY = T.StructType(
 def xml_export(
     df: DataFrame, path: str, root: str = "configuration", row: str = "property"
 ) -> None:
-    """Write name/value rows as XML: one ``row`` element per row, values as text."""
+    """Write name/value rows as XML: one ``row`` element per row, values as text.
+
+    NULL writes no element and an empty text an empty one, so that both come back as they were.
+    """
     df.select(*[F.col(c).cast("string") for c in df.columns]).write.format("xml").option(
         "rootTag", root
     ).option("rowTag", row).save(path)
@@ -79,4 +80,6 @@ def xml_import(
     spark: SparkSession, path: str, schema: T.StructType = PROPERTY, row: str = "property"
 ) -> DataFrame:
     """Read what ``xml_export`` wrote. The schema is given, so "1" stays text."""
-    return spark.read.format("xml").schema(schema).option("rowTag", row).load(path)
+    return spark.read.format("xml").schema(schema).option("rowTag", row).option(
+        "ignoreSurroundingSpaces", False
+    ).load(path)

@@ -1,12 +1,14 @@
 """Live change log: every batch is compared with the last value of each key.
 
-State is a table of last values, one version per batch, written beside the output. A
-batch reads the versions before it and writes its own, so a batch that is run again
-after a failure finds the same state and overwrites its own output.
+State is a table of last values, dealt into buckets by a hash of the key. A batch reads only
+the buckets its keys fall in, and writes each of them anew under its own version number, so
+a batch that is run again after a failure finds the same state and overwrites its own
+output. Version numbers go on rising when a query starts with a new checkpoint.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,28 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from linewright.operators.changes import change_log
-from linewright.plans.sizing import HOT_ROWS, sized_join
+from linewright.plans.sizing import HOT_ROWS, all_equal
+
+BUCKETS = 64
+
+
+class _Folder:
+    """Names in a folder, whatever file system it is on."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.path = path
+        self.files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, below: str = "") -> list[str]:
+        there = self._path(f"{self.path}/{below}" if below else self.path)
+        return [f.getPath().getName() for f in self.files.listStatus(there)] if self.files.exists(there) else []
+
+    def make(self, below: str) -> None:
+        self.files.mkdirs(self._path(f"{self.path}/{below}"))
+
+    def remove(self, below: str) -> None:
+        self.files.delete(self._path(f"{self.path}/{below}"), True)
 
 
 class ChangeStream:
@@ -32,60 +55,98 @@ class ChangeStream:
         value: str,
         out: str,
         state: str,
-        full_every: int = 20,
+        buckets: int = BUCKETS,
+        idle_seconds: float | None = None,
         max_rows: int = HOT_ROWS,
     ) -> None:
         self.key, self.order, self.value = list(key), list(order), value
         self.out, self.state = out, state
-        self.full_every, self.max_rows = full_every, max_rows
+        self.buckets, self.idle_seconds, self.max_rows = buckets, idle_seconds, max_rows
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = self.last_values(spark, batch.schema, batch_id)
-        # Last values sort before the batch whatever their order columns say.
-        marked = batch.withColumn("_new", F.lit(1))
-        if before is not None:
-            known = self.of_batch(before.drop("_batch"), batch).withColumn("_new", F.lit(0))
-            marked = marked.unionByName(known, allowMissingColumns=True)
-        marked = marked.persist()
+        version = self.version(spark, batch_id)
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        batch = batch.withColumn("_bucket", bucket).persist()
         try:
+            touched = [r[0] for r in batch.select("_bucket").distinct().collect()]
+            before = self.last_values(spark, batch.schema, version, touched)
+            # Last values sort before the batch whatever their order columns say.
+            marked = batch.drop("_bucket").withColumn("_new", F.lit(1))
+            known = self.of_batch(before, batch).select(*self.key, *self.order, self.value)
+            marked = marked.unionByName(known.withColumn("_new", F.lit(0)), allowMissingColumns=True)
             log = change_log(marked, self.key, ["_new", *self.order], self.value, self.max_rows)
-            log.filter("_new = 1").drop("_new").write.mode("overwrite").parquet(
-                f"{self.out}/batch={batch_id}"
-            )
-            self.write_state(marked.filter("_new = 1"), before, batch_id)
+            log = log.filter("_new = 1").drop("_new")
+            log.write.mode("overwrite").parquet(f"{self.out}/batch={version}")
+            self.write_state(batch, before, version)
+            self.forget(spark, version, touched)
         finally:
-            marked.unpersist()
+            batch.unpersist()
+
+    def version(self, spark: SparkSession, batch_id: int) -> int:
+        """Number of this batch: those of a query follow all that were there when it began."""
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+        state = _Folder(spark, self.state)
+        runs = dict(reversed(name.split("-", 1)) for name in state.names("_runs"))
+        if query not in runs:
+            used = [int(n.split("=")[1]) for b in state.names() if "=" in b for n in state.names(b) if "=" in n]
+            out = [int(n.split("=")[1]) for n in _Folder(spark, self.out).names() if "=" in n]
+            runs[query] = str(1 + max([-1, *used, *out, *map(int, runs.values())]))
+            state.make(f"_runs/{runs[query]}-{query}")
+        return int(runs[query]) + batch_id
 
     def of_batch(self, before: DataFrame, batch: DataFrame) -> DataFrame:
         """Last values of the keys that the batch has."""
-        touched = batch.select(*self.key).distinct()
-        return sized_join(before, touched, {k: k for k in self.key}, "left_semi", null_safe=True)
-
-    def write_state(self, batch: DataFrame, before: DataFrame | None, batch_id: int) -> None:
-        """Last value per key: of this batch alone, or now and then of all so far."""
-        columns = [*self.key, *self.order, self.value]
-        rows = batch.select(*columns, F.lit(batch_id).cast("bigint").alias("_batch"))
-        if before is not None and batch_id % self.full_every == 0:
-            rows = rows.unionByName(before)
-        self.newest(rows).write.mode("overwrite").parquet(f"{self.state}/v={batch_id}")
-
-    def newest(self, rows: DataFrame) -> DataFrame:
-        rest = [*self.order, self.value, "_batch"]
-        last = F.max_by(F.struct(*rest), F.struct("_batch", *self.order))
-        return rows.groupBy(*self.key).agg(last.alias("_last")).select(*self.key, "_last.*")
+        touched = batch.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)))
+        same = all_equal({k: f"_k{i}" for i, k in enumerate(self.key)}, null_safe=True)
+        return before.join(touched, same, "left_semi")
 
     def last_values(
-        self, spark: SparkSession, schema: T.StructType, batch_id: int
-    ) -> DataFrame | None:
-        """State before ``batch_id``: the newest full version and the ones after it."""
-        if batch_id == 0:
-            return None
-        full = (batch_id - 1) // self.full_every * self.full_every
-        versions = [f"{self.state}/v={b}" for b in range(full, batch_id)]
+        self, spark: SparkSession, schema: T.StructType, version: int, touched: Sequence[int]
+    ) -> DataFrame:
+        """The newest version before this one of each touched bucket; a bucket has all its keys."""
         fields = [schema[c] for c in [*self.key, *self.order, self.value]]
-        stored = T.StructType([*fields, T.StructField("_batch", T.LongType())])
-        return self.newest(spark.read.schema(stored).parquet(*versions))
+        stored = T.StructType([*fields, T.StructField("_seen", T.DoubleType())])
+        state = _Folder(spark, self.state)
+        paths = []
+        for bucket in touched:
+            there = [int(n.split("=")[1]) for n in state.names(f"_bucket={bucket}") if "=" in n]
+            earlier = [v for v in there if v < version]
+            if earlier:
+                paths.append(f"{self.state}/_bucket={bucket}/_version={max(earlier)}")
+        if not paths:
+            return spark.createDataFrame([], stored)
+        rows = spark.read.schema(stored).parquet(*paths)
+        if self.idle_seconds is not None:
+            rows = rows.filter(F.col("_seen") >= time.time() - self.idle_seconds)
+        return rows
+
+    def write_state(self, batch: DataFrame, before: DataFrame, version: int) -> None:
+        """Last value per key of the touched buckets. Keys hardly repeat between the two sides, so
+        rows are dealt by bucket first and not combined before."""
+        columns = [*self.key, *self.order, self.value]
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("_bucket")
+        new = batch.select(*columns, F.lit(time.time()).alias("_seen"), F.lit(1).alias("_new"))
+        rows = new.unionByName(before.withColumn("_new", F.lit(0)))
+        rest = [*self.order, self.value, "_seen"]
+        last = F.max_by(F.struct(*rest), F.struct("_new", *self.order))
+        newest = rows.repartition(*self.key).groupBy(*self.key).agg(last.alias("_last"))
+        newest = newest.select(*self.key, "_last.*", bucket, F.lit(version).alias("_version"))
+        (
+            newest.repartition("_bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_bucket", "_version")
+            .parquet(self.state)
+        )
+
+    def forget(self, spark: SparkSession, version: int, touched: Sequence[int]) -> None:
+        """Delete versions that neither this batch, should it run again, nor a later one reads."""
+        state = _Folder(spark, self.state)
+        for bucket in touched:
+            there = [int(n.split("=")[1]) for n in state.names(f"_bucket={bucket}") if "=" in n]
+            for old in sorted(v for v in there if v < version)[:-1]:
+                state.remove(f"_bucket={bucket}/_version={old}")
 
 
 def change_stream(
@@ -97,15 +158,18 @@ def change_stream(
     state: str,
     checkpoint: str,
     available_now: bool = True,
-    full_every: int = 20,
+    buckets: int = BUCKETS,
+    idle_seconds: float | None = None,
     max_rows: int = HOT_ROWS,
 ) -> StreamingQuery:
     """Write each change of a key's value to ``out`` as it arrives.
 
     Gives what ``change_log`` gives when batches arrive in order. Hot keys inside a batch
-    are spread like there.
+    are spread like there. With the same ``out`` and ``state`` and a new checkpoint, both are
+    carried on. ``idle_seconds`` forgets keys not seen for so long; their next value is then a first
+    one. The number of ``buckets`` has to stay what it was when the state began.
     """
-    sink = ChangeStream(key, order, value, out, state, full_every, max_rows)
+    sink = ChangeStream(key, order, value, out, state, buckets, idle_seconds, max_rows)
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -14,12 +14,16 @@ def follow_files(
     fmt: str = "parquet",
     glob: str | None = None,
     files_per_batch: int | None = None,
+    recursive: bool = False,
 ) -> DataFrame:
-    """Stream of the rows of files that appear under ``path``.
+    """Stream of the rows of files that appear in ``path``, or with ``recursive`` in its folders.
 
-    New files are seen, bytes added to a file already read are not.
+    New files are seen, bytes added to a file already read are not. ``glob`` chooses among the
+    names of files, not of folders.
     """
     reader = spark.readStream.format(fmt).schema(schema)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:

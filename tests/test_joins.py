@@ -25,27 +25,58 @@ def test_specs_expand(spark, monkeypatch):
     assert got == {s: list(enumerate(h)) for s, h in want.items()}
 
 
-def test_specs_meet_small_and_large_tables(spark, monkeypatch):
+def test_specs_with_bounds_of_any_length(spark):
+    nines = "9" * 36
+    long = "7" * 45
+    specs = {
+        "h[9223372036854775808-9223372036854775809]": ["9223372036854775808", "9223372036854775809"],
+        "h[9223372036854775800-9223372036854775807]": [str(9223372036854775800 + i) for i in range(8)],
+        f"h[{nines}-1{'0' * 35}1]": [nines, "1" + "0" * 36, "1" + "0" * 35 + "1"],
+        f"h[{long}8-{long}9]": [long + "8", long + "9"],
+        f"h[{nines}{nines}-1{'0' * 72}]": [nines + nines, "1" + "0" * 72],
+        "h[0-1]": ["0", "1"],
+        "h[\u0661\u0662-13]": ["12", "13"],
+        "h[2-1]": [],
+    }
+    frame = spark.createDataFrame([(s,) for s in specs], "spec string")
+    got: dict[str, list] = {s: [] for s in specs}
+    for r in joins.expand_specs(frame).orderBy("spec", "host_no").collect():
+        got[r.spec].append(r.host[1:])
+    assert got == specs
+    wide = spark.createDataFrame([("h[1-99999999999999999999]",)], "spec string")
+    with pytest.raises(Exception, match="range too wide"):
+        joins.expand_specs(wide).count()
+
+
+def test_specs_and_rows_share_names(spark):
+    specs = spark.createDataFrame([(1, "h[1-2]")], "id int, spec string")
+    rows = spark.createDataFrame([(7, "h1", "h1"), (8, "h2", "h2")], "id int, name string, host string")
+    got = joins.spec_expand_join(specs, rows, "name")
+    assert got.columns == ["id", "spec", "host_no", "host", "id_of_row", "name", "host_of_row"]
+    got = joins.spec_expand_join(specs, rows.drop("name"), "host")
+    assert got.columns == ["id", "spec", "host_no", "host", "id_of_row"]
+    assert {(r.host, r.id_of_row) for r in got.collect()} == {("h1", 7), ("h2", 8)}
+
+
+def test_specs_meet_small_and_large_tables(spark):
     specs = spark.createDataFrame([("h[1-3]",), ("h2,x",)], "spec string")
     rows = [("h1", 0), ("h9", 0)] + [("h2", i) for i in range(20)]
     df = spark.createDataFrame(rows, "name string, v int")
-    small = joins.spec_expand_join(specs, df, "name")
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
-    large = joins.spec_expand_join(specs, df, "name")
+    small = joins.spec_expand_join(specs, F.broadcast(df), "name")
+    large = joins.spec_expand_join(specs, df.hint("merge"), "name")
     assert small.columns == large.columns == ["spec", "host_no", "host", "name", "v"]
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     assert small.count() == 41
 
 
-def test_fan_out_is_bounded(spark):
+def test_fan_out_of_any_length(spark):
     frame = spark.createDataFrame([(1,), (2,)], "x int")
     rows = joins.fan_out(frame, ["a", "b"]).collect()
     assert {(r.x, r.target_no, r.target) for r in rows} == {
         (1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "b"),
     }
     assert joins.fan_out(frame, []).count() == 0
-    with pytest.raises(ValueError):
-        joins.fan_out(frame, ["a", "b"], max_targets=1)
+    assert joins.fan_out(frame, [f"n{i}" for i in range(10_500)]).count() == 21_000
 
 
 ALIASES = [
@@ -90,6 +121,29 @@ def test_upsert_blocks(spark):
     assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
 
 
+def test_upsert_of_null_keys(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "old")], "k int, v string")
+    updates = spark.createDataFrame([(None, "new")], "k int, v string")
+    once = joins.keyed_upsert(target, updates, ["k"])
+    assert {tuple(r) for r in once.collect()} == {(1, "a"), (None, "new")}
+    assert joins.keyed_upsert(once, updates, ["k"]).count() == 2
+
+
+def test_sync_keeps_repeated_keys(spark):
+    src = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    dst = spark.createDataFrame([(1, "b")], "k int, v string")
+    got = {(r.src.v, r.status) for r in joins.sync_delta(src, dst, ["k"]).collect()}
+    assert got == {("a", "changed"), ("b", "same")}
+
+
+def test_completion_does_not_hang_on_partitions(spark):
+    corpus = spark.createDataFrame([(f"ab{i}", 0) for i in range(9)], "line string, place int")
+    asked = spark.createDataFrame([("ab",)], "query string")
+    for n in (1, 2, 5):
+        got = joins.prefix_complete(asked, corpus.repartition(n, "line"), 2, order=["place"])
+        assert [r.line for r in got.orderBy("rank").collect()] == ["ab0", "ab1"]
+
+
 def test_sync_statuses(spark):
     src = spark.createDataFrame(
         [(1, "new"), (2, "b"), (3, "c"), (5, "v"), (6, None), (None, "k")], "k int, v string"
@@ -187,7 +241,7 @@ def test_concat_parts_make_the_whole(spark):
     rows = [("g", i, f"h{i}") for i in range(50)] + [("s", 1, "only"), (None, 2, "n2"), (None, 1, "n1")]
     frame = spark.createDataFrame(rows, "g string, o int, v string")
     for limit in (1000, 10):
-        parts = aggregates.ordered_concat(frame, ["g"], "v", ["o"], part_size=8, max_rows=limit)
+        parts = aggregates.ordered_concat_parts(frame, ["g"], "v", ["o"], part_size=8, max_rows=limit)
         got: dict = {}
         for r in parts.orderBy("g", "part").collect():
             got.setdefault(r.g, []).append(r.text)
@@ -211,7 +265,7 @@ def test_kth_and_tails(spark, monkeypatch):
     rows = [(g, i, f"{'hit' if i % 3 else 'x'}{i}") for g in ("a", "b") for i in range(20)]
     frame = spark.createDataFrame([*rows, ("c", 1, "x")], "g string, i int, line string")
     for early in (1000, 0):
-        monkeypatch.setattr(ordering, "EARLY_CUT", early)
+        monkeypatch.setattr(ordering, "early_cut", lambda df: early)
         got = ordering.kth_match(frame, ["g"], ["i"], "hit", 4, literal=True).collect()
         assert {(r.g, r.line) for r in got} == {("a", "hit7"), ("b", "hit7")}
         assert ordering.kth_match(frame, ["g"], ["i"], "hit", 99).count() == 0
@@ -221,4 +275,8 @@ def test_kth_and_tails(spark, monkeypatch):
             for r in top.orderBy("rank").collect():
                 got.setdefault(r.g, []).append(r.i)
             assert got == {"a": want, "b": want, "c": [1]}
-    assert [r.i for r in ordering.head_tail(frame.filter("g = 'a'"), [], ["i"], 2, "tail").collect()] == [19, 18]
+        only = frame.filter("g = 'a'")
+        got = ordering.head_tail(only, [], ["i"], 2, "tail").orderBy("rank").collect()
+        assert [(r.i, r.rank) for r in got] == [(19, 1), (18, 2)]
+        got = ordering.head_tail(only, [], ["i"], 2).orderBy("rank").collect()
+        assert [(r.i, r.rank) for r in got] == [(0, 1), (1, 2)]

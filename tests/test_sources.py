@@ -69,21 +69,30 @@ def test_append_and_copy(spark):
     assert spark.read.parquet(copied).count() == 12
 
 
-def test_rewrite_reads_its_own_path(spark):
-    path = scratch_path(spark, "table")
-    assert sinks.rewrite_table(spark.range(5), path) is None
-    table = spark.read.parquet(path)
-    old = sinks.rewrite_table(table.select((F.col("id") + 1).alias("id")), path)
-    assert [r.id for r in spark.read.parquet(path).orderBy("id").collect()] == [1, 2, 3, 4, 5]
+def test_rewrite_reads_its_own_table(spark):
+    root = scratch_path(spark, "table")
+    assert sinks.rewrite_table(spark.range(5), "rewritten", root) is None
+    new = spark.table("rewritten").select((F.col("id") + 1).alias("id"))
+    old = sinks.rewrite_table(new, "rewritten", root)
+    assert [r.id for r in spark.table("rewritten").orderBy("id").collect()] == [1, 2, 3, 4, 5]
     assert spark.read.parquet(old).count() == 5
+    spark.sql("DROP TABLE rewritten")
+
+
+def test_copy_needs_a_place(spark):
+    with pytest.raises(ValueError):
+        sinks.copy_table(spark, "anywhere")
 
 
 def test_xml_layout_and_round_trip(spark):
-    rows = [("a.b", "x & <y>"), ("n", "1"), ("e", "é"), ("port", "08020")]
+    rows = [
+        ("a.b", "x & <y>"), ("n", "1"), ("e", "é"), ("port", "08020"), ("blanks", "  x "),
+        (" ", "  "), ("empty", ""), ("null", None), ("lines", "a\n b\n"),
+    ]
     path = scratch_path(spark, "xml")
     sinks.xml_export(spark.createDataFrame(rows, "name string, value string").coalesce(1), path)
     text = "\n".join(r.value for r in spark.read.text(path).collect())
-    assert text.count("<configuration>") == 1 and text.count("<property>") == 4
+    assert text.count("<configuration>") == 1 and text.count("<property>") == 9
     assert "<name>a.b</name>" in text and "<value>x &amp; &lt;y" in text
     assert {tuple(r) for r in sinks.xml_import(spark, path).collect()} == set(rows)
 
@@ -105,6 +114,8 @@ def test_listing_orders(spark, tmp_path):
     assert names(recursive=True, sort="size") == ["a", "c", "b"]
     assert names(recursive=True, sort="size", reverse=True) == ["b", "c", "a"]
     assert listing.file_catalog(spark, str(tmp_path), names_only=True).columns == ["path"]
+    found = listing.file_catalog(spark, str(tmp_path), recursive=True, folders=True, sort="size").collect()
+    assert [(os.path.basename(r.path), r.length) for r in found] == [(tmp_path.name, 12), ("sub", 5)]
 
 
 def test_readable_sizes(spark):
@@ -145,14 +156,14 @@ def expected(batches):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("full_every", [1, 2, 20])
-def test_live_changes_over_batches_and_restarts(spark, full_every):
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_live_changes_over_batches_and_restarts(spark, buckets):
     inbox, out, state, mark = (scratch_path(spark, x) for x in ("in", "out", "state", "mark"))
     for batch in BATCHES:
         sinks.append_table(inbox, spark.createDataFrame(batch, "k string, t int, v string"))
         stream = follow.follow_files(spark, inbox, "k string, t int, v string")
         live.change_stream(
-            stream, ["k"], ["t"], "v", out, state, mark, full_every=full_every
+            stream, ["k"], ["t"], "v", out, state, mark, buckets=buckets
         ).awaitTermination()
     got = [(r.k, r.t, r.v, r.prev) for r in live.read_changes(spark, out).collect()]
     assert sorted(got, key=str) == expected(BATCHES)
@@ -160,7 +171,7 @@ def test_live_changes_over_batches_and_restarts(spark, full_every):
 
 def test_a_batch_run_again_changes_nothing(spark):
     out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
-    sink = live.ChangeStream(["k"], ["t"], "v", out, state, full_every=2, max_rows=1)
+    sink = live.ChangeStream(["k"], ["t"], "v", out, state, buckets=2, max_rows=1)
     for i, batch in enumerate(BATCHES[:4]):
         frame = spark.createDataFrame(batch, "k string, t int, v string")
         sink(frame, i)
@@ -168,3 +179,24 @@ def test_a_batch_run_again_changes_nothing(spark):
             sink(frame, i)
     got = [(r.k, r.t, r.v, r.prev) for r in live.read_changes(spark, out).collect()]
     assert sorted(got, key=str) == expected(BATCHES[:4])
+
+
+def test_a_new_checkpoint_carries_on(spark):
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    for batch in BATCHES:
+        inbox, mark = scratch_path(spark, "in"), scratch_path(spark, "mark")
+        sinks.append_table(inbox, spark.createDataFrame(batch, "k string, t int, v string"))
+        stream = follow.follow_files(spark, inbox, "k string, t int, v string")
+        live.change_stream(stream, ["k"], ["t"], "v", out, state, mark, buckets=3).awaitTermination()
+    got = [(r.k, r.t, r.v, r.prev) for r in live.read_changes(spark, out).collect()]
+    assert sorted(got, key=str) == expected(BATCHES)
+    versions = {f"{b}/{v}" for b in os.listdir(state) if "=" in b for v in os.listdir(f"{state}/{b}")}
+    assert len(versions) <= 2 * 3
+
+
+def test_idle_keys_are_forgotten(spark):
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    sink = live.ChangeStream(["k"], ["t"], "v", out, state, buckets=1, idle_seconds=0)
+    for i, batch in enumerate([[("a", 1, "x")], [("a", 2, "y")]]):
+        sink(spark.createDataFrame(batch, "k string, t int, v string"), i)
+    assert live.read_changes(spark, out).count() == 0

@@ -130,11 +130,3 @@ def test_server_lines_and_variables(spark):
     }
     names = spark.createDataFrame([("java",), ("zk_home",)], "n string")
     assert [r[0] for r in names.select(home_variable(F.col("n"))).collect()] == ["JAVA_HOME", "ZK_HOME"]
-
-
-def test_uri_pattern(spark):
-    frame = spark.createDataFrame(
-        [("hdfs://nn/a/b",), ("hdfs://10.0.0.1/a",), ("hdfs://nn",), ("file:///a",)], "u string"
-    )
-    good, _ = filters.route(frame, "u", filters.HDFS_URI)
-    assert {r.u for r in good.collect()} == {"hdfs://nn/a/b", "hdfs://10.0.0.1/a"}
