@@ -50,6 +50,8 @@ HINTS = frozenset(
     subscribe subscription toolbar widget""".split()
 )
 _PART = re.compile(r"[a-z0-9]+")
+_OPEN_TAG = re.compile("</?[A-Za-z]")
+LEAST = 1e-6  # weight of any text, however few its characters
 
 
 class Tree(HTMLParser):
@@ -121,6 +123,13 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.texts.append((self.stack[-1], self.block, data))
 
+    def close(self):
+        if _OPEN_TAG.match(self.rawdata):  # the page ends inside a tag, which is no text
+            self.rawdata = ""
+        super().close()
+        self._pop_to(1)
+        self.last[0] = len(self.tags) - 1
+
 
 def _chosen(tree: Tree) -> list[tuple[int, int]]:
     """First and last node of each chosen part, in page order."""
@@ -157,8 +166,7 @@ def _chosen(tree: Tree) -> list[tuple[int, int]]:
         c, t = chars[i], max(1, count[i])
         base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + share * c + math.e)
         links = c / max(1, link_chars[i]) * t / max(1, link_tags[i])
-        density[i] = c / t * (math.log(links) / math.log(base) if base > 1 else math.log(links))
-        density[i] = max(density[i], 0.0)
+        density[i] = c / t * max(math.log(links) / (math.log(base) or 1.0), LEAST)
         if i and tags[i] in BLOCKS:
             total[parents[i]] += density[i]
         if own[i]:  # text right in the node is a part like its children
@@ -191,8 +199,6 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    tree._pop_to(1)
-    tree.last[0] = len(tree.tags) - 1
     gone = tree.out[:]
     for i in range(1, len(gone)):
         gone[i] = gone[i] or gone[tree.parents[i]]

@@ -85,7 +85,7 @@ def luhn(number: Column) -> Column:
     return F.when(F.char_length(number) > 0, total % 10 == 0).otherwise(F.lit(False))
 
 
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_SHAPE = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 
@@ -265,7 +265,8 @@ def redact(docs: DataFrame) -> DataFrame:
         F.substr(F.col("text"), (seen["at"] + 1).cast("int"), F.char_length("text")),
     )
     clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", empty, step, rest)).otherwise(F.col("text"))
-    new = {"text": clean}
+    df = df.withColumn("_clean", clean)
+    new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.char_length(clean).cast("bigint"), F.col("_row.n_chars"))
+        new["n_chars"] = F.coalesce(F.char_length("_clean").cast("bigint"), F.col("_row.n_chars"))
     return df.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

@@ -1,0 +1,277 @@
+"""BPE, packing and sharding against the tokenizers library and brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+from functools import lru_cache
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from linewright.llm import bpe, packing, sharding
+from linewright.llm.queries import vocabulary
+
+PARTS = [
+    "a", "e", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "1", "½", "Ⅷ", "٣", "é", "ñ", "漢", "😀", "́",
+    "_", "-", "'s", "'LL", "'ll", ".", "!", "<|endoftext|>", "<|", "aaaa", "the", "ing", "=", "==", "﻿", "\x00", "\r\n",
+]
+
+
+@lru_cache(maxsize=1)
+def pair():
+    return bpe.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return pair()[1]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return pair()[0]
+
+
+def both_ways(encoder, library, text):
+    ids = encoder.encode(text)
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    decoder = bpe.Decoder(encoder.model)
+    pieces = [decoder.feed([i]) for i in ids] + [decoder.finish()]
+    assert "".join(pieces) == library.decode(ids, skip_special_tokens=False) == text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=40))
+def test_same_ids_as_the_library(parts):
+    both_ways(*pair(), "".join(parts))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_same_ids_for_any_text(text):
+    both_ways(*pair(), text)
+
+
+def test_long_pieces_keep_little(encoder, library):
+    rng = random.Random(5)
+    for letters in ("a", "ab", "=", "the", "abcdeinrst"):
+        text = "".join(rng.choice(letters) for _ in range(12_000))
+        both_ways(encoder, library, text)
+        transducer = bpe.Transducer(encoder.model, bpe.Memory())
+        most, ids = 0, []
+        for byte in text.encode():
+            ids += transducer.feed(bytes([byte]))
+            most = max(most, len(transducer.held))
+        assert ids + transducer.finish() == encoder.encode(text)
+        assert most <= transducer.most
+
+
+def test_memory_is_bounded(encoder, monkeypatch, library):
+    monkeypatch.setattr(bpe, "PREFIXES", 50)
+    monkeypatch.setattr(bpe, "BORDERS", 20)
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    own = bpe.Encoder(vocabulary())
+    text = " ".join(f"word{i}x{i * 7}" for i in range(300))
+    both_ways(own, library, text)
+    assert len(own) <= 10 and len(own.memory.last) <= 50 + 2 * bpe.SHORT
+
+
+def test_decoder_holds_back_broken_characters(encoder):
+    decoder = bpe.Decoder(encoder.model)
+    first, second = (next(i for i, t in encoder.model.bytes_of.items() if t == b) for b in (b"\xc3", b"\xa9"))
+    assert [decoder.feed([first]), decoder.feed([second]), decoder.feed([first]), decoder.finish()] == ["", "é", "", "�"]
+
+
+def test_round_trips_of_documents(spark, documents, library):
+    got = {r.doc_id: r for r in bpe.round_trips(documents, vocabulary()).collect()}
+    for r in documents.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        listed = ",".join(map(str, ids))
+        assert got[r.doc_id].n_tokens == len(ids)
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_round_trips_of_odd_rows(odd, nothing):
+    got = bpe.round_trips(odd, vocabulary()).collect()
+    assert len(got) == odd.count()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id in (2, 3)} == {(0, empty, empty)}
+    assert bpe.round_trips(nothing, vocabulary()).count() == 0
+
+
+# --- packing ---------------------------------------------------------------------------
+
+
+def one_by_one(lengths, size):
+    """Best-two-fit without counts: each sequence is filled from what is left."""
+    left, out = Counter(lengths), []
+    while left:
+        bin_, gap = [], size
+        while fits := [n for n in left if n <= gap]:
+            n = max(fits)
+            bin_.append(n)
+            gap -= n
+            left -= Counter([n])
+        while gap:
+            s = min(bin_)
+            pairs = [
+                (a + b, a, b) for a in left for b in left
+                if a >= b and s < a + b <= gap + s and (a > b or left[a] > 1)
+            ]
+            if not pairs:
+                break
+            total, a, b = max(pairs)
+            bin_.remove(s)
+            bin_ += [a, b]
+            left -= Counter([a, b])
+            left += Counter([s])
+            gap += s - total
+        out.append(tuple(sorted(bin_, reverse=True)))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=90), st.integers(24, 40))
+def test_plan_is_that_of_one_by_one(lengths, size):
+    plan = packing.plan(Counter(lengths), size)
+    assert [filling for filling, times in plan for _ in range(times)] == one_by_one(lengths, size)
+
+
+def test_plan_stays_small():
+    rng = random.Random(3)
+    counts = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(60_000))
+    plan = packing.plan(counts, 2048)
+    small = len(plan)
+    many = {n: c * 1000 for n, c in counts.items()}
+    plan = packing.plan(many, 2048)
+    used = Counter()
+    for filling, times in plan:
+        assert sum(filling) <= 2048
+        for n in filling:
+            used[n] += times
+    assert used == many
+    bins, tokens = sum(t for _, t in plan), sum(n * c for n, c in many.items())
+    assert bins <= 1.005 * tokens / 2048
+    assert len(plan) < 2 * small
+
+
+def check_packed(rows, texts, library, size):
+    docs, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        docs[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    for doc, text in texts.items():
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        at = 0
+        pieces = sorted(docs[doc], key=lambda r: r.piece)
+        for i, r in enumerate(pieces):
+            assert (r.piece, r.start) == (i, at)
+            assert r.length == size or (i == 0 and 0 < r.length <= size)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(bins), sum(r.length for r in rows)
+
+
+def test_packing_of_documents(documents, library):
+    rows = packing.pack(documents, vocabulary(), 2048).collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    bins, tokens = check_packed(rows, texts, library, 2048)
+    assert bins <= tokens / 2048 + 3
+
+
+def test_packing_of_odd_rows(spark, odd, nothing, library):
+    rows = packing.pack(odd, vocabulary(), 64).collect()
+    texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id != 5}
+    check_packed([r for r in rows], texts, library, 64)
+    assert packing.pack(nothing, vocabulary()).count() == 0
+
+
+def test_many_equal_lengths(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 10)
+    frame = spark.createDataFrame([(i, "same text" if i % 3 else f"other {i}") for i in range(900)], "doc_id bigint, text string")
+    rows = packing.pack(frame, vocabulary(), 32).collect()
+    check_packed(rows, {r.doc_id: r.text for r in frame.collect()}, library, 32)
+
+
+def test_tiktoken_gives_the_library_ids(library):
+    encode = packing.tokenizer(vocabulary()).encode
+    rng = random.Random(8)
+    for _ in range(1500):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30)))
+        assert encode(text, allowed_special="all") == library.encode(text, add_special_tokens=False).ids
+
+
+# --- sharding --------------------------------------------------------------------------
+
+
+def test_shards_of_documents(spark, documents):
+    rows = sharding.shard_documents(documents, 16).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    loads, slots = Counter(), defaultdict(list)
+    for r in rows:
+        assert (r.size, r.text_crc32) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]))
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 16
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(rows) == len(texts)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, largest = sum(loads.values()) / 16, max(map(len, texts.values())) + 1
+    assert max(loads.values()) <= max(mean * (1 + sharding.SLACK), largest) + largest
+
+
+def test_ring_balances_and_moves_little():
+    rng = random.Random(6)
+    loads = {c: rng.randint(1, 200) for c in range(sharding.CELLS)}
+    now = sharding.place_cells(loads, 16)
+    filled = Counter()
+    for cell, shard in now.items():
+        filled[shard] += loads[cell]
+    mean = sum(loads.values()) / 16
+    assert max(filled.values()) <= mean * (1 + sharding.SLACK)
+    assert min(filled.values()) >= mean * (1 - 16 * sharding.SLACK)
+    grown = sharding.place_cells(loads, 17)
+    moved = sum(loads[c] for c in loads if now[c] != grown[c]) / sum(loads.values())
+    assert moved < 0.25
+    # The plain ring under it: a new shard only takes.
+    nodes = {s: {p for p, t in sharding.ring(17) if t == s} for s in range(16)}
+    assert nodes == {s: {p for p, t in sharding.ring(16) if t == s} for s in range(16)}
+
+
+def test_overflow_goes_clockwise():
+    """Against a walk over the ring point by point."""
+    rng = random.Random(7)
+    loads = {rng.randrange(sharding.CELLS): rng.choice([1, 2, 50, 900]) for _ in range(4000)}
+    shards, slack = 5, 0.01
+    points = sharding.ring(shards)
+    room = [sum(loads.values()) * (1 + slack) / shards] * shards
+    turn = dict(zip(loads, sharding.mix(np.array(list(loads), dtype=np.uint64)).tolist()))
+    want = {}
+    for cell in sorted(loads, key=lambda c: (-loads[c], turn[c])):
+        place = cell * (2**64 // sharding.CELLS)
+        walk = [s for p, s in points if p >= place] + [s for p, s in points if p < place]
+        home = next((s for s in walk if room[s] >= loads[cell]), max(range(shards), key=lambda s: (room[s], -s)))
+        room[home] -= loads[cell]
+        want[cell] = home
+    assert sharding.place_cells(loads, shards, slack) == want
+
+
+def test_shards_of_odd_rows(odd, nothing):
+    rows = sharding.shard_documents(odd, 3).collect()
+    assert len(rows) == odd.count()
+    assert {r.size for r in rows if r.doc_id in (2, 3)} == {1}
+    assert {(r.shard, r.slot) for r in rows if r.doc_id == 5} and len({(r.shard, r.slot) for r in rows}) == len(rows)
+    assert sharding.shard_documents(nothing, 3).count() == 0
