@@ -47,9 +47,28 @@ def split_lines(text: Column) -> Column:
     )
 
 
+# What parts tokens: whitespace of any script, and the separators 1C-1F.
+_BLANK = r"\s\x1c-\x1f"
+
+
 def tokens(text: Column) -> Column:
     """Tokens between whitespace (of any script, and the separators 1C-1F), empties dropped."""
-    return F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
+    return F.filter(F.split(text, rf"(?U)[{_BLANK}]+"), lambda t: t != "")
+
+
+def token_count(text: Column) -> Column:
+    """Number of ``tokens``, without making them."""
+    return F.regexp_count(text, F.lit(rf"(?U)[^{_BLANK}]++"))
+
+
+def option_count(text: Column) -> Column:
+    """Number of ``tokens`` that are options; texts without a dash are not searched."""
+    found = F.regexp_count(text, F.lit(rf"(?U)(?<![^{_BLANK}])-"))
+    return F.when(F.contains(text, F.lit("-")), found).when(text.isNotNull(), F.lit(0))
+
+
+def first_token(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, rf"(?U)[^{_BLANK}]++", 0), F.lit(""))
 
 
 def home_variable(name: Column) -> Column:

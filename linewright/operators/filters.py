@@ -42,12 +42,13 @@ def route(df: DataFrame, column: str, pattern: str) -> tuple[DataFrame, DataFram
 
 def token_columns(df: DataFrame, column: str) -> DataFrame:
     """Add ``n_tokens``, ``n_plain`` (not starting with ``-``) and ``verb`` (first token)."""
-    cut = df.withColumn("_tokens", text.tokens(F.col(column)))
-    return cut.select(
+    value = F.col(column)
+    counted = df.withColumn("n_tokens", text.token_count(value).cast("bigint"))
+    return counted.select(
         *df.columns,
-        F.size("_tokens").cast("bigint").alias("n_tokens"),
-        F.size(F.filter("_tokens", lambda t: ~text.is_option(t))).cast("bigint").alias("n_plain"),
-        F.get("_tokens", F.lit(0)).alias("verb"),
+        "n_tokens",
+        (F.col("n_tokens") - text.option_count(value)).cast("bigint").alias("n_plain"),
+        text.first_token(value).alias("verb"),
     )
 
 
