@@ -5,10 +5,14 @@ candidates; of every minimum the low ``BITS`` bits are kept, packed in bit plane
 the similarity of two candidates is estimated by counting bits and corrected for chance
 collisions. What the estimate lets through is confirmed on the full window sets.
 
-Hot groups never meet pair by pair. Texts with equal sets are one class. In a bucket all
-members first meet its smallest member only; links found so far are joined into
-components, and just the members of buckets that still hold several components meet each
-other, in salted blocks, where the join condition counts bits and lets no other pair out.
+Hot groups never meet pair by pair. Texts with equal sets are one class. A text's windows that
+no other candidate has bound its similarity to anything from above; texts that cannot reach
+the threshold leave. In a bucket all members first meet one only, its centre: the one with the
+fewest windows of its own, which most others are likest to. Buckets with one centre are one group.
+Links found so far are joined into components; in each group the members outside its largest
+component then meet a centre of their own, and at last those still outside meet the whole
+group in blocks of bounded size, in a join that weighs bounds, bits and window sets in its
+condition and only lets links out.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ BITS = 4  # low bits kept of each minimum
 LONGS = HASHES // 64
 MISS = 1e-6  # most probability that a link at the threshold shares no band
 DEVIATIONS = 6.5  # the estimate may be this many standard deviations too low
-BLOCK = 1024  # members of a bucket per block
+BLOCK = 512  # members of a group per block
 
 SIGNATURE = "n bigint, f1 bigint, f2 bigint, planes array<bigint>, bands array<bigint>"
 
@@ -111,12 +115,41 @@ def least_estimate(threshold: float) -> float:
     return threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / HASHES) - 0.01
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def most_similar(n_a: Column, shared_a: Column, n_b: Column, shared_b: Column) -> Column:
+    """No two texts are more similar than this: they have in common at most the smaller number of
+    windows that either shares with anything."""
+    common = F.least(shared_a, shared_b)
+    return common / (n_a + n_b - common)
+
+
+def _window_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, grams): hashes of each text's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                words = words_of(text.as_py(), fold=True)
+                known = np.fromiter((hashes[w] for w in words), dtype=np.uint64, count=len(words))
+                sets.append(np.unique(window_hashes(known, width)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"]
+            )
+
+    return texts.mapInArrow(run, "doc_id bigint, grams array<bigint>")
+
+
+def _own_windows(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, own): windows of each text that no other text of ``texts`` has, where there are any."""
+    grams = _window_sets(texts, width).select("doc_id", F.explode("grams").alias("gram"))
+    # Counting combines before the shuffle, so a window that everything has is no hot task.
+    single = grams.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
+    return single.filter("_n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on their full window sets."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(
-        docs.select("doc_id", "text").join(asked, "doc_id").dropDuplicates(["doc_id"]), "op1-texts"
-    )
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), "a")
 
@@ -133,11 +166,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 keep.append(100 * same >= percent * (len(sets) + len(other) - same))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = written(
+    return written(
         both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a bigint, b bigint"), "op1-links"
     )
-    discard(texts)
-    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -162,71 +193,103 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     )
     heads = classes.filter(F.col("rep").isNotNull()).withColumnRenamed("rep", "doc_id")
     reps = written(
-        signed.join(heads, ["doc_id", *print_of]).select("doc_id", "planes", "bands"), "op1-reps"
+        signed.join(heads, ["doc_id", *print_of]).select("doc_id", "n", "planes", "bands"), "op1-reps"
     )
     members = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = written(
-        members.groupBy("key")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_z"), F.count(F.lit(1)).alias("size"))
-        .filter("a < _z")
-        .drop("_z"),
-        "op1-buckets",
-    )
-    planes = reps.select("doc_id", "planes")
-
-    def passing(pairs: DataFrame) -> DataFrame:
-        a = planes.select(F.col("doc_id").alias("a"), F.col("planes").alias("_pa"))
-        b = planes.select(F.col("doc_id").alias("b"), F.col("planes").alias("_pb"))
-        near = pairs.join(b, "b").join(a, "a")
-        return near.filter(estimate(F.col("_pa"), F.col("_pb")) >= cut).select("a", "b").distinct()
-
-    star = members.join(buckets.select("key", "a"), "key")
-    star = star.select("a", F.col("doc_id").alias("b")).filter("a < b").distinct()
-    star = written(passing(star), "op1-star")
-    links = _confirmed(star, docs, width, percent)
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = written(members.join(written(sizes, "op1-sizes"), "key"), "op1-buckets")
+
+    # One exchange of the texts, whatever the number of candidates; later steps read these.
+    asked = buckets.select("doc_id").distinct().hint("merge")
+    texts = docs.select("doc_id", "text").join(asked, "doc_id").dropDuplicates(["doc_id"])
+    texts = written(texts, "op1-texts")
+    shares = reps.join(asked, "doc_id").join(_own_windows(texts, width), "doc_id", "left")
+    shares = shares.withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    shares = shares.filter(100 * F.col("shared") >= percent * F.col("n"))
+    shares = written(shares.select("doc_id", "n", "shared", "planes"), "op1-shares")
+
+    def side(x: str) -> DataFrame:
+        return shares.select(*(F.col(c).alias(f"{c}_{x}") for c in shares.columns))
+
+    def likely() -> Column:
+        bound = most_similar(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))
+        return (100 * bound >= percent - 1e-6) & (estimate(F.col("planes_a"), F.col("planes_b")) >= cut)
+
+    alone = (1 - F.col("shared") / F.col("n")).alias("alone")
+    placed = written(buckets.join(shares.select("doc_id", alone), "doc_id"), "op1-placed")
+    centres = placed.groupBy("key").agg(F.min(F.struct("alone", "doc_id")).alias("_c"))
+    centres = written(centres.select("key", F.col("_c.doc_id").alias("centre")), "op1-centres")
+    # Two texts of a bucket are in the group of its centre; a text is in one group or a few.
+    groups = placed.join(centres, "key").select("centre", "doc_id", "alone").distinct()
+    groups = written(groups, "op1-groups")
+
+    def met(meetings: DataFrame) -> DataFrame:
+        """Links among the pairs of ``meetings`` (doc_id, with)."""
+        pairs = meetings.select(F.least("doc_id", "with").alias("a"), F.greatest("doc_id", "with").alias("b"))
+        pairs = pairs.filter("a < b").distinct()
+        pairs = pairs.join(side("b"), F.col("b") == F.col("doc_id_b")).join(side("a"), F.col("a") == F.col("doc_id_a"))
+        pairs = written(pairs.filter(likely()).select("a", "b"), "op1-pairs")
+        return _confirmed(pairs, texts, width, percent)
+
+    def outside(roots: DataFrame) -> DataFrame:
+        """``groups`` of three and more with ``root``, ``main`` (the largest component's) and sizes."""
+        rooted = groups.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rooted = written(rooted.withColumn("root", F.coalesce("root", "doc_id")), "op1-rooted")
+        parts = rooted.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("members"))
+        mains = parts.groupBy("centre").agg(
+            F.max(F.struct("members", "root")).alias("_m"), F.sum("members").alias("size")
+        )
+        mains = mains.select("centre", F.col("_m.root").alias("main"), F.col("_m.members").alias("inside"), "size")
+        mains = mains.filter("size > 2 AND inside < size").withColumn("left_out", F.col("size") - F.col("inside"))
+        return written(rooted.join(written(mains, "op1-mains"), "centre"), "op1-outside")
+
+    links = met(groups.select("doc_id", F.col("centre").alias("with")))
     first = components(links, "op1")
 
-    # Buckets of three and more may hold pairs that the first round did not try.
-    root = F.coalesce("root", "doc_id")
-    placed = members.join(buckets.filter("size > 2").select("key", "size"), "key")
-    placed = placed.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("key", "size", "doc_id", root.alias("root")), "op1-placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-    mixed = written(mixed.filter("_lo < _hi").select("key"), "op1-mixed")
-    open_members = placed.join(mixed, "key").join(planes, "doc_id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = open_members.select(
-        "key",
-        F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"),
-        F.col("doc_id").alias("a"),
-        F.col("root").alias("ra"),
-        F.col("planes").alias("_pa"),
-    )
-    right = open_members.select(
-        "key",
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-        F.col("doc_id").alias("b"),
-        F.col("root").alias("rb"),
-        F.col("planes").alias("_pb"),
+    # The others in a group meet a centre of their own.
+    found = outside(first)
+    others = found.filter("root != main")
+    second = others.groupBy("centre").agg(F.min(F.struct("alone", "doc_id")).alias("_c"))
+    second = written(second.select("centre", F.col("_c.doc_id").alias("with")), "op1-second")
+    links = written(links.unionByName(met(others.join(second, "centre"))), "op1-two")
+    first = components(links, "op1")
+
+    # Those still outside meet everything in the group, in blocks.
+    found = outside(first)
+    sets = _window_sets(texts.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", "text"), width)
+    full = written(sets.join(shares, "doc_id"), "op1-sets")
+    known = found.join(full, "doc_id")
+    rows, cols = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("left_out", "size"))
+    own = F.xxhash64("doc_id")
+    columns = ["centre", "row", "col", "doc_id", "root", "main", "n", "shared", "planes", "grams"]
+
+    def spread(x: str, df: DataFrame, row: Column, col: Column) -> DataFrame:
+        dealt = df.withColumn("row", row).withColumn("col", col)
+        return dealt.select(*(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+    a = spread("a", known.filter("root != main"), F.pmod(own, rows).cast("int"), F.explode(F.sequence(F.lit(0), cols - 1)))
+    b = spread("b", known, F.explode(F.sequence(F.lit(0), rows - 1)), F.pmod(own, cols).cast("int"))
+    same_block = (
+        (F.col("centre_a") == F.col("centre_b")) & (F.col("row_a") == F.col("row_b")) & (F.col("col_a") == F.col("col_b"))
     )
-    rest = left.join(
-        right,
-        (left["key"] == right["key"])
-        & (left["block"] == right["block"])
-        & (F.col("a") < F.col("b"))
-        & (F.col("ra") != F.col("rb"))
-        & (estimate(F.col("_pa"), F.col("_pb")) >= cut),
+    # Both outside: once is enough. In one component: nothing to find.
+    apart = (F.col("root_a") != F.col("root_b")) & (
+        (F.col("root_b") == F.col("main_b")) | (F.col("doc_id_a") < F.col("doc_id_b"))
     )
-    rest = written(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "op1-rest")
+    common = F.size(F.array_intersect("grams_a", "grams_b"))
+    linked = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
+    rest = a.join(b, same_block & apart & likely() & linked)
+    rest = rest.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+    rest = written(rest.distinct(), "op1-rest")
     if not rest.isEmpty():
-        more = _confirmed(rest, docs, width, percent)
+        more = _confirmed(rest, texts, width, percent)
         first = components(links.unionByName(more), "op1")
 
     labelled = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
         *print_of, F.coalesce("root", "rep").alias("_component")
     )
     labelled = written(labelled, "op1-labelled")
-    for table in (star, rest, links, placed, mixed, buckets, reps, classes):
+    for table in (rest, links, full, found, second, groups, placed, centres, shares, texts, buckets, reps, classes):
         discard(table)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_component"))
     return (
