@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from linewright.llm.arrow import mapped
+
 #: The public splitting pattern of this family of vocabularies (fixed value).
 #: Its first two parts stand in front here, as nothing else can match where they do.
 PIECES = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -299,6 +301,8 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return mapped(
+        docs.select("doc_id", "text"),
+        run,
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewright.llm.arrow import mapped
+
 # Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -227,6 +229,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(
-        run, "page_id bigint, url string, text string, n_chars bigint"
-    )
+    asked = pages.select(F.col("page_id").cast("bigint"), "url", "html")
+    return mapped(asked, run, "page_id bigint, url string, text string, n_chars bigint")

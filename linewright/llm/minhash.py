@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewright.llm.arrow import mapped
 from linewright.llm.components import components
 from linewright.llm.words import WordHashes, mix, window_hashes, windows, words_of
 from linewright.plans.scratch import discard, written
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 names=["doc_id", "n", "f1", "f2", "planes", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {SIGNATURE}")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id bigint, {SIGNATURE}")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -137,7 +138,7 @@ def _window_sets(texts: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"]
             )
 
-    return texts.mapInArrow(run, "doc_id bigint, grams array<bigint>")
+    return mapped(texts, run, "doc_id bigint, grams array<bigint>")
 
 
 def _own_windows(texts: DataFrame, width: int) -> DataFrame:
@@ -166,9 +167,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 keep.append(100 * same >= percent * (len(sets) + len(other) - same))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(
-        both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a bigint, b bigint"), "op1-links"
-    )
+    links = mapped(both.select("a", "b", "_ta", "_tb"), run, "a bigint, b bigint")
+    return written(links, "op1-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:

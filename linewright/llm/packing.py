@@ -21,6 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewright.llm.arrow import mapped
 from linewright.llm.bpe import PIECES, MergeList
 from linewright.plans.scratch import written
 
@@ -137,8 +138,8 @@ def pieces_of(docs: DataFrame, path: str, size: int) -> DataFrame:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+    return mapped(
+        docs.select("doc_id", "text"), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     )
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewright.llm.arrow import mapped
 from linewright.llm.exact import BLANKS
 from linewright.llm.words import words_of
 from linewright.plans.scratch import written
@@ -73,9 +74,8 @@ def measured(docs: DataFrame, stratum: str) -> DataFrame:
                 names=["doc_id", "_stratum", *(c.split()[0] for c in MEASURED.split(", "))],
             )
 
-    return docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), "text").mapInArrow(
-        run, f"doc_id bigint, _stratum string, {MEASURED}"
-    )
+    strata = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum")
+    return mapped(docs.select("doc_id", strata, "text"), run, f"doc_id bigint, _stratum string, {MEASURED}")
 
 
 def base_failed() -> Column:

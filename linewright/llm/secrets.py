@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewright.llm.arrow import mapped
+
 KINDS = ("assign", "access", "hex", "guessed")
 
 # Fixed by the contract of the base.
@@ -162,6 +164,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+    return mapped(
+        docs.select("doc_id", "text"),
+        run,
+        "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     )

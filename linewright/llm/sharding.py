@@ -20,7 +20,7 @@ from linewright.plans.scratch import written
 
 CELLS = 1 << 16
 POINTS = 512  # virtual nodes per shard
-SLACK = 0.001  # a shard holds at most this much more than the mean
+SLACK = 0.0002  # a shard holds at most this much more than the mean
 
 
 def ring(shards: int, points: int = POINTS) -> list[tuple[int, int]]:
