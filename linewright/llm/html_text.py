@@ -45,11 +45,11 @@ UNSEEN = frozenset("head script style noscript template svg math iframe object c
 AROUND = frozenset("nav footer aside form button select textarea header menu dialog label search".split())
 #: Parts of class, id or role that name what is not the article.
 HINTS = frozenset(
-    """ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments
-    complementary contentinfo cookie cookies consent disqus dialog footer form login masthead menu
-    modal nav navbar navigation newsletter notice notification overlay pagination pager popup
-    promo promoted promotion related search share sharing sidebar signup social sponsor sponsored
-    subscribe subscription toolbar widget""".split()
+    """ad ads adv advert advertising adverts advertisement alert banner breadcrumb breadcrumbs comment
+    comments complementary contentinfo cookie cookies consent disclaimer disqus dialog footer form gdpr
+    login masthead menu modal nav navbar navigation newsletter notice notification overlay pagination
+    pager popup promo promoted promotion recommended related replies respond search share sharing
+    sidebar signup social sponsor sponsored subscribe subscription toast toolbar widget""".split()
 )
 _PART = re.compile(r"[a-z0-9]+")
 _OPEN_TAG = re.compile("</?[A-Za-z]")
