@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Window
@@ -89,6 +90,12 @@ def test_scratch_is_the_folder_of_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+def test_scratch_falls_back_to_the_warehouse():
+    known = {"spark.sql.warehouse.dir": "file:/shared/warehouse/"}
+    conf = SimpleNamespace(get=lambda key, default=None: known.get(key, default))
+    assert scratch_root(SimpleNamespace(conf=conf)) == "file:/shared/warehouse"
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
