@@ -1,8 +1,8 @@
 """Exact duplicates: 128-bit content hash, then a comparison of the bytes inside groups.
 
 Only Spark SQL functions. Grouping is by hash, so rows of any length travel as 16 bytes;
-of texts that share a hash, the smallest and the largest are aggregated (tasks combine
-before the shuffle, so a group of any size is no hot task) and must be the same bytes.
+of texts that share a hash, the smallest and the largest are aggregated (salted tasks combine before the last
+shuffle, so a group of any size is no hot task) and must be the same bytes.
 Where they are not, a collision, that group is split by the texts themselves.
 """
 
@@ -18,6 +18,8 @@ from linewright.plans.scratch import discard, written
 #: The six characters that do not count (fixed values).
 BLANKS = " \t\n\x0b\f\r"
 
+SALTS = 1024  # parts that the rows of one hash are dealt into
+
 
 def normalised(text: Column) -> Column:
     """The text without BLANKS; null counts as empty.
@@ -78,8 +80,11 @@ def exact_duplicates(
     groups = written(_groups(rows, "_hash"), "op3-groups")
 
     shared = groups.filter("group_size > 1").select("_hash")
-    apart = hashed.join(shared, "_hash").groupBy("_hash")
-    apart = apart.agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
+    # Adaptive execution splits a frequent hash in the join, and salts deal its rows out again,
+    # so that only the smallest and largest text of each task meet in the last step.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    members = hashed.join(shared, "_hash").repartition("_hash", salt)
+    apart = members.groupBy("_hash").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
     collided = written(apart.filter("_lo != _hi").select("_hash"), "op3-collided")
 
     settled = rows.join(groups, "_hash")
