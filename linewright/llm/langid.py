@@ -13,18 +13,21 @@ lane per document and language.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from linewright.llm.arrow import mapped
 
 DOCUMENTS = 48  # labelled documents per language that the model is fitted on, at most
 CHARACTERS = 600  # letters and spaces that each of them gives, at most
 UNDECIDED = "und"
-LANES = 4096  # documents parsed in step
+LANES = 2048  # documents parsed in step
 FEW = 12  # below this many a plain loop is faster than a step of numpy
 SHARPNESS = 16.0
 
@@ -93,7 +96,7 @@ class Parser:
         texts = {lang: letters_of(sample) for lang, sample in samples}
         self.languages = sorted(lang for lang, t in texts.items() if len(t))
         known = sorted({int(c) for lang in self.languages for c in np.unique(texts[lang])})
-        self.code = np.zeros(0x110000, dtype=np.int64)  # 0: never seen
+        self.code = np.zeros(0x110000, dtype=np.int16 if len(known) < 2**15 else np.int32)  # 0: never seen
         self.code[known] = np.arange(1, len(known) + 1)
         width = len(known) + 1
         rows, self.starts, self.bits = [], [], []
@@ -108,27 +111,25 @@ class Parser:
             for state, to in enumerate(moves):
                 for c, target in to.items():
                     table[state, c] = 4 * (base + target) * width
-            rows.append(table)
+            rows.append(table.astype(np.int32) if table.max(initial=0) < 2**31 else table)
             self.starts.append(base * width)
             self.bits.append(math.log2(max(2, len(texts[lang]))))
-        self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, dtype=np.int64)
-        if len(self.table) < 2**29:
-            self.table = self.table.astype(np.int32)
+        self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, dtype=np.int32)
         self.plain = memoryview(self.table)
 
-    def phrases(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each document (a column) in each language (a row)."""
-        out = np.zeros((len(self.languages), len(documents)), dtype=np.int64)
-        order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-        for at in range(0, len(order), LANES):
-            lanes = order[at : at + LANES]
-            out[:, lanes] = self._parse([self.code[documents[i]] for i in lanes])
-        return out
+    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text (a column) in each language (a row), and letters and spaces of each."""
+        lanes = [self.code[letters_of(t)] for t in texts]
+        order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
+        out = np.zeros((len(self.languages), len(lanes)), dtype=np.int64)
+        if self.languages:
+            out[:, order] = self._parse([lanes[i] for i in order])
+        return out, np.array([len(x) for x in lanes])
 
     def _parse(self, lanes: list[np.ndarray]) -> np.ndarray:
         """Lanes from the longest to the shortest."""
         lengths = np.array([len(x) for x in lanes])
-        flat = np.concatenate(lanes).astype(np.int32)
+        flat = np.concatenate(lanes)
         first = np.cumsum(lengths) - lengths
         starts = np.array(self.starts, dtype=self.table.dtype)[:, None]
         state = np.repeat(starts, len(lanes), axis=1)
@@ -184,30 +185,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def predicted(docs: DataFrame, returned: list[str]) -> DataFrame:
-    """Columns ``returned`` of ``docs`` (doc_id, text, lang) with ``_lang_pred`` and ``_score``."""
+def predicted(
+    docs: DataFrame, rows: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array]
+) -> DataFrame:
+    """First column of ``rows`` with ``_lang_pred`` and ``_score`` of the text that ``text_of`` finds in a
+    batch of them; learned from ``docs`` (doc_id, text, lang)."""
     samples = learned_sample(docs.filter(~held_out(F.col("doc_id"))))
+    first = rows.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(samples)
         for batch in batches:
-            texts = [letters_of(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            names, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
-            if parser.languages:
-                found = parser.phrases(texts) * np.array(parser.bits)[:, None]
-                for i, text in enumerate(texts):
-                    if len(text):
-                        bits = found[:, i] / found[:, i].min()
-                        names[i] = parser.languages[int(bits.argmin())]
-                        scores[i] = float(1 / np.exp2(-SHARPNESS * (bits - 1)).sum())
+            column = text_of(batch)
+            names, scores = [UNDECIDED] * len(column), [0.0] * len(column)
+            for at in range(0, len(column), LANES):
+                found, sizes = parser.phrases(column[at : at + LANES].to_pylist())
+                found = found * np.array(parser.bits)[:, None]
+                for i in np.flatnonzero(sizes if parser.languages else ()):
+                    bits = found[:, i] / found[:, i].min()
+                    names[at + i] = parser.languages[int(bits.argmin())]
+                    scores[at + i] = float(1 / np.exp2(-SHARPNESS * (bits - 1)).sum())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*returned, "_lang_pred", "_score"],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=[first.name, "_lang_pred", "_score"],
             )
 
-    asked = docs.select(*returned, F.col("text").alias("_text"))
-    schema = asked.drop("_text").schema.add("_lang_pred", "string").add("_score", "double")
-    return asked.mapInArrow(run, schema)
+    schema = T.StructType([first]).add("_lang_pred", "string").add("_score", "double")
+    return mapped(rows, run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -221,7 +225,8 @@ def identify(docs: DataFrame) -> DataFrame:
     A null doc_id is not held out and not learned from; repeated rows each get a row. Other
     columns are ignored; an empty table gives no rows.
     """
-    return predicted(docs.select("doc_id", "text", "lang"), ["doc_id"]).select(
+    found = predicted(docs, docs.select("doc_id", "text"), lambda batch: batch.column(1))
+    return found.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("_lang_pred").alias("lang_pred"),
@@ -231,6 +236,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def decided(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that get no language; all columns stay."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")
-    found = predicted(rows, ["_row"]).filter(F.col("_lang_pred") != UNDECIDED)
+    place = docs.columns.index("text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    found = predicted(docs, rows, lambda batch: batch.column(0).field(place))
+    found = found.filter(F.col("_lang_pred") != UNDECIDED)
     return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

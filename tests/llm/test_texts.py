@@ -37,10 +37,10 @@ def test_phrases_are_longest_matches():
     samples = tuple((lang, "".join(rng.choice(letters) for _ in range(300))) for lang, letters in (("x", "abc "), ("y", "bcd ")))
     parser = langid.Parser(samples)
     texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 200))) for _ in range(40)]
-    folded = [langid.letters_of(t) for t in texts]
-    got = parser.phrases(folded)
-    for i, f in enumerate(folded):
-        plain = "".join(map(chr, f))
+    got, sizes = parser.phrases(texts)
+    for i, text in enumerate(texts):
+        plain = "".join(map(chr, langid.letters_of(text)))
+        assert sizes[i] == len(plain)
         for row, (_, sample) in enumerate(samples):
             reference = "".join(map(chr, langid.letters_of(sample)))
             assert got[row, i] == phrases_by_search(plain, reference)
