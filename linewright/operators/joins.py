@@ -16,8 +16,8 @@ from linewright.plans.scratch import written
 from linewright.plans.sizing import all_equal, fits_broadcast
 
 # A range is opened level by level, RANGE_STEP parts each, so no row ever holds a long array.
-RANGE_STEP = 10_000
-RANGE_LEVELS = 4
+RANGE_STEP = 100_000
+RANGE_LEVELS = 3
 MOST_HOSTS = 10**18
 
 # Bounds are kept as text; arithmetic is done on this many of their last digits.
@@ -105,7 +105,11 @@ def expand_specs(specs: DataFrame, spec: str = "spec") -> DataFrame:
         # The outer form keeps Catalyst from inferring a filter that works all this out twice.
         opened = opened.withColumn("_at", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last)))
         opened = opened.withColumn("_skip", F.col("_skip") + F.col("_at") * step).drop("_at")
-    name = F.concat("_stem", _number_from(F.col("_lo_head"), F.col("_lo_tail"), F.col("_skip")))
+    # Up to 18 digits a number and its offset fit a bigint, which is the same and cheaper.
+    plain = F.when(F.char_length("_lo") <= 18, F.col("_lo_tail").cast("bigint")) + F.col("_skip")
+    long = _number_from(F.col("_lo_head"), F.col("_lo_tail"), F.col("_skip"))
+    number = F.when(F.char_length("_lo") <= 18, plain.cast("string")).otherwise(long)
+    name = F.concat("_stem", number)
     hosts = F.when(F.col("_list"), F.split(value, ",")).otherwise(F.array(name))
     return opened.select(*specs.columns, "_skip", F.posexplode(hosts).alias("_at", "host")).select(
         *specs.columns, (F.col("_skip") + F.col("_at")).cast("bigint").alias("host_no"), "host"

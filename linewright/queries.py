@@ -1134,6 +1134,6 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.append_table(inbox, events.filter(part))
         stream = follow.follow_files(spark, inbox, events.schema)
         live.change_stream(
-            stream, ["user_id"], ["ts", "event_id"], "event_type", out, state, mark
+            stream, ["user_id"], ["ts", "event_id"], "event_type", out, state, mark, buckets=8
         ).awaitTermination()
     return live.read_changes(spark, out)
