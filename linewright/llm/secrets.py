@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.llm.arrow import mapped
+from linewright.plans.scratch import discard, written
 
 KINDS = ("assign", "access", "hex", "guessed")
 
@@ -40,9 +41,9 @@ CONTEXT = re.compile(
     re.I | re.A | re.X,
 )
 LEAST_COST = 8.0  # decimal digits of guesses from which a value is a secret
-WORDS = 4_000  # words that the dictionary has, at most
-SAMPLE_DOCUMENTS = 2_000  # documents it is made from, about
-SAMPLE_CHARACTERS = 2_000  # of each
+#: A word of the dictionary makes up one in so many of the uses of shared words, a use being a
+#: text that has the word; so there are never more words than that.
+WORDS = 100_000
 #: Words that stand for a credential without being one (fixed values).
 PLACEHOLDERS = "password passwd secret token changeme example default test admin user your key value null none true false".split()
 
@@ -123,16 +124,20 @@ def spans_of(text: str, ranks: dict[str, int]) -> list[tuple[str, int, int]]:
 
 
 def common_words(docs: DataFrame) -> dict[str, int]:
-    """Rank of frequent words, from a bounded sample of texts by hash of the id."""
-    n = docs.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))
-    sample = docs.filter(share < math.ceil(1_000_000 * min(1.0, SAMPLE_DOCUMENTS / max(1, n))))
-    words = sample.select(
-        F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, SAMPLE_CHARACTERS)), F.lit(r"[a-z]{3,24}"), F.lit(0))).alias("word")
-    )
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
+    """Rank of words by the number of texts that have them, from all whole texts.
+
+    A word is shared if two different texts (by 64-bit hash) have it, so copies of a text that
+    holds a secret make no word of it. Shared words with one in WORDS of all uses are ranked.
+    """
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,24}"), F.lit(0))
+    uses = docs.select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(found)).alias("word"))
+    counts = uses.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("first"), F.max("of").alias("last"))
+    shared = written(counts.filter("first != last").select("word", "n"), "secrets-words")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    top = shared.filter(F.col("n") * WORDS >= total).collect()
+    discard(shared)
     ranks = {word: i + 1 for i, word in enumerate(PLACEHOLDERS)}
-    for row in top.collect():
+    for row in sorted(top, key=lambda r: (-r["n"], r["word"])):
         ranks.setdefault(row["word"], len(ranks) + 1)
     return ranks
 

@@ -362,6 +362,31 @@ def test_secrets_of_documents(spark):
         assert set(filter(None, listed.split(","))) <= set(g.spans.split(","))
 
 
+def test_dictionary_counts_all_whole_texts(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    word = lambda i: "".join(letters[i // 20**k % 20] for k in range(4))
+    # Each text shares a word with the next, far beyond its beginning.
+    texts = ["the house " * 400 + f"{word(i // 2)} once{word(i)}" for i in range(3000)] + [None, ""]
+    texts += ["one text only: hunterzwei"] * 50  # copies are not uses by different texts
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    uses = Counter(w for t in texts for w in set(re.findall("[a-z]{3,24}", t or "")))
+    kinds = Counter(w for t in set(texts) for w in set(re.findall("[a-z]{3,24}", t or "")))
+    total = sum(n for w, n in uses.items() if kinds[w] > 1)
+    wanted = sorted((w for w, n in uses.items() if kinds[w] > 1 and n * secrets.WORDS >= total), key=lambda w: (-uses[w], w))
+    ranks = secrets.common_words(frame)
+    assert [w for w in ranks if w not in secrets.PLACEHOLDERS] == [w for w in wanted if w not in secrets.PLACEHOLDERS]
+    assert len(wanted) == 1502 and "hunterzwei" not in ranks
+    assert secrets.common_words(frame.union(frame)) == ranks  # the same at twice the size
+
+
+def test_few_words_hold_the_share(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "WORDS", 20)
+    rows = [(i, " ".join(w * 3 for w in "abcdefghijklmnopqrstuvwxyz"[: 1 + i % 26])) for i in range(260)]
+    rows = [(i, f"{t} {i}") for i, t in rows]
+    ranks = secrets.common_words(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert [w for w in ranks if w not in secrets.PLACEHOLDERS] == [c * 3 for c in "abcdefghi"]  # 180 of 3510 uses, the next 170
+
+
 def test_secrets_of_odd_rows(odd, nothing):
     assert len(secrets.find_secrets(odd).collect()) == odd.count()
     assert secrets.find_secrets(nothing).count() == 0
