@@ -1,11 +1,15 @@
 """Personal data: base patterns, and candidates judged by boosted trees.
 
 Only Spark SQL functions run over the texts. Wide patterns propose spans; each gets a code of
-format and context features. The base's own finds are the labels: proposals that touch one
-are positive. Trees are fitted on how often each code was seen with each label, over half of
-the documents, and a threshold per generator is calibrated on the other half: the lowest
-score, of even odds or better, from which at least PRECISION of the proposals are positive. Proposals above it, off the
-base's finds, are added. A text never leaves its row, so nothing is shuffled but the counts.
+format and context features, from which the signs that only the base's own form has are masked:
+a plus, the signs between groups, how '@' and dots are written. Proposals that touch a find of
+the base are positive; those off them are negative only where the base or the context can tell
+(``_refused``), and the rest, variants that the base cannot read, teach nothing. Trees are fitted
+on how often each code was seen with each label, over half of the documents, and a threshold per
+generator is calibrated on the other half: the lowest score, of even odds or better, from which
+at least PRECISION of the labelled proposals are positive. Proposals above it, off the base's
+finds and with a code that finds of the base have too, are added. A text never leaves its row, so
+nothing is shuffled but the counts.
 
 The patterns never try a start inside a run that already failed, and their loops give
 nothing back, so a text of any length is read once.
@@ -32,7 +36,7 @@ BASE = {
 }
 #: Wide patterns: written-out addresses; any run of digit groups.
 PROPOSED = {
-    "contact": rf"(?:\G|(?<!{LOCAL})){LOCAL}++ ?(?:\(at\)|\[at\]|\{{at\}}|@) ?{HOST}++(?: ?(?:\(dot\)|\[dot\]|\{{dot\}}|\.) ?{HOST}++)*+",
+    "contact": rf"(?:\G|(?<!{LOCAL})){LOCAL}++ ?(?:\(at\)|\[at\]|\{{at\}}|@) ?{HOST}++(?:(?: ?(?:\(dot\)|\[dot\]|\{{dot\}}) ?| \. |\.){HOST}++)*+",
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ()./:-]{0,2}[0-9])++(?![0-9A-Za-z])",
 }
 #: A match needs one of these strings, or a digit (follows from the patterns).
@@ -111,31 +115,67 @@ def _of_kind(kind: str) -> Column:
     return F.filter("_base", lambda s: s["kind"] == kind)
 
 
+def _plain(contact: Column) -> Column:
+    """An address with its signs as the base writes them."""
+    at = F.regexp_replace(contact, r" ?(?:\(at\)|\[at\]|\{at\}|@) ?", "@")
+    return F.regexp_replace(at, r" ?(?:\(dot\)|\[dot\]|\{dot\}) ?| \. ", ".")
+
+
+def _before(span: Column, text: Column) -> Column:
+    return F.lower(F.substr(text, F.greatest(span["start"] - CONTEXT, F.lit(0)).cast("int") + 1,
+                            F.least(span["start"], F.lit(CONTEXT)).cast("int")))
+
+
+DATE = r"^(?:[0-9]{4}[./:-][0-9]{1,2}[./:-][0-9]{1,2}|[0-9]{1,2}[./:-][0-9]{1,2}[./:-](?:[0-9]{4}|[0-9]{1,2}))(?:[ :]|$)"
+FOUR_GROUPS = r"^[0-9]+(?:\.[0-9]+){3}$"
+NAMED = r"\b(?:tel|phone|call|fax|mobile|cell|e-?mail|contact|card|visa|account|ssn|ip)\b[^a-z]*$"
+NAMED_OTHER = r"(?:[=#/_$]|\b(?:version|page|section|no|isbn|id|article)\b[^a-z]*)$"
+
+
 def _features(span: Column, text: Column) -> list[Column]:
     match = span["match"]
-    number = digits(match)
+    is_number = span["kind"] == "number"
+    number = F.when(is_number, digits(match)).otherwise("")
     size = F.char_length(number)
-    before = F.lower(F.substr(text, F.greatest(span["start"] - CONTEXT, F.lit(0)).cast("int") + 1,
-                              F.least(span["start"], F.lit(CONTEXT)).cast("int")))
+    grouped = match.rlike("[0-9][^0-9]+[0-9]")
+    before = _before(span, text)
+    plain = _plain(match)
     return [
         size.between(7, 8),
         size.between(9, 12),
         size.between(13, 19),
-        match.startswith("+"),
-        match.contains("(") & match.contains(")"),
-        match.contains("-"),
-        match.contains(" "),
-        match.rlike(r"^(?:[0-9]{4}[ -]?){3}[0-9]{1,7}$"),
+        is_number & (size < 13) & grouped,
+        is_number & (size < 13) & match.rlike(r"(?<![0-9])[0-9]{4}$"),
+        is_number & match.rlike(r"^[0-9]{1,3}(?:[ .][0-9]{3})+$"),
+        is_number & match.rlike(r"^(?:[0-9]{4}[ ./-]?){3}[0-9]{1,7}$"),
         F.when(size.between(13, 19), luhn(number)).otherwise(F.lit(False)),
         match.rlike(IP_SHAPE),
-        match.contains("@"),
-        match.rlike(r"\.[A-Za-z]{2,12}$"),
-        match.rlike(r"^[0-9]{1,4}[./:-][0-9]{1,2}[./:-][0-9]{1,4}(?:[ :]|$)"),
-        before.rlike(r"\b(?:tel|phone|call|fax|mobile|cell|e-?mail|contact|card|visa|account|ssn|ip)\b[^a-z]*$"),
-        before.rlike(r"(?:[=#/_$]|\b(?:version|page|section|no|isbn|id|article)\b[^a-z]*)$"),
+        (size < 13) & match.rlike(FOUR_GROUPS),
+        ~is_number & plain.rlike(r"@.+\."),
+        ~is_number & plain.rlike(r"\.[A-Za-z]{2,12}$"),
+        match.rlike(DATE),
+        is_number & (size < 13) & ~grouped & before.rlike(NAMED),
+        is_number & before.rlike(NAMED_OTHER),
     ]
 
 
+def _refused(span: Column, text: Column) -> Column:
+    """Whether a proposal off the base's finds is none: the base reads its form and found
+    nothing, or it is a date, named as something else, or a bare number that nothing names."""
+    match = span["match"]
+    size = F.char_length(digits(match))
+    before = _before(span, text)
+    return F.when(span["kind"] == "contact", match.rlike("^[^ ()\\[\\]{}]+$")).otherwise(
+        match.startswith("+")
+        | (size > 19)
+        | (size.between(13, 19) & match.rlike("^[0-9](?:[ -]?[0-9])+$"))
+        | ((size < 13) & match.rlike(FOUR_GROUPS))
+        | match.rlike(DATE)
+        | before.rlike(NAMED_OTHER)
+        | (match.rlike("^[0-9]+$") & ~before.rlike(NAMED))
+    )
+
+
 N_FEATURES = 15
 
 
@@ -146,7 +186,7 @@ def _code(span: Column, text: Column) -> Column:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (with a column text) plus ``_base``, an array of the base's spans by kind, then
-    start, and ``_proposed``, an array of (kind, start, end, code, hit) for the trees."""
+    start, and ``_proposed``, an array of (kind, start, end, code, hit, labelled) for the trees."""
     text = F.col("_text")
     kinds = BASE | PROPOSED
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
@@ -167,6 +207,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
             span["end"].alias("end"),
             _code(span, text).alias("code"),
             touches.alias("hit"),
+            (touches | _refused(span, text)).alias("labelled"),
         )
 
     proposed = F.concat(*(F.col(f"_s_{k}") for k in PROPOSED))
@@ -179,7 +220,7 @@ def fit(docs: DataFrame) -> dict[str, list[int]]:
     half = F.pmod(F.xxhash64("_base.start", "doc_id"), F.lit(2))
     # The outer form keeps Catalyst from inferring a filter that would search every text again.
     seen = with_spans(docs.select("doc_id", "text"))
-    seen = seen.select(half.alias("half"), F.explode_outer("_proposed").alias("s")).filter("s IS NOT NULL")
+    seen = seen.select(half.alias("half"), F.explode_outer("_proposed").alias("s")).filter("s IS NOT NULL AND s.labelled")
     counts = seen.groupBy("half", "s.kind", "s.code", "s.hit").agg(F.count(F.lit(1)).alias("n")).collect()
     accepted = {}
     for kind in PROPOSED:
@@ -200,7 +241,7 @@ def fit(docs: DataFrame) -> dict[str, list[int]]:
                 break
             least = score
         if least is not None:
-            accepted[kind] = [c for c, s in zip(codes, scores) if s >= least]
+            accepted[kind] = [c for c, s, known in zip(codes, scores, n[:, 1].sum(0)) if c and s >= least and known]
     return accepted
 
 

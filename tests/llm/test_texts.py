@@ -230,6 +230,39 @@ def test_trees_add_spans_like_those_they_know(spark):
     assert all(s.count("phone:") == 1 and "number" not in s for d, s in got.items() if d < 5000)
 
 
+VARIANTS = [
+    ("mail anna.b (at) firm-x (dot) com. Then more", ["anna.b (at) firm-x (dot) com"]),
+    ("mail anna.b[at]firm[dot]co[dot]uk", ["anna.b[at]firm[dot]co[dot]uk"]),
+    ("mail anna @ firm.org", ["anna @ firm.org"]),
+    ("dinner @ noon. Then more", []),
+    ("the number is (605) 555-9305 there", ["(605) 555-9305"]),
+    ("or 605-555-9305, or 605.555.9305", ["605-555-9305", "605.555.9305"]),
+    ("number 123-45-6789 of Anna", ["123-45-6789"]),
+    ("phone: 6055559305", ["6055559305"]),
+    ("at 6055559305 and isbn 605-555-9305", []),
+    ("2024-01-11 12:30 and 12.11.2024 and 300.12.99.100", []),
+    ("version 605.555.9305, 1 234 567 890 people", []),
+    ("card 4111.1111.1111.1111 or 4111.1111.1111.1112", ["4111.1111.1111.1111"]),
+]
+
+
+def test_trees_add_variants_that_the_base_misses(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(1200):
+        number = f"{rng.randint(200, 999)} 555 {rng.randint(1000, 9999)}"
+        card = next(c for c in iter(lambda: str(rng.randint(10**15, 10**16 - 1)), "") if passes_luhn(c))
+        phone = rng.choice([f"call +1 ({number[:3]}) 555-{number[-4:]}", f"phone: +1{number.replace(' ', '')}"])
+        texts.append(f"{phone} now, x{i}@host{i}.com, user@localhost, {card}; order {rng.randint(10**9, 10**10)}; 1.2.300.{i}")
+    frame = spark.createDataFrame(list(enumerate(texts + [t for t, _ in VARIANTS])), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in personal.find_personal(frame).collect()}
+    for i, (text, wanted) in enumerate(VARIANTS, len(texts)):
+        spans = [s.split(":") for s in got[i].split(",") if s]
+        assert [text[int(a) : int(b)] for k, a, b in spans if k in ("contact", "number")] == wanted, text
+    added = sum(s.startswith(("contact", "number")) for i in got for s in got[i].split(","))
+    assert added == sum(len(w) for _, w in VARIANTS)  # none of the 1,200 texts' other numbers
+
+
 def test_boosted_trees_learn_a_rule():
     rng = random.Random(4)
     codes = list(range(64))
