@@ -177,15 +177,11 @@ def _chosen(tree: Tree) -> list[tuple[int, int]]:
     if not blocks:
         return []
     best = max(blocks, key=lambda i: (total[i], -i))
-    least, up, article = density[best], best, None
+    least, up = density[best], best
     while up > 0 and tags[up] != "body":
-        if tags[up] in ("article", "main"):
-            article = up
         up = parents[up]
         if density[up] > 0:
             least = min(least, density[up])
-    if article is not None:
-        return [(article, tree.last[article])]
     parts, end = [], -1
     for i in blocks:  # page order; other parts as dense as the path to the body
         if i > end and (i == best or (density[i] >= least and not i <= best <= tree.last[i])):

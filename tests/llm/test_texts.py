@@ -475,6 +475,16 @@ def test_density_falls_with_links():
     assert tree.tags[first] == "div" and first == 1 and not rest
 
 
+def test_density_chooses_parts_on_every_page():
+    words = lambda w, n=60: f"<p>{(w + ' ') * n}</p>"
+    of = lambda html: set(html_text.main_text(html).split())
+    articles = "".join(f"<article>{words(f'a{i}')}{words(f'b{i}', 50 + i)}</article>" for i in range(3))
+    assert of(f"<body>{articles}</body>") == {f"{x}{i}" for x in "ab" for i in range(3)}
+    teasers = "".join(f"<li><a href='/{i}'>teaser</a></li>" for i in range(8))
+    for tag in ("main", "article", "div"):
+        assert of(f"<body><{tag}><div>{words('x')}{words('y', 70)}</div><ul>{teasers}</ul></{tag}></body>") == {"x", "y"}
+
+
 def article_by_pattern(html):
     """The generated pages have one article of headings and paragraphs."""
     from html import unescape
