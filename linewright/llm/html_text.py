@@ -42,8 +42,8 @@ ENDED_BY = {
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select".split())
 
 UNSEEN = frozenset("head script style noscript template svg math iframe object canvas audio video title".split())
-AROUND = frozenset("nav footer aside form button select textarea header menu dialog label search".split())
-#: Parts of class, id or role that name what is not the article.
+AROUND = frozenset("nav footer aside button select textarea header menu dialog label search".split())
+#: Names in class, id or role of what is not the article, alone or in compounds with each other and with _BESIDE.
 HINTS = frozenset(
     """ad ads adv advert advertising adverts advertisement alert banner breadcrumb breadcrumbs comment
     comments complementary contentinfo cookie cookies consent disclaimer disqus dialog footer form gdpr
@@ -51,7 +51,23 @@ HINTS = frozenset(
     pager popup promo promoted promotion recommended related replies respond search share sharing
     sidebar signup social sponsor sponsored subscribe subscription toast toolbar widget""".split()
 )
+_BESIDE = frozenset(
+    """area bar block bottom box button center column container content footer group head header inner
+    item items left link links list main message notice outer page panel post posts primary right row
+    secondary section site text title top wrap wrapper""".split()
+)
 _PART = re.compile(r"[a-z0-9]+")
+
+
+def _names_other(named: str) -> bool:
+    """Whether a whole name says so: ``cookie-notice`` does, ``has-sidebar`` or ``ad-free`` do not."""
+    for name in named.split():
+        parts = {p for p in _PART.findall(name) if not p.isdigit()}
+        if not HINTS.isdisjoint(parts) and parts <= HINTS | _BESIDE:
+            return True
+    return False
+
+
 _OPEN_TAG = re.compile("</?[A-Za-z]")
 LEAST = 1e-6  # weight of any text, however few its characters
 
@@ -66,6 +82,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.last, self.out = ["#page"], [-1], [0], [False]
+        self.hinted: list[int] = []  # nodes that go unless they hold most of the page
         self.stack = [0]
         self.open: dict[str, list[int]] = {}  # depths of open elements by tag
         self.bounds: list[int] = [0]
@@ -104,8 +121,9 @@ class Tree(HTMLParser):
         self.parents.append(self.stack[-1])
         self.last.append(node)
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-        hinted = bool(named) and not HINTS.isdisjoint(_PART.findall(named)) and tag not in ("body", "html", "main", "article")
-        self.out.append(tag in UNSEEN or tag in AROUND or hinted)
+        if tag == "form" or (named and tag not in ("body", "html", "main", "article") and _names_other(named)):
+            self.hinted.append(node)
+        self.out.append(tag in UNSEEN or tag in AROUND)
         if tag not in VOID:
             if tag in BOUNDS:
                 self.bounds.append(len(self.stack))
@@ -131,6 +149,31 @@ class Tree(HTMLParser):
         super().close()
         self._pop_to(1)
         self.last[0] = len(self.tags) - 1
+        self._drop_hinted()
+
+    def _drop_hinted(self) -> None:
+        """Hinted nodes go, inner ones first, but not one with more than half of the text outside links
+        that is left by then, unless the page's article, main and h1 elements are all outside: that is
+        a wrapper of the page."""
+        if not self.hinted:
+            return
+        n = len(self.tags)
+        skipped, chars, hinted = self.out[:], [0] * n, set(self.hinted)
+        for i in range(1, n):
+            skipped[i] = skipped[i] or skipped[self.parents[i]] or self.tags[i] == "a"
+        for node, _, text in self.texts:
+            if not skipped[node]:
+                chars[node] += sum(map(len, text.split()))
+        left = sum(chars)
+        marks = [tag in ("article", "main", "h1") and not gone for tag, gone in zip(self.tags, skipped)]
+        marked = any(marks)
+        for i in range(n - 1, 0, -1):
+            if i in hinted and (2 * chars[i] <= left or (marked and not marks[i])):
+                self.out[i] = True
+                left -= chars[i]
+            else:
+                chars[self.parents[i]] += chars[i]
+                marks[self.parents[i]] |= marks[i]
 
 
 def _chosen(tree: Tree) -> list[tuple[int, int]]:

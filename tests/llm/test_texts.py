@@ -485,6 +485,24 @@ def test_density_chooses_parts_on_every_page():
         assert of(f"<body><{tag}><div>{words('x')}{words('y', 70)}</div><ul>{teasers}</ul></{tag}></body>") == {"x", "y"}
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='layout has-sidebar'>", "<div class='post comments-open'>", "<div class='ad-free'>", "<form action='/p.aspx'>", "<div id='widget'>"],
+)
+def test_wrappers_stay_and_what_is_around_goes(wrapper):
+    end = "</form>" if "form" in wrapper else "</div>"
+    around = "<div class='comment-list'>" + "".join("<div class='comment'><p>I disagree with every word, at length.</p></div>" for _ in range(20)) + "</div>"
+    around += "<div class='ad'><p>Buy this now.</p></div><form><p>Search here</p></form>"
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert html_text.main_text(f"<body>{wrapper}<div>{body}</div>{around}{end}</body>") == "\n".join(WANTED)
+    assert html_text.main_text(PAGE.format(body=f"{wrapper}{body}{end}")) == "\n".join(WANTED)
+
+
+def test_long_advertisement_beside_a_short_article_goes():
+    page = "<body><div class='ad'>" + "Buy this now. " * 20 + "</div><article><h1>Short</h1><p>one.</p></article></body>"
+    assert html_text.main_text(page) == "Short\none."
+
+
 def article_by_pattern(html):
     """The generated pages have one article of headings and paragraphs."""
     from html import unescape
