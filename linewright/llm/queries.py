@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from linewright.llm import bpe, exact, html_text, langid, minhash, packing, personal, quality, secrets, sharding
+from pyspark.sql import functions as F
+
+from linewright.llm import (
+    bpe,
+    divergence,
+    exact,
+    html_text,
+    infill,
+    langid,
+    minhash,
+    packing,
+    personal,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 BINDINGS: dict[str, tuple[Query, str | None]] = {}
@@ -117,3 +132,90 @@ def op8_guess_cost_secrets(spark, sf_dir):
 @bind()
 def op7_boosted_personal_data(spark, sf_dir):
     return personal.find_personal(table(spark, sf_dir, "documents"))
+
+
+@bind(
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), uses AS (SELECT r, lang, source, unnest(w) AS term FROM d
+    ), kept AS (SELECT lang, term FROM uses GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30
+    ), n AS (SELECT lang, source, term, count(*) AS c FROM uses JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+    ), terms AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1
+    ), groups AS (SELECT DISTINCT lang, source FROM d
+    ), sizes AS (
+        SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN n USING (lang, source) GROUP BY 1, 2
+    ), p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+            CAST(1 + (1000000000 * CAST(coalesce(c, 0) + 5 AS HUGEINT)) // (g.n + 5 * v) AS BIGINT) AS p
+        FROM sizes g JOIN kept k USING (lang) JOIN terms USING (lang)
+        LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+    ), q AS (
+        SELECT lang, term, CAST(1 + (1000000000 * CAST(sum(c) + 5 AS HUGEINT))
+            // (sum(sum(c)) OVER (PARTITION BY lang) + 5 * v) AS BIGINT) AS q
+        FROM n JOIN terms USING (lang) GROUP BY lang, term, v
+    ), found AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+            CAST(coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term)
+                WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+    ), ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM found
+    )
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """
+)
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@bind(
+    r"""
+    WITH units AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+            sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents
+    ), drawn AS (
+        SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x,
+            CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || h[25:32] AS BIGINT) % 100 AS z
+        FROM units
+    ), parts AS (
+        SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                THEN 'plain' WHEN z < 50 THEN 'spm' ELSE 'psm' END AS form,
+            coalesce(array_to_string(u[1:least(x, y)], ''), '') AS p,
+            coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS m,
+            coalesce(array_to_string(u[greatest(x, y) + 1:n], ''), '') AS s
+        FROM drawn
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM parts
+    """
+)
+def op12_swar_fill_in_middle(spark, sf_dir):
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    output, form = F.col("output"), F.col("form")
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(output, form).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@bind()
+def op13_anchor_simhash(spark, sf_dir):
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"), width=3, threshold=3, seed=42)

@@ -1,0 +1,155 @@
+"""SimHash at the anchors of a covering code, against all pairs."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from linewright.llm import simhash
+
+
+def brute_fingerprint(text, width=3, seed=42):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    width = min(width, len(words))
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), seed) for i in range(len(words) - width + 1)]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def brute_components(rows, threshold):
+    """rows: (doc_id, fingerprint), ids may repeat or be missing."""
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= threshold:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def test_anchors_cover():
+    """Every word has one home, within 1; whatever is one bit apart is at that home too."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**31, 4000, dtype=np.uint64)
+    places, found = simhash.anchors(words, 1)
+    assert not simhash.syndrome(found).any()
+    distance = np.bitwise_count(found ^ words[places])
+    assert distance.max() == 2 and (distance <= 1).sum() == len(words)
+    at = {}
+    for place, anchor in zip(places.tolist(), found.tolist()):
+        at.setdefault(place, set()).add(anchor)
+    for bit in range(31):
+        _, home = simhash.anchors(words ^ np.uint64(1 << bit), 0)
+        assert all(home[i] in at[i] for i in range(len(words)))
+
+
+def test_forest_connects_what_links_do():
+    rng = random.Random(4)
+    for _ in range(40):
+        fps = {rng.getrandbits(64)}
+        while len(fps) < 60:
+            fps.add(rng.choice(sorted(fps)) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
+        fps = sorted(fps)
+        links = simhash.forest(np.array(fps, dtype=np.uint64), 3)
+        assert all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in links) and len(links) < len(fps)
+        want = brute_components(list(enumerate(fps)), 3)
+        root = list(range(len(fps)))
+        for _ in fps:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        assert root == want
+
+
+@pytest.mark.parametrize("text", [None, "", " \t\n", "One", "One two", "a B c", "a b c d " * 700, "é\x85 ß\xa0x 漢 😀 " * 9])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_long_texts_in_parts(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(rng.choice("abcdefg") * rng.randint(1, 9) for _ in range(3000))
+    want = brute_fingerprint(text)
+    monkeypatch.setattr(simhash, "STEP", 64)
+    for part in (1, 7, 500):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert simhash.fingerprint(text) == want
+
+
+def clustered(rng, n):
+    """Fingerprints in chains and balls, at either block and across them."""
+    out = []
+    while len(out) < n:
+        base = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 40)):
+            out.append(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))))
+            if rng.random() < 0.3:
+                base = out[-1]
+    return [x - 2**64 if x >= 2**63 else x for x in out]
+
+
+@pytest.mark.parametrize("refined,block,threshold", [(False, 1 << 14, 3), (True, 1 << 14, 3), (False, 4, 3), (True, 8, 2), (False, 64, 0)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, refined, block, threshold):
+    fps = clustered(random.Random(6), 700)
+    rows = [(i if i % 50 else None, fp) for i, fp in enumerate(fps)]
+    random.Random(7).shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, fp bigint").repartition(5)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    if refined:
+        monkeypatch.setattr(simhash, "CROWDED", 0)
+    got = simhash.near_fingerprints(frame, threshold=threshold, block=block).collect()
+    want = brute_components([(i, fp & (2**64 - 1)) for i, fp in rows], threshold)
+    expected = sorted((str(i), f"{fp & (2**64 - 1):016x}", str(root)) for (i, fp), root in zip(rows, want))
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == expected
+
+
+def test_hot_group_of_near_fingerprints(spark, monkeypatch):
+    """A third of all rows in one ball: links stay fewer than fingerprints."""
+    rng = random.Random(8)
+    ball = [(1 << a) | (1 << b) for a in range(60) for b in range(a)]
+    fps = ball + [rng.getrandbits(63) for _ in range(2 * len(ball))]
+    frame = spark.createDataFrame(list(enumerate(fps)), "doc_id bigint, fp bigint")
+    cells = simhash.anchored(frame.select("fp"), 3, False).selectExpr("key", "part", "0 row", "0 col", "fp")
+    assert simhash._links(cells, 3).distinct().count() < 40 * len(ball)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    got = {r.doc_id: r.component_id for r in simhash.near_fingerprints(frame).collect()}
+    assert all(got[i] == 0 for i in range(len(ball)))
+
+
+def test_documents(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_fingerprints(documents).collect()}
+    prints = [(i, brute_fingerprint(t)) for i, t in rows]
+    want = brute_components(prints, 3)
+    assert got == {i: (f"{fp:016x}", root) for (i, fp), root in zip(prints, want)}
+
+
+def test_odd_rows(spark, odd, nothing):
+    rows = [(r.doc_id, brute_fingerprint(r.text)) for r in odd.collect()]
+    want = sorted((str(i), f"{fp:016x}", str(root)) for (i, fp), root in zip(rows, brute_components(rows, 3)))
+    got = simhash.near_fingerprints(odd).collect()
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
+    assert simhash.near_fingerprints(nothing).count() == 0
+    same_id = spark.createDataFrame([(5, "a"), (5, "b c"), (7, "b  C"), (None, "z")], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_fingerprints(same_id).collect())
+    assert got == [("5", 5), ("5", 5), ("7", 5), ("None", None)]
+
+
+def test_spark_has_the_same_hash(spark):
+    """The seed of Spark's own xxhash64 is 42."""
+    row = spark.range(1).select(F.xxhash64(F.lit("é b c")).alias("h")).first()
+    assert row.h & (2**64 - 1) == xxhash.xxh64_intdigest("é b c".encode(), 42)
