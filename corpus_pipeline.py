@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its
 result is written as Parquet and read again as the next one's docs. All but the last return
-the columns of documents. Rows without a doc_id have no name that later stages could keep
-them by; the first stage that removes copies drops them.
+the columns of documents. Stages that remove copies tell rows apart by a number written with them, so
+documents that share a doc_id, or have none, are judged by their texts like all others.
 """
 
 from __future__ import annotations
@@ -13,32 +13,48 @@ from pyspark.sql import functions as F
 
 from linewright.llm import exact, langid, minhash, packing, personal
 from linewright.llm.queries import table, vocabulary
-from linewright.plans.scratch import written
+from linewright.plans.scratch import discard, settled, written
 
 WORDS = 5  # per shingle
 PERCENT = 80  # similarity from which documents are near copies
 SEQUENCE = 2048  # tokens
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay, one per doc_id."""
-    stay = verdicts.filter("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, docs["doc_id"] == stay["_stays"], "left_semi").dropDuplicates(["doc_id"])
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(_docs, doc_id, text, _number): whole rows as one column, so that no name of theirs clashes."""
+    rows = docs.select(F.struct(*docs.columns).alias("_docs"), F.monotonically_increasing_id().alias("_number"))
+    return written(rows, "pipeline-rows")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("_docs.doc_id", "_docs.text", "_number")
+
+
+def _kept(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows whose number is in ``stay``, with the columns they had."""
+    names = rows.schema["_docs"].dataType.names
+    return rows.join(stay.select("_number"), "_number", "left_semi").select(*(F.col(f"_docs.`{c}`").alias(c) for c in names))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter go."""
+    """Documents in a learned language; texts without a letter go, and long ones that are too dear in each."""
     return langid.decided(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest row, then the smallest id."""
-    return _kept(docs, exact.exact_duplicates(docs))
+    rows = _numbered(docs)
+    return _kept(rows, exact.exact_duplicates(_texts(rows), number="_number").filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id."""
-    return _kept(docs, minhash.near_duplicates(docs, width=WORDS, percent=PERCENT))
+    """Of each group of near copies the smallest id; texts without words all stay."""
+    rows = _numbered(docs)
+    found = minhash.linked(_texts(rows), WORDS, PERCENT)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_number"))
+    alone = found.filter("root IS NULL").select("_number")
+    chosen = found.filter("root IS NOT NULL").groupBy("root").agg(first.alias("_first")).select("_first._number")
+    return _kept(rows, chosen.unionByName(alone))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +82,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
