@@ -37,10 +37,12 @@ def md5_128(text: Column) -> Column:
 
 
 def _groups(rows: DataFrame, by: str) -> DataFrame:
-    """The row that stays in each group (longest, then smallest id) and the group's size."""
+    """The row that stays in each group (longest, then smallest id, then number) and the group's size."""
     rank = F.struct(
         F.when(F.col("doc_id").isNotNull(), F.col("_length")).alias("length"),
         F.bitwise_not("doc_id").alias("turned"),  # falls as the id rises
+        F.when(F.col("doc_id").isNull(), F.col("_length")).alias("other_length"),
+        F.bitwise_not("_number").alias("turned_number"),
     )
     return (
         rows.groupBy(by)
@@ -49,13 +51,14 @@ def _groups(rows: DataFrame, by: str) -> DataFrame:
             by,
             F.col("_best.length").alias("_most"),
             F.bitwise_not("_best.turned").alias("keep_id"),
+            F.bitwise_not("_best.turned_number").alias("_stays"),
             "group_size",
         )
     )
 
 
 def exact_duplicates(
-    docs: DataFrame, content_hash: Callable[[Column], Column] = md5_128
+    docs: DataFrame, content_hash: Callable[[Column], Column] = md5_128, number: str | None = None
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, anything else), those that go included.
 
@@ -68,22 +71,28 @@ def exact_duplicates(
     null keep_id, and its rows are not kept. Repeats of a whole row each count in group_size
     and share one verdict. Other columns are ignored; an empty table gives no rows.
 
+    ``number`` names a column of ``docs`` that tells rows apart. It is then returned too, and just one
+    row of each group is kept: of several rows that could be, and of null ids only, the longest, then
+    the one with the smallest number.
+
     ``content_hash`` is a parameter so that tests can force collisions.
     """
     hashed = docs.select(
         "doc_id",
+        F.col(number or "doc_id").alias("_number"),
         F.char_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("_length"),
         normalised(F.col("text")).alias("_text"),
     ).withColumn("_hash", content_hash(F.col("_text")))
     digest = F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")
-    rows = written(hashed.select("doc_id", "_length", "_hash", digest), "op3-rows")
+    rows = written(hashed.select("doc_id", "_number", "_length", "_hash", digest), "op3-rows")
     groups = written(_groups(rows, "_hash"), "op3-groups")
 
     shared = groups.filter("group_size > 1").select("_hash")
     # Adaptive execution splits a frequent hash in the join, and salts deal its rows out again,
     # so that only the smallest and largest text of each task meet in the last step.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    members = hashed.join(shared, "_hash").repartition("_hash", salt)
+    salt = (F.rand(3) * SALTS).cast("int")  # not by id: copies may share one, or have none
+    members = hashed.select("_hash", "_text").join(shared, "_hash").withColumn("_salt", salt)
+    members = members.repartition("_hash", "_salt")
     apart = members.groupBy("_hash").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
     collided = written(apart.filter("_lo != _hi").select("_hash"), "op3-collided")
 
@@ -96,6 +105,8 @@ def exact_duplicates(
         settled = settled.join(collided, "_hash", "left_anti")
         settled = settled.unionByName(split.select(settled.columns))
     stays = (F.col("doc_id") == F.col("keep_id")) & (F.col("_length") == F.col("_most"))
-    return settled.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(stays, F.lit(False)).alias("kept"), "text_sha256"
-    )
+    named = []
+    if number is not None:
+        stays, named = F.col("_number") == F.col("_stays"), [F.col("_number").alias(number)]
+    stays = F.coalesce(stays, F.lit(False)).alias("kept")
+    return settled.select("doc_id", "keep_id", "group_size", stays, "text_sha256", *named)

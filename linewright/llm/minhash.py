@@ -5,7 +5,8 @@ candidates; of every minimum the low ``BITS`` bits are kept, packed in bit plane
 the similarity of two candidates is estimated by counting bits and corrected for chance
 collisions. What the estimate lets through is confirmed on the full window sets.
 
-Hot groups never meet pair by pair. Texts with equal sets are one class. A text's windows that
+Hot groups never meet pair by pair. Texts with equal words in equal order (by 128-bit hash) are one
+class; all other links are confirmed on the sets. A text's windows that
 no other candidate has bound its similarity to anything from above; texts that cannot reach
 the threshold leave. In a bucket all members first meet one only, its centre: the one with the
 fewest windows of its own, which most others are likest to. Buckets with one centre are one group.
@@ -17,6 +18,7 @@ condition and only lets links out.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewright.llm.arrow import mapped
 from linewright.llm.components import components
@@ -37,7 +40,10 @@ MISS = 1e-6  # most probability that a link at the threshold shares no band
 DEVIATIONS = 6.5  # the estimate may be this many standard deviations too low
 BLOCK = 512  # members of a group per block
 
-SIGNATURE = "n bigint, f1 bigint, f2 bigint, planes array<bigint>, bands array<bigint>"
+#: n, f1 and f2, then the bit planes and the bands.
+SIGNATURE = [T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")] + [
+    T.StructField(c, T.ArrayType(T.LongType())) for c in ("planes", "bands")
+]
 
 
 def band_rows(threshold: float) -> int:
@@ -73,28 +79,29 @@ def _signer(width: int, rows: int):
         keys = salt.copy()
         for i in range(rows):
             keys = mix(keys ^ low[i : n_bands * rows : rows])
-        f1 = int(np.add.reduce(mix(grams ^ np.uint64(0x5555))).astype(np.int64))
-        f2 = int(np.bitwise_xor.reduce(mix(grams)).astype(np.int64))
+        # No word holds a blank, so joined words are one to one with their sequence.
+        f1, f2 = np.frombuffer(hashlib.md5(b" ".join(words)).digest(), dtype="<i8").tolist()
         return len(grams), f1, f2, np.concatenate(planes).tolist(), keys.view(np.int64).tolist()
 
     return sign
 
 
 def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """``doc_id`` and SIGNATURE of every row of (doc_id, text)."""
+    """SIGNATURE of every row of ``docs`` after its columns other than ``text``, which comes last."""
+    named = docs.drop("text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, hashes = _signer(width, rows), WordHashes()
         for batch in batches:
-            signed = [sign(t, hashes) for t in batch.column(1).to_pylist()]
+            signed = [sign(t.as_py(), hashes) for t in batch.column(len(named))]
             columns = list(zip(*signed)) or [()] * 5
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "n", "f1", "f2", "planes", "bands"],
+                [*batch.columns[:-1], *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
+                names=[*named.names, "n", "f1", "f2", "planes", "bands"],
             )
 
-    return mapped(docs.select("doc_id", "text"), run, f"doc_id bigint, {SIGNATURE}")
+    return mapped(docs.select(*named.names, "text"), run, T.StructType([*named.fields, *SIGNATURE]))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -180,28 +187,45 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     when 100 * intersection >= percent * union. Returns ``doc_id``, ``n_shingles``,
     ``component_id`` (smallest doc_id reachable) and ``kept`` (doc_id = component_id).
 
-    Rows that share a doc_id are one document. A null text is empty. A null doc_id takes the
-    component of the documents with its set, or null when there are none; it is kept false.
+    Rows that share a doc_id are each linked by their own text. A null text is empty. A null doc_id
+    takes the smallest id of its component, or null when there is none; it is kept false.
     Other columns are ignored. An empty table gives no rows.
     """
+    found = linked(docs.select("doc_id", "text"), width, percent)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Columns of ``docs`` other than text, ``n`` (size of the set), ``root`` and ``component_id`` of each row.
+
+    ``docs`` has doc_id, text and at most a column _number. ``root`` names the component, whether
+    or not it has ids; it is null without words.
+    """
     rows = band_rows(percent / 100)
     cut = least_estimate(percent / 100)
-    signed = written(signatures(docs, width, rows), "op1-signatures")
+    named = [c for c in docs.columns if c != "text"]
+    # The text's own hash tells rows of one id apart.
+    docs = docs.withColumn("_of", F.xxhash64("text"))
+    signed = written(signatures(docs.select(*named, "_of", "text"), width, rows), "op1-signatures")
     print_of = ["n", "f1", "f2"]
-    classes = written(
-        signed.filter("n > 0").groupBy(*print_of).agg(F.min("doc_id").alias("rep")), "op1-classes"
-    )
-    heads = classes.filter(F.col("rep").isNotNull()).withColumnRenamed("rep", "doc_id")
-    reps = written(
-        signed.join(heads, ["doc_id", *print_of]).select("doc_id", "n", "planes", "bands"), "op1-reps"
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_of").alias("of")))
+    classes = signed.filter("n > 0").groupBy(*print_of).agg(first.alias("_first"))
+    classes = classes.select(*print_of, F.col("_first.id").alias("_id"), F.col("_first.of").alias("_head"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "op1-classes")
+    # From here on a class, as its number, is what has a text.
+    is_head = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_head"))
+    heads = signed.join(classes, print_of).filter(is_head).dropDuplicates(["rep"])
+    reps = written(heads.select(F.col("rep").alias("doc_id"), "n", "planes", "bands"), "op1-reps")
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = written(members.join(written(sizes, "op1-sizes"), "key"), "op1-buckets")
 
     # One exchange of the texts, whatever the number of candidates; later steps read these.
     asked = buckets.select("doc_id").distinct().hint("merge")
-    texts = docs.select("doc_id", "text").join(asked, "doc_id").dropDuplicates(["doc_id"])
+    wanted = classes.select("_id", "_head", "rep").join(asked, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    texts = docs.select("doc_id", "_of", "text").join(wanted.hint("merge"), is_head)
+    texts = texts.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     texts = written(texts, "op1-texts")
     shares = reps.join(asked, "doc_id").join(_own_windows(texts, width), "doc_id", "left")
     shares = shares.withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
@@ -285,16 +309,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         more = _confirmed(rest, texts, width, percent)
         first = components(links.unionByName(more), "op1")
 
-    labelled = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        *print_of, F.coalesce("root", "rep").alias("_component")
-    )
-    labelled = written(labelled, "op1-labelled")
-    for table in (rest, links, full, found, second, groups, placed, centres, shares, texts, buckets, reps, classes):
+    rooted = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    rooted = written(rooted.select(*print_of, "_id", F.coalesce("root", "rep").alias("root")), "op1-labels")
+    least = rooted.groupBy("root").agg(F.min("_id").alias("_component"))
+    labelled = written(rooted.join(least, "root").select(*print_of, "root", "_component"), "op1-labelled")
+    for table in (rest, links, full, found, second, groups, placed, centres, shares, texts, buckets, reps, classes, rooted):
         discard(table)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_component"))
     return (
-        signed.select("doc_id", *print_of)
+        signed.select(*named, *print_of)
         .join(labelled, print_of, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        .select(*named, "n", "root", component.alias("component_id"))
     )

@@ -122,6 +122,25 @@ def test_near_copies_of_odd_rows(spark, odd, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_texts_under_one_id(spark):
+    """Each is linked by its own text; a link of one of them is not lost."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b + " more"), (9, a.upper()), (None, b), (None, "none of these words"), (3, a + " x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 2, None), (0, 58, 5), (3, 59, 3), (5, 58, 3), (5, 58, 5), (7, 59, 5), (9, 58, 3)]
+
+
+def test_equal_sets_in_another_order(spark):
+    """Classes are by sequence; texts with the same windows elsewhere are confirmed on their sets."""
+    words = [f"w{i}" for i in range(40)]
+    ring = words + words[:2]  # every rotation of the ring has the same windows
+    rows = [(i, " ".join((words[i:] + words[:i] + words[i : i + 2])[:42])) for i in range(0, 38, 3)] + [(99, " ".join(ring))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: (40, 0) for i, _ in rows}
+
+
 def test_signature_estimates_similarity(spark):
     rng = random.Random(2)
     vocabulary = [f"t{i}" for i in range(3000)]
