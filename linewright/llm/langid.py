@@ -26,10 +26,13 @@ from linewright.llm.arrow import mapped
 
 DOCUMENTS = 48  # labelled documents per language that the model is fitted on, at most
 CHARACTERS = 600  # letters and spaces that each of them gives, at most
+LANGUAGES = 256  # labels that are learned: those with the most labelled documents
 UNDECIDED = "und"
 LANES = 2048  # documents parsed in step
 FEW = 12  # below this many a plain loop is faster than a step of numpy
 SHARPNESS = 16.0
+ENOUGH = 64  # letters and spaces from which the cost of a text tells a foreign one
+MARGIN = 1.5  # a text may cost so many times as much as the dearest labelled one
 
 SPACE = 0x20
 
@@ -160,24 +163,34 @@ def parser_of(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
 
 
-def learned_sample(docs: DataFrame, label: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, text) from at most DOCUMENTS labelled documents per language, by hash of the id.
+def learned_sample(docs: DataFrame, label: str = "lang") -> tuple[tuple[tuple[str, str], ...], list[str]]:
+    """(language, text) from at most DOCUMENTS labelled documents per language, by hash of the id, and
+    the texts of at most as many further ones.
 
-    The ids are picked among all labelled rows; at most that many per language are broadcast.
+    The ids are picked among all labelled rows. Each id gives one text, of its letters the first
+    CHARACTERS, with one space wherever something else stands; so LANGUAGES * DOCUMENTS * 2 short
+    texts are all that is broadcast or collected.
     """
     labelled = docs.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     turn = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    picked = labelled.select("doc_id", F.col(label).alias("_lang"))
-    picked = picked.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= DOCUMENTS)
-    picked = F.broadcast(picked.select("doc_id", "_lang"))
-    texts = labelled.join(
-        picked, (labelled["doc_id"] == picked["doc_id"]) & (labelled[label] == picked["_lang"]), "left_semi"
-    ).select(F.col(label).alias("lang"), "doc_id", F.substring("text", 1, 4 * CHARACTERS).alias("text"))
+    rows = labelled.select("doc_id", F.col(label).alias("_lang"))
+    common = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "_lang").limit(LANGUAGES)
+    picked = rows.join(F.broadcast(common.select("_lang")), "_lang", "left_semi").distinct()
+    picked = picked.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= 2 * DOCUMENTS)
+    picked = F.broadcast(picked.select(F.col("doc_id").alias("_id"), "_lang", "_turn"))
+    plain = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
+    texts = labelled.join(picked, (labelled["doc_id"] == picked["_id"]) & (labelled[label] == picked["_lang"]))
+    texts = texts.select("_lang", "doc_id", "_turn", F.substr(plain, F.lit(1), F.lit(CHARACTERS)).alias("_text"))
+    texts = texts.groupBy("_lang", "doc_id", "_turn").agg(F.min("_text").alias("_text"))
     by_language: dict[str, list[str]] = {}
-    for row in sorted(texts.distinct().collect()):
-        part = "".join(map(chr, letters_of(row["text"])[:CHARACTERS]))
-        by_language.setdefault(row["lang"], []).append(part)
-    return tuple((lang, " ".join(parts)) for lang, parts in sorted(by_language.items()))
+    others = []
+    for lang, _, place, text in sorted(texts.collect()):
+        part = "".join(map(chr, letters_of(text)))
+        if place <= DOCUMENTS:
+            by_language.setdefault(lang, []).append(part)
+        else:
+            others.append(part)
+    return tuple((lang, " ".join(parts)) for lang, parts in sorted(by_language.items())), others
 
 
 def held_out(doc_id: Column) -> Column:
@@ -186,11 +199,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predicted(
-    docs: DataFrame, rows: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array]
+    samples: tuple[tuple[str, str], ...], rows: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array]
 ) -> DataFrame:
     """First column of ``rows`` with ``_lang_pred`` and ``_score`` of the text that ``text_of`` finds in a
-    batch of them; learned from ``docs`` (doc_id, text, lang)."""
-    samples = learned_sample(docs.filter(~held_out(F.col("doc_id"))))
+    batch of them, ``_size`` (its letters and spaces) and ``_bits`` (its phrase cost for each of them)."""
     first = rows.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,34 +210,44 @@ def predicted(
         for batch in batches:
             column = text_of(batch)
             names, scores = [UNDECIDED] * len(column), [0.0] * len(column)
+            lengths, least = np.zeros(len(column), dtype=np.int64), np.zeros(len(column))
             for at in range(0, len(column), LANES):
                 found, sizes = parser.phrases(column[at : at + LANES].to_pylist())
                 found = found * np.array(parser.bits)[:, None]
+                lengths[at : at + LANES] = sizes
                 for i in np.flatnonzero(sizes if parser.languages else ()):
                     bits = found[:, i] / found[:, i].min()
                     names[at + i] = parser.languages[int(bits.argmin())]
                     scores[at + i] = float(1 / np.exp2(-SHARPNESS * (bits - 1)).sum())
+                    least[at + i] = found[:, i].min() / sizes[i]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[first.name, "_lang_pred", "_score"],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(lengths), pa.array(least)],
+                names=[first.name, "_lang_pred", "_score", "_size", "_bits"],
             )
 
     schema = T.StructType([first]).add("_lang_pred", "string").add("_score", "double")
-    return mapped(rows, run, schema)
+    return mapped(rows, run, schema.add("_size", T.LongType()).add("_bits", "double"))
+
+
+def learned(docs: DataFrame) -> tuple[tuple[tuple[str, str], ...], list[str]]:
+    """``learned_sample`` of the documents that are not held out."""
+    return learned_sample(docs.filter(~held_out(F.col("doc_id"))))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Language of every whole text of ``docs`` (doc_id, text, lang, anything else).
 
-    Learns from rows with a label that are not held out, predicts from the text alone. Returns
-    ``doc_id``, ``held_out``, ``lang_pred`` (``und`` if the text is null or has no letter, or if
-    there is no labelled text) and ``score``: 0 when undecided, else the share of the winner
+    Learns from rows with a label that are not held out: of each of the LANGUAGES commonest labels
+    at most DOCUMENTS documents, of each of these at most CHARACTERS letters. Predicts from the whole
+    text alone. Returns ``doc_id``, ``held_out``, ``lang_pred`` (``und`` if the text is null or has no
+    letter, or if there is no labelled text) and ``score``: 0 when undecided, else the share of the winner
     when languages weigh less the more bits they need. Equal languages: the first by name.
 
-    A null doc_id is not held out and not learned from; repeated rows each get a row. Other
-    columns are ignored; an empty table gives no rows.
+    A null doc_id is not held out and not learned from; repeated rows each get a row; of several texts
+    under one learned id and label one is learned. Other columns are ignored; an empty table gives no rows.
     """
-    found = predicted(docs, docs.select("doc_id", "text"), lambda batch: batch.column(1))
+    samples, _ = learned(docs)
+    found = predicted(samples, docs.select("doc_id", "text"), lambda batch: batch.column(1))
     return found.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -234,10 +256,30 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
+def dearest(samples: tuple[tuple[str, str], ...], others: list[str]) -> float | None:
+    """Most bits a character that a text may cost: MARGIN times those of the dearest of ``others``,
+    labelled texts that were not learned; None without one of ENOUGH letters."""
+    parser = Parser(samples)
+    texts = [t for t in others if len(t) >= ENOUGH]
+    if not texts or not parser.languages:
+        return None
+    found, sizes = parser.phrases(texts)
+    return MARGIN * float(((found * np.array(parser.bits)[:, None]).min(axis=0) / sizes).max())
+
+
 def decided(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that get no language; all columns stay."""
+    """``docs`` without the rows whose language is none of the learned ones; all columns stay.
+
+    A text goes without letters, and when it has at least ENOUGH letters and its cheapest phrases
+    cost more than ``dearest`` allows. Shorter texts stay, and so does every text with letters when no
+    label, or too few labelled documents, say what texts of a language cost.
+    """
     place = docs.columns.index("text")
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    found = predicted(docs, rows, lambda batch: batch.column(0).field(place))
-    found = found.filter(F.col("_lang_pred") != UNDECIDED)
-    return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    samples, others = learned(docs)
+    limit = dearest(samples, others)
+    found = predicted(samples, rows, lambda batch: batch.column(0).field(place))
+    stays = F.col("_size") > 0
+    if limit is not None:
+        stays &= (F.col("_size") < ENOUGH) | (F.col("_bits") <= limit)
+    return found.filter(stays).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

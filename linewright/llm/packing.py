@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from linewright.plans.scratch import written
 
 SALTS = 64  # least number of parts in which the pieces of one length are ranked
 PART = 200_000  # pieces in a part, about
+LONG_RUN = 50_000  # blanks in a row from which a text is cut into pieces here
 
 
 def _two(room: int, shortest: int, count: dict[int, int], mask: int) -> tuple[int, int] | None:
@@ -114,6 +116,31 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=model.special)
 
 
+_BLANKS = regex.compile(rf"\s{{{LONG_RUN}}}")
+_PIECES = regex.compile(PIECES)
+
+
+def token_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a whole text; special strings count as such.
+
+    The tokenizer's own search for pieces steps back through a run of blanks on a stack of bounded size.
+    Texts with a long run are therefore cut here, by the same pattern, and only the ids of each
+    piece come from it.
+    """
+    if len(text) < LONG_RUN or not _BLANKS.search(text):
+        return encoding.encode(text, allowed_special="all")
+    special = encoding._special_tokens
+    names = "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
+    ids: list[int] = []
+    for i, part in enumerate(regex.split(f"({names})", text) if names else [text]):
+        if i % 2:
+            ids.append(special[part])
+        else:
+            for piece in _PIECES.finditer(part):
+                ids += encoding._encode_single_piece(piece[0])
+    return ids
+
+
 def pieces_of(docs: DataFrame, path: str, size: int) -> DataFrame:
     """Tokens of every text (special strings count as such), then id 0, cut when above ``size``.
 
@@ -121,11 +148,11 @@ def pieces_of(docs: DataFrame, path: str, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encoding = tokenizer(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or "", allowed_special="all"), 0], dtype="<u4")
+                ids = np.array([*token_ids(encoding, text.as_py() or ""), 0], dtype="<u4")
                 end = (len(ids) - 1) % size + 1
                 start, piece = 0, 0
                 while start < len(ids):
@@ -148,12 +175,13 @@ def pack(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
 
     Returns per piece ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``
     and ``offset``; the pieces of a sequence lie side by side from 0. Which of several pieces of
-    one length goes where follows a hash of the id, then the id, the piece and the content.
+    one length goes where follows the place at which each was written.
 
-    A null text is empty and packs as the single id 0. Null ids and repeated rows are packed
-    like any. Other columns are ignored; an empty table gives no rows.
+    A null text is empty and packs as the single id 0. Null ids, ids with several texts and repeated
+    rows are packed like any. Other columns are ignored; an empty table gives no rows.
     """
-    pieces = written(pieces_of(docs, path, size), "op5-pieces")
+    pieces = pieces_of(docs, path, size).withColumn("_at", F.monotonically_increasing_id())
+    pieces = written(pieces, "op5-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = places(plan(counts, size))
     # Bounded: a filling ends when a length runs out, so there are a few per length.
@@ -161,11 +189,11 @@ def pack(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
         table, "length bigint, _from bigint, _to bigint, _sequence bigint, offset bigint"
     )
     salts = max(SALTS, sum(counts.values()) // PART)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)))
     parts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "_salt").orderBy("_at")
     ranked = salted.withColumn("_row", F.row_number().over(inside) - 1).join(parts, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row"))
     spot = (ranked["length"] == spots["length"]) & F.col("_rank").between(F.col("_from"), F.col("_to"))

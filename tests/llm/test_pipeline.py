@@ -57,9 +57,36 @@ def test_stages_keep_columns_and_other_rows(spark, odd, documents):
 
 
 def test_one_of_each_group_stays(spark, odd):
-    exact = {r.doc_id for r in pipeline.exact_dedup(spark, odd, None).collect()}
-    assert exact == {1, 4, 6, 7, 8}
-    assert {r.doc_id for r in pipeline.near_dedup(spark, odd, None).collect()} == {1, 2, 3, 4, 6, 7, 8}
+    exact = pipeline.exact_dedup(spark, odd, None).collect()
+    assert {r.doc_id for r in exact} == {1, 4, 6, 7, 8, None} and len(exact) == 6
+    near = pipeline.near_dedup(spark, odd, None).collect()
+    assert {r.doc_id for r in near} == {1, 2, 3, 4, 6, 7, 8, None} and len(near) == 8
+
+
+@pytest.mark.parametrize("stage", [pipeline.exact_dedup, pipeline.near_dedup])
+def test_texts_that_share_an_id_or_have_none(spark, stage):
+    """Each distinct text stays once, whatever its id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (6, c), (None, "x " + c), (None, "y"), (None, "y"), (None, None), (8, a), (4, "y"), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in stage(spark, docs, None).collect())
+    want = [(0, ""), (4, "y"), (5, a), (5, b), (6, c)]
+    near = [(0, "x " + c)] if stage is pipeline.exact_dedup else []
+    assert got == sorted(want + near)
+
+
+def test_nothing_is_lost_without_labels(spark, documents):
+    plain = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language(spark, plain, None).count() == documents.filter(r"text rlike '\\p{L}'").count()
+
+
+def test_foreign_texts_go(spark):
+    """A long text in a script that no label has is too dear; a short one stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = spark.createDataFrame([(-1, "漢字仮名交じり文" * 40), (-2, "漢字"), (-3, "...")], "doc_id bigint, text string")
+    both = docs.unionByName(foreign, allowMissingColumns=True)
+    kept = {r.doc_id for r in pipeline.language(spark, both, None).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect()} | {-2}
 
 
 @pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES], ids=[n for n, _ in pipeline.STAGES])

@@ -215,6 +215,31 @@ def test_tiktoken_gives_the_library_ids(library):
         assert encode(text, allowed_special="all") == library.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_blanks(spark, library):
+    """The tokenizer's own search fails on these; ids are those of the library."""
+    encoding = packing.tokenizer(vocabulary())
+    run = packing.LONG_RUN
+    for text in (" " * run + "x", "a" + "\n" * (run + 7) + " b", "<|endoftext|>" + "\t" * run + "<|endoftext|> c", "é" + " \n" * run):
+        assert packing.token_ids(encoding, text) == library.encode(text, add_special_tokens=False).ids
+    million = " " * 5_000_000 + "x"
+    frame = spark.createDataFrame([(1, million), (2, "x")], "doc_id bigint, text string")
+    rows = packing.pack(frame, vocabulary(), 2048).collect()
+    check_packed(rows, {1: million, 2: "x"}, library, 2048)
+
+
+def test_rows_of_one_id_spread(spark, library, monkeypatch):
+    """Pieces of one length under one id, or none, are not ranked in one task."""
+    monkeypatch.setattr(packing, "PART", 10)
+    frame = spark.createDataFrame([(5 if i % 2 else None, "same text") for i in range(900)], "doc_id bigint, text string")
+    rows = packing.pack(frame, vocabulary(), 32).collect()
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert len(places) == len(set(places)) == 900
+    by_sequence = defaultdict(list)
+    for sequence, offset, length in places:
+        by_sequence[sequence].append((offset, length))
+    assert all(sum(n for _, n in x[:i]) == x[i][0] for x in by_sequence.values() for i in range(len(x)))
+
+
 # --- sharding --------------------------------------------------------------------------
 
 
@@ -269,6 +294,21 @@ def test_overflow_goes_clockwise():
     assert sharding.place_cells(loads, shards, slack) == want
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_one_id_on_half_of_the_rows(spark, same):
+    """Its rows are dealt out, whether or not their texts are equal."""
+    rows = [(7 if i < 1000 else i, "x" * 500 if same else f"{i} " * (90 + i % 20)) for i in range(2000)]
+    rows += [(None, "no id")] * 50
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 16).collect()
+    loads, slots = Counter(), defaultdict(list)
+    for r in found:
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(found) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    largest = max(r.size for r in found)
+    assert max(loads.values()) - min(loads.values()) <= 2 * largest
+
+
 def test_shards_of_odd_rows(odd, nothing):
     rows = sharding.shard_documents(odd, 3).collect()
     assert len(rows) == odd.count()
