@@ -1129,11 +1129,9 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     slices = [ts.isNull() | (ts < cuts[0]), (ts >= cuts[0]) & (ts < cuts[1]), ts >= cuts[1]]
 
     inbox = scratch_path(spark, "inbox")
-    out, state, mark = (scratch_path(spark, f"changes-{x}") for x in ("out", "state", "mark"))
+    out, mark = (scratch_path(spark, f"changes-{x}") for x in ("out", "mark"))
     for part in slices:
         sinks.append_table(inbox, events.filter(part))
         stream = follow.follow_files(spark, inbox, events.schema)
-        live.change_stream(
-            stream, ["user_id"], ["ts", "event_id"], "event_type", out, state, mark, buckets=8
-        ).awaitTermination()
+        live.change_stream(stream, ["user_id"], ["ts", "event_id"], "event_type", out, mark).awaitTermination()
     return live.read_changes(spark, out)

@@ -1,152 +1,93 @@
-"""Live change log: every batch is compared with the last value of each key.
+"""Live change log: each row is compared with the last value of its key, which Spark keeps as keyed state.
 
-State is a table of last values, dealt into buckets by a hash of the key. A batch reads only
-the buckets its keys fall in, and writes each of them anew under its own version number, so
-a batch that is run again after a failure finds the same state and overwrites its own
-output. Version numbers go on rising when a query starts with a new checkpoint.
+State, offsets and output commits lie in the query's checkpoint, so a batch that is run again
+finds the state from before it, and its rows land once. A batch reads and writes the state of
+its own keys only.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from linewright.operators.changes import change_log
-from linewright.plans.sizing import HOT_ROWS, all_equal
+from linewright.streaming.follow import land
 
-BUCKETS = 64
+#: What a query needs while it starts: the store of arbitrary keyed state, and batches only when there are
+#: rows (a time-to-live would otherwise make batches without end).
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
-class _Folder:
-    """Names in a folder, whatever file system it is on."""
+def _same(a: object, b: object) -> bool:
+    """Equality in which NULL equals NULL and NaN equals NaN."""
+    return a == b or (a != a and b != b)
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self.path = path
-        self.files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def names(self, below: str = "") -> list[str]:
-        there = self._path(f"{self.path}/{below}" if below else self.path)
-        return [f.getPath().getName() for f in self.files.listStatus(there)] if self.files.exists(there) else []
-
-    def make(self, below: str) -> None:
-        self.files.mkdirs(self._path(f"{self.path}/{below}"))
-
-    def remove(self, below: str) -> None:
-        self.files.delete(self._path(f"{self.path}/{below}"), True)
-
-
-class ChangeStream:
-    """Batch logic of ``change_stream``; holds only paths and column names.
-
-    Rows inside a batch are taken in the order of ``order``; batches in the order in which
-    they arrive. A late row is thus compared with what arrived before it.
-    """
+class LastValue(StatefulProcessor):
+    """Rows of a key that differ from the row before, which may have come in an earlier batch."""
 
     def __init__(
-        self,
-        key: Sequence[str],
-        order: Sequence[str],
-        value: str,
-        out: str,
-        state: str,
-        buckets: int = BUCKETS,
-        idle_seconds: float | None = None,
-        max_rows: int = HOT_ROWS,
+        self, order: Sequence[str], value: T.StructField, columns: Sequence[str], idle: timedelta | None
     ) -> None:
-        self.key, self.order, self.value = list(key), list(order), value
-        self.out, self.state = out, state
-        self.buckets, self.idle_seconds, self.max_rows = buckets, idle_seconds, max_rows
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = self.version(spark, batch_id)
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-        batch = batch.withColumn("_bucket", bucket).persist()
-        try:
-            touched = [r[0] for r in batch.select("_bucket").distinct().collect()]
-            before = self.last_values(spark, batch.schema, version, touched)
-            # Last values sort before the batch whatever their order columns say.
-            marked = batch.drop("_bucket").withColumn("_new", F.lit(1))
-            known = self.of_batch(before, batch).select(*self.key, *self.order, self.value)
-            marked = marked.unionByName(known.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-            log = change_log(marked, self.key, ["_new", *self.order], self.value, self.max_rows)
-            log = log.filter("_new = 1").drop("_new")
-            log.write.mode("overwrite").parquet(f"{self.out}/batch={version}")
-            self.write_state(batch, before, version)
-            self.forget(spark, version, touched)
-        finally:
-            batch.unpersist()
-
-    def version(self, spark: SparkSession, batch_id: int) -> int:
-        """Number of this batch: those of a query follow all that were there when it began."""
-        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
-        state = _Folder(spark, self.state)
-        runs = dict(reversed(name.split("-", 1)) for name in state.names("_runs"))
-        if query not in runs:
-            used = [int(n.split("=")[1]) for b in state.names() if "=" in b for n in state.names(b) if "=" in n]
-            out = [int(n.split("=")[1]) for n in _Folder(spark, self.out).names() if "=" in n]
-            runs[query] = str(1 + max([-1, *used, *out, *map(int, runs.values())]))
-            state.make(f"_runs/{runs[query]}-{query}")
-        return int(runs[query]) + batch_id
-
-    def of_batch(self, before: DataFrame, batch: DataFrame) -> DataFrame:
-        """Last values of the keys that the batch has."""
-        touched = batch.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)))
-        same = all_equal({k: f"_k{i}" for i, k in enumerate(self.key)}, null_safe=True)
-        return before.join(touched, same, "left_semi")
-
-    def last_values(
-        self, spark: SparkSession, schema: T.StructType, version: int, touched: Sequence[int]
-    ) -> DataFrame:
-        """The newest version before this one of each touched bucket; a bucket has all its keys."""
-        fields = [schema[c] for c in [*self.key, *self.order, self.value]]
-        stored = T.StructType([*fields, T.StructField("_seen", T.DoubleType())])
-        state = _Folder(spark, self.state)
-        paths = []
-        for bucket in touched:
-            there = [int(n.split("=")[1]) for n in state.names(f"_bucket={bucket}") if "=" in n]
-            earlier = [v for v in there if v < version]
-            if earlier:
-                paths.append(f"{self.state}/_bucket={bucket}/_version={max(earlier)}")
-        if not paths:
-            return spark.createDataFrame([], stored)
-        rows = spark.read.schema(stored).parquet(*paths)
-        if self.idle_seconds is not None:
-            rows = rows.filter(F.col("_seen") >= time.time() - self.idle_seconds)
-        return rows
-
-    def write_state(self, batch: DataFrame, before: DataFrame, version: int) -> None:
-        """Last value per key of the touched buckets. Keys hardly repeat between the two sides, so
-        rows are dealt by bucket first and not combined before."""
-        columns = [*self.key, *self.order, self.value]
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("_bucket")
-        new = batch.select(*columns, F.lit(time.time()).alias("_seen"), F.lit(1).alias("_new"))
-        rows = new.unionByName(before.withColumn("_new", F.lit(0)))
-        rest = [*self.order, self.value, "_seen"]
-        last = F.max_by(F.struct(*rest), F.struct("_new", *self.order))
-        newest = rows.repartition(*self.key).groupBy(*self.key).agg(last.alias("_last"))
-        newest = newest.select(*self.key, "_last.*", bucket, F.lit(version).alias("_version"))
-        (
-            newest.repartition("_bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_bucket", "_version")
-            .parquet(self.state)
-        )
-
-    def forget(self, spark: SparkSession, version: int, touched: Sequence[int]) -> None:
-        """Delete versions that neither this batch, should it run again, nor a later one reads."""
-        state = _Folder(spark, self.state)
-        for bucket in touched:
-            there = [int(n.split("=")[1]) for n in state.names(f"_bucket={bucket}") if "=" in n]
-            for old in sorted(v for v in there if v < version)[:-1]:
-                state.remove(f"_bucket={bucket}/_version={old}")
+        self.order, self.value, self.columns, self.idle = list(order), value, list(columns), idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = None if self.idle is None else int(self.idle.total_seconds() * 1000)
+        self.last = handle.getValueState("last", T.StructType([self.value]), ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        value, change = self.value.name, Row(*self.columns, "prev")
+        known = self.last.exists()
+        last = self.last.get()[0] if known else None
+        # NULL first, as Spark sorts.
+        for row in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order]):
+            if known and not _same(row[value], last):
+                yield change(*(row[c] for c in self.columns), last)
+            known, last = True, row[value]
+        self.last.update((last,))
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """A query keeps the settings that hold when it starts; the session gets its own back."""
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    try:
+        for name, value in SETTINGS.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def changes(
+    stream: DataFrame, key: Sequence[str], order: Sequence[str], value: str, idle: timedelta | None = None
+) -> DataFrame:
+    """The stream of changes: the columns of ``stream`` and ``prev``, as ``change_log`` gives them.
+
+    The first row of a key is the initial set and no change. NULL is a value, and a key, like any.
+    Rows of one key in one batch are taken in the order of ``order``, batches as they arrive, so a late row is
+    compared with what arrived before it. With ``idle`` a key not seen for so long is forgotten; its next
+    value is then a first one.
+
+    A task sorts the rows that one key has in one batch; bound the batches at their source
+    (``files_per_batch``) where a key may have more than fit.
+    """
+    field = stream.schema[value]
+    out = T.StructType([*stream.schema.fields, T.StructField("prev", field.dataType)])
+    processor = LastValue(order, field, stream.columns, idle)
+    mode = "None" if idle is None else "ProcessingTime"
+    return stream.groupBy(*key).transformWithState(processor, out, "Append", mode)
 
 
 def change_stream(
@@ -155,27 +96,18 @@ def change_stream(
     order: Sequence[str],
     value: str,
     out: str,
-    state: str,
     checkpoint: str,
     available_now: bool = True,
-    buckets: int = BUCKETS,
-    idle_seconds: float | None = None,
-    max_rows: int = HOT_ROWS,
+    idle: timedelta | None = None,
 ) -> StreamingQuery:
-    """Write each change of a key's value to ``out`` as it arrives.
+    """Write ``changes`` to ``out`` as they arrive, each exactly once.
 
-    Gives what ``change_log`` gives when batches arrive in order. Hot keys inside a batch
-    are spread like there. With the same ``out`` and ``state`` and a new checkpoint, both are
-    carried on. ``idle_seconds`` forgets keys not seen for so long; their next value is then a first
-    one. The number of ``buckets`` has to stay what it was when the state began.
+    ``checkpoint`` holds the last values: a query that is started again with it carries on from them.
     """
-    sink = ChangeStream(key, order, value, out, state, buckets, idle_seconds, max_rows)
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with _settings(stream.sparkSession):
+        return land(changes(stream, key, order, value, idle), out, checkpoint, available_now)
 
 
 def read_changes(spark: SparkSession, out: str) -> DataFrame:
     """All changes written so far."""
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from datetime import timedelta
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -156,47 +157,66 @@ def expected(batches):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("buckets", [1, 3])
-def test_live_changes_over_batches_and_restarts(spark, buckets):
-    inbox, out, state, mark = (scratch_path(spark, x) for x in ("in", "out", "state", "mark"))
-    for batch in BATCHES:
-        sinks.append_table(inbox, spark.createDataFrame(batch, "k string, t int, v string"))
-        stream = follow.follow_files(spark, inbox, "k string, t int, v string")
-        live.change_stream(
-            stream, ["k"], ["t"], "v", out, state, mark, buckets=buckets
-        ).awaitTermination()
-    got = [(r.k, r.t, r.v, r.prev) for r in live.read_changes(spark, out).collect()]
+def run_batches(spark, batches, schema="k string, t int, v string", **more):
+    """Each batch lands in the inbox and is read by a query of its own on the same checkpoint."""
+    inbox, out, mark = (scratch_path(spark, x) for x in ("in", "out", "mark"))
+    for batch in batches:
+        sinks.append_table(inbox, spark.createDataFrame(batch, schema))
+        stream = follow.follow_files(spark, inbox, schema)
+        live.change_stream(stream, ["k"], ["t"], "v", out, mark, **more).awaitTermination()
+    return live.read_changes(spark, out)
+
+
+def test_live_changes_over_batches_and_restarts(spark):
+    before = {name: spark.conf.get(name, None) for name in live.SETTINGS}
+    got = [(r.k, r.t, r.v, r.prev) for r in run_batches(spark, BATCHES).collect()]
     assert sorted(got, key=str) == expected(BATCHES)
+    assert {name: spark.conf.get(name, None) for name in live.SETTINGS} == before
 
 
 def test_a_batch_run_again_changes_nothing(spark):
-    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
-    sink = live.ChangeStream(["k"], ["t"], "v", out, state, buckets=2, max_rows=1)
-    for i, batch in enumerate(BATCHES[:4]):
-        frame = spark.createDataFrame(batch, "k string, t int, v string")
-        sink(frame, i)
-        if i in (1, 2):
-            sink(frame, i)
+    """The last batch's commit is lost, so the next start runs it again."""
+    inbox, out, mark = (scratch_path(spark, x) for x in ("in", "out", "mark"))
+    for i, batch in enumerate(BATCHES[:3]):
+        sinks.append_table(inbox, spark.createDataFrame(batch, "k string, t int, v string"))
+        for again in range(1 + (i == 1)):
+            stream = follow.follow_files(spark, inbox, "k string, t int, v string")
+            live.change_stream(stream, ["k"], ["t"], "v", out, mark).awaitTermination()
+            if i == 1 and not again:
+                commits = sorted(int(n) for n in os.listdir(f"{mark}/commits") if n.isdigit())
+                os.remove(f"{mark}/commits/{commits[-1]}")
+                crc = f"{mark}/commits/.{commits[-1]}.crc"
+                if os.path.exists(crc):
+                    os.remove(crc)
     got = [(r.k, r.t, r.v, r.prev) for r in live.read_changes(spark, out).collect()]
-    assert sorted(got, key=str) == expected(BATCHES[:4])
+    assert sorted(got, key=str) == expected(BATCHES[:3])
 
 
-def test_a_new_checkpoint_carries_on(spark):
-    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
-    for batch in BATCHES:
-        inbox, mark = scratch_path(spark, "in"), scratch_path(spark, "mark")
-        sinks.append_table(inbox, spark.createDataFrame(batch, "k string, t int, v string"))
-        stream = follow.follow_files(spark, inbox, "k string, t int, v string")
-        live.change_stream(stream, ["k"], ["t"], "v", out, state, mark, buckets=3).awaitTermination()
-    got = [(r.k, r.t, r.v, r.prev) for r in live.read_changes(spark, out).collect()]
-    assert sorted(got, key=str) == expected(BATCHES)
-    versions = {f"{b}/{v}" for b in os.listdir(state) if "=" in b for v in os.listdir(f"{state}/{b}")}
-    assert len(versions) <= 2 * 3
+def test_other_types_keep_their_values(spark):
+    big = 2**60
+    batches = [[(1, 1, big), (2, 1, None)], [(1, 2, big + 1), (2, 2, None), (2, 3, big)], [(1, 3, None)]]
+    got = run_batches(spark, batches, "k bigint, t bigint, v bigint").collect()
+    assert sorted((r.k, r.t, r.v, r.prev) for r in got if r.v) == [(1, 2, big + 1, big), (2, 3, big, None)]
+    assert [(r.k, r.t, r.prev) for r in got if r.v is None] == [(1, 3, big + 1)]
+    nan = float("nan")
+    got = run_batches(spark, [[("a", 1, nan)], [("a", 2, nan), ("a", 3, 1.0)]], "k string, t int, v double")
+    assert [r.t for r in got.collect()] == [3]
 
 
 def test_idle_keys_are_forgotten(spark):
-    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
-    sink = live.ChangeStream(["k"], ["t"], "v", out, state, buckets=1, idle_seconds=0)
-    for i, batch in enumerate([[("a", 1, "x")], [("a", 2, "y")]]):
-        sink(spark.createDataFrame(batch, "k string, t int, v string"), i)
-    assert live.read_changes(spark, out).count() == 0
+    batches = [[("a", 1, "x")], [("a", 2, "y")]]
+    assert run_batches(spark, batches, idle=timedelta(milliseconds=1)).count() == 0
+    assert run_batches(spark, batches, idle=timedelta(days=1)).count() == 1
+
+
+def test_a_batch_touches_the_state_of_its_keys_only(spark):
+    """A second batch of one key updates one row of state, however many keys there are."""
+    inbox, out, mark = (scratch_path(spark, x) for x in ("in", "out", "mark"))
+    for rows in ([(f"k{i}", 1, "x") for i in range(500)], [("k7", 2, "y")]):
+        sinks.append_table(inbox, spark.createDataFrame(rows, "k string, t int, v string"))
+        stream = follow.follow_files(spark, inbox, "k string, t int, v string")
+        query = live.change_stream(stream, ["k"], ["t"], "v", out, mark)
+        query.awaitTermination()
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert [s["numRowsUpdated"] for s in state] == [1]
+    assert [s["numRowsTotal"] for s in state] == [500]
