@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,6 +42,8 @@ ENDED_BY = {
 #: What holds the items above, so that lists and tables can nest.
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select".split())
 
+#: What a head may hold; anything else ends one that was left open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 UNSEEN = frozenset("head script style noscript template svg math iframe object canvas audio video title".split())
 AROUND = frozenset("nav footer aside button select textarea header menu dialog label search".split())
 #: Names in class, id or role of what is not the article, alone or in compounds with each other and with _BESIDE.
@@ -68,7 +71,35 @@ def _names_other(named: str) -> bool:
     return False
 
 
-_OPEN_TAG = re.compile("</?[A-Za-z]")
+#: Of these, what readers say; no page is wrapped in it.
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+WRAPS = 0.5  # share of a page's text above which a form or an element with another name is a wrapper
+
+_OPEN_TAG = re.compile("</?[A-Za-z]|<[!?]")
+_COMMENT_OR_RAW = re.compile(r"<!--|<(script|style|textarea|title)\b", re.I)
+
+
+def _closed(html: str) -> str:
+    """The page up to a comment that nothing closes: all behind it is comment.
+
+    What looks like one inside a script and the like is none. Every part is passed once.
+    """
+    at, open_ended = 0, set()
+    while (m := _COMMENT_OR_RAW.search(html, at)) is not None:
+        if m[1] is None:
+            end = html.find("-->", m.start() + 2)
+            if end < 0:
+                return html[: m.start()]
+            at = end + 3
+            continue
+        at, tag = m.end(), m[1].lower()
+        if tag not in open_ended:
+            end = re.compile(f"</{tag}", re.I).search(html, at)
+            if end is None:
+                open_ended.add(tag)
+            else:
+                at = end.end()
+    return html
 LEAST = 1e-6  # weight of any text, however few its characters
 
 
@@ -82,7 +113,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.last, self.out = ["#page"], [-1], [0], [False]
-        self.hinted: list[int] = []  # nodes that go unless they hold most of the page
+        self.hinted: dict[int, float] = {}  # nodes that go unless they hold more than this share of the page
         self.stack = [0]
         self.open: dict[str, list[int]] = {}  # depths of open elements by tag
         self.bounds: list[int] = [0]
@@ -105,6 +136,8 @@ class Tree(HTMLParser):
         return depths[-1] if depths else 0
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD and self._depth("head"):
+            self._pop_to(self._depth("head"))
         if tag in ENDS_P and self._depth("p") > self.bounds[-1]:
             self._pop_to(self._depth("p"))
         if tag in ENDED_BY:
@@ -121,8 +154,11 @@ class Tree(HTMLParser):
         self.parents.append(self.stack[-1])
         self.last.append(node)
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-        if tag == "form" or (named and tag not in ("body", "html", "main", "article") and _names_other(named)):
-            self.hinted.append(node)
+        if named and tag not in ("body", "html", "main", "article") and _names_other(named):
+            said = not COMMENTS.isdisjoint(_PART.findall(named))
+            self.hinted[node] = 1.0 if said else WRAPS
+        elif tag == "form":
+            self.hinted[node] = WRAPS
         self.out.append(tag in UNSEEN or tag in AROUND)
         if tag not in VOID:
             if tag in BOUNDS:
@@ -141,8 +177,13 @@ class Tree(HTMLParser):
             self.block += 1
 
     def handle_data(self, data):
+        if self.tags[self.stack[-1]] == "head" and not data.isspace():
+            self._pop_to(len(self.stack) - 1)
         self.texts.append((self.stack[-1], self.block, data))
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # in a web page it is a comment up to the next bracket
+
     def close(self):
         if _OPEN_TAG.match(self.rawdata):  # the page ends inside a tag, which is no text
             self.rawdata = ""
@@ -152,13 +193,13 @@ class Tree(HTMLParser):
         self._drop_hinted()
 
     def _drop_hinted(self) -> None:
-        """Hinted nodes go, inner ones first, but not one with more than half of the text outside links
-        that is left by then, unless the page's article, main and h1 elements are all outside: that is
-        a wrapper of the page."""
+        """Hinted nodes go, inner ones first, but not one with more of the text outside links that is left
+        by then than its share (WRAPS; all of it for comments), unless the page's article, main and h1
+        elements are all outside: that is a wrapper of the page."""
         if not self.hinted:
             return
         n = len(self.tags)
-        skipped, chars, hinted = self.out[:], [0] * n, set(self.hinted)
+        skipped, chars = self.out[:], [0] * n
         for i in range(1, n):
             skipped[i] = skipped[i] or skipped[self.parents[i]] or self.tags[i] == "a"
         for node, _, text in self.texts:
@@ -168,7 +209,8 @@ class Tree(HTMLParser):
         marks = [tag in ("article", "main", "h1") and not gone for tag, gone in zip(self.tags, skipped)]
         marked = any(marks)
         for i in range(n - 1, 0, -1):
-            if i in hinted and (2 * chars[i] <= left or (marked and not marks[i])):
+            least = self.hinted.get(i)
+            if least is not None and (chars[i] <= least * left and (least < 1 or chars[i] < left) or (marked and not marks[i])):
                 self.out[i] = True
                 left -= chars[i]
             else:
@@ -238,15 +280,16 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(html)
+    tree.feed(_closed(html))
     tree.close()
     gone = tree.out[:]
     for i in range(1, len(gone)):
         gone[i] = gone[i] or gone[tree.parents[i]]
     parts = _chosen(tree)
-    blocks: dict[int, list[str]] = {}
+    firsts, blocks = [first for first, _ in parts], {}
     for node, block, text in tree.texts:
-        if not gone[node] and any(first <= node <= last for first, last in parts):
+        part = bisect_right(firsts, node) - 1  # parts lie one after the other
+        if not gone[node] and part >= 0 and node <= parts[part][1]:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(texts).split()) for texts in blocks.values())
     return "\n".join(line for line in lines if line)

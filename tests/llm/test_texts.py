@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -16,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linewright.llm import boosting, html_text, langid, personal, quality, secrets
+from linewright.plans.scratch import written
 
 # --- language ---------------------------------------------------------------------------
 
@@ -287,6 +289,49 @@ def test_redacted_texts(spark):
     assert got[None].text == "<EMAIL>"
 
 
+def test_running_values(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)]) for i, n in enumerate((0, 1, 255, 256, 257, 1000))]
+    frame = spark.createDataFrame(rows, "i int, v array<bigint>")
+    sums = personal._running(F.col("v"), lambda a, b: a + b)
+    most = personal._running(F.col("v"), lambda a, b: F.greatest(a, b))
+    for r in frame.select("v", sums.alias("s"), most.alias("m")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v) + 1)]
+        assert r.m == [max([0, *r.v[:i]]) for i in range(len(r.v) + 1)]
+
+
+def test_touching_spans(spark):
+    rng = random.Random(10)
+
+    def disjoint(n):
+        cuts = sorted(rng.sample(range(80), 2 * n))
+        return [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+
+    rows = [(disjoint(rng.randint(0, 8)), disjoint(rng.randint(0, 8)) + disjoint(rng.randint(0, 3))) for _ in range(200)]
+    kind = "array<struct<start:bigint,end:bigint>>"
+    frame = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    for r in frame.select("a", "b", personal._touching(F.col("a"), F.col("b")).alias("t")).collect():
+        assert r.t == [any(x.start < s.end and s.start < x.end for x in r.b) for s in r.a]
+
+
+def test_many_matches_in_one_text(spark):
+    """Time follows the length, and places and context stay right far into a text."""
+    unit = "mail a@b.cd 😀 call +1 (269) 555-3296, ip 10.0.0.1 "
+    rows = [(i, "call +1 (269) 555-3296 of x@localhost, order 1234567890 ") for i in range(300)]
+    took = []
+    for times in (2_500, 20_000):
+        frame = written(spark.createDataFrame([*rows, (-1, unit * times)], "doc_id bigint, text string"), "long")
+        start = time.perf_counter()
+        got = {r.doc_id: r for r in personal.find_personal(frame).collect()}[-1]
+        took.append(time.perf_counter() - start)
+        assert (got.n_email, got.n_ip, got.n_phone) == (times, times, times)
+        at = len(unit) * times
+        assert got.spans.split(",")[times - 1] == f"email:{at - len(unit) + 5}:{at - len(unit) + 11}"
+    assert took[1] < 8 * took[0] + 10
+    clean = personal.redact(spark.createDataFrame([(1, unit * 3000)], "doc_id bigint, text string")).first()
+    assert clean.text == "mail <EMAIL> 😀 call <PHONE>, ip <IP> " * 3000
+
+
 def test_personal_data_of_odd_rows(odd, nothing):
     got = personal.find_personal(odd).collect()
     assert len(got) == odd.count()
@@ -466,6 +511,41 @@ def test_broken_pages():
     assert len(html_text.main_text("<p>" + "word " * 300_000 + "</p>")) == 5 * 300_000 - 1
 
 
+ARTICLE = "<p>" + "Long words of an article stand here, one after the other. " * 6 + "</p>"
+SAYS = " ".join((ARTICLE[3:-4]).split())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><body><article>{ARTICLE}</article></body></html>",
+        f"<head><meta charset=x><title>T</title><article>{ARTICLE}</article>",
+        f"<html><head><style>p{{}}</style><div>{ARTICLE}</div>",
+        f"<article>{ARTICLE}</article><!-- never closed <p>no text</p>",
+        f"<script>var a = '<!--';</script><article>{ARTICLE}</article>",
+        f"<!-- a --><article>{ARTICLE}</article><!--> <p></p> <!-- b -- > c",
+        f"<article>{ARTICLE}</article><div class=x",
+        f"<article>{ARTICLE}</article><![CDATA[ no end",
+        f"<body><div>{ARTICLE}</div><div class='comments'>{'<p>I think so too, and more of it. </p>' * 60}</div>",
+        f"<body><div>{ARTICLE}</div><section id='comment-section'>{'<p>I think so too, and more of it. </p>' * 600}</section>",
+    ],
+)
+def test_open_heads_comments_and_tags(page):
+    assert html_text.main_text(page) == SAYS
+
+
+def test_text_right_in_an_open_head():
+    assert html_text.main_text("<head><title>T</title> " + SAYS) == SAYS
+
+
+@pytest.mark.parametrize("bit", ["<!--", "<a ", "<![", "<?x", "</p ", "<script>", "<!-- -->", "<p>a"])
+def test_time_follows_the_length(bit):
+    page = f"<article>{ARTICLE}</article>" + bit * (1_000_000 // len(bit))
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_density_falls_with_links():
     text = "word " * 40
     tree = html_text.Tree()
