@@ -29,7 +29,7 @@ SMOOTHING = 5  # added to every count
 SCALE = 1_000_000_000
 TOP = 50  # ranks of the part ``term``
 
-HELD = 300_000  # counted terms that a task holds before it passes them on
+HELD = 600_000  # counted terms that a task holds before it passes them on
 PART = 1 << 20  # bytes of a long text that are split at once
 TERM_CELLS = 32  # parts of the terms, at least
 CELL_ROWS = 1_000_000  # postings in a cell, about
@@ -228,18 +228,21 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     has distances of 0. Each repeated row counts. Other columns, doc_id among them, are ignored; an
     empty table gives no rows.
     """
-    counts = counted(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    # Tasks have counted before, so one exchange serves the counts of a group and those of a language;
+    # what most of the corpus consists of, terms of one group, is as spread as the terms.
+    counts = counted(docs).repartition("lang", "term").groupBy("lang", "source", "term")
+    counts = counts.agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    of_term = Window.partitionBy("lang", "term")
+    counts = counts.withColumns({"lang_n": F.sum("n").over(of_term), "lang_d": F.sum("d").over(of_term)})
+    counts = counts.filter((F.col("lang_d") >= least_docs) | (F.col("term") == "")).drop("d", "lang_d")
     counts = written(counts, "op11-counts")
-    totals = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("d").alias("d"))
-    totals = written(totals.filter(F.col("d") >= least_docs).drop("d"), "op11-terms")
-    langs = totals.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
-    kept = counts.filter("n > 0").join(totals, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
-    kept = written(kept, "op11-kept")
+    kept, heads = counts.filter("term <> ''"), counts.filter("term = ''")
+    terms = kept.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n"))
+    langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     total = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.filter("term = ''").select("lang", "source").join(total, ["lang", "source"], "left")
+    groups = heads.select("lang", "source").join(total, ["lang", "source"], "left")
     groups = groups.join(langs, "lang", "left").fillna(0, ["total", "terms", "lang_total"])
-    sources = counts.filter("term = ''").groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
-    groups = groups.join(sources, "lang")
+    groups = groups.join(heads.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")), "lang")
     zero = F.coalesce(_share(F.lit(0), "total", "terms"), F.lit(0))
     groups = written(groups.withColumn("zero", zero), "op11-groups")
 
@@ -254,6 +257,5 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     above = shares.filter("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     above = above.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
     result = pairs.unionByName(above.withColumn("part", F.lit("term")))
-    for table in (kept, counts, totals):
-        discard(table)
+    discard(counts)
     return result.select("lang", "source", "part", "item", "value", "rank")
