@@ -32,7 +32,7 @@ LANES = 2048  # documents parsed in step
 FEW = 12  # below this many a plain loop is faster than a step of numpy
 SHARPNESS = 16.0
 ENOUGH = 64  # letters and spaces from which the cost of a text tells a foreign one
-MARGIN = 1.5  # a text may cost so many times as much as the dearest labelled one
+MARGIN = 2.0  # a text may cost so many times as much as the dearest labelled one
 
 SPACE = 0x20
 
