@@ -25,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     root = spark.conf.get(WAREHOUSE_CONF).rstrip("/")
-    master = spark.sparkContext.master
+    master = spark.conf.get("spark.master", "local")
     if root.startswith(("file:", "/")) and not (master == "local" or master.startswith("local[")):
         raise ValueError(f"{CHECKPOINT_CONF} is not set, and {WAREHOUSE_CONF} is a local folder: {root}")
     return root

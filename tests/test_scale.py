@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from types import SimpleNamespace
 
@@ -13,7 +14,7 @@ import __spark_entry__ as contract
 from linewright.queries import BINDINGS
 from linewright.operators import aggregates, joins
 from linewright.operators.changes import change_log
-from linewright.plans import ranking, sizing
+from linewright.plans import ranking, scratch, sizing
 from linewright.plans.scratch import scratch_root
 from linewright.sources import listing
 
@@ -163,3 +164,29 @@ def test_no_sort_before_the_exchange(spark):
         depth = min(len(lines[i]) - len(lines[i].lstrip(" :+-")) for i in exchanges)
         below = [line for line in lines if "Sort" in line and len(line) - len(line.lstrip(" :+-")) > depth]
         assert not below
+
+
+@pytest.mark.parametrize("root", ["file:/one/machine", "/one/machine"])
+def test_no_local_scratch_on_a_cluster(root):
+    def session(settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: settings.get(name, default)))
+
+    settings = {"spark.sql.warehouse.dir": root, "spark.master": "spark://head:7077"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(session(settings))
+    assert scratch.scratch_root(session(settings | {"spark.master": "local[4]"})) == root
+    assert scratch.scratch_root(session(settings | {"spark.checkpoint.dir": "/shared/"})) == "/shared"
+    assert scratch.scratch_root(session(settings | {"spark.sql.warehouse.dir": "hdfs://x/w/"})) == "hdfs://x/w"
+
+
+def test_a_settled_step_leaves_its_result_only(spark):
+    made = []
+
+    def step():
+        made.append(scratch.written(spark.range(5), "inner"))
+        return made[0].filter("id > 1")
+
+    result = scratch.settled(step, "outer")
+    assert result.count() == 3
+    assert not os.path.exists(made[0]._scratch_path.removeprefix("file:"))
+    scratch.discard(result)
