@@ -15,7 +15,7 @@ nothing is shuffled but the counts.
 The patterns never try a start inside a run that already failed, and their loops give
 nothing back, so a text of any length is read once. Places are running sums over what stands between
 the matches, what touches the base is counted along the sorted ends of spans, and context comes
-from the cell of the text that a span begins in, so many matches in one text cost what they cost in many.
+from the cell of the text that a span begins in, so no step looks at all spans, or all of the text, for each span.
 """
 
 from __future__ import annotations
