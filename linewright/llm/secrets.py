@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,16 +62,62 @@ _DAYS = math.log10(365 * 130)
 LONGEST_WORD = 24
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses that the cheapest spelling of ``value`` needs.
+def runs_of(value: str) -> list[tuple[int, int, int]]:
+    """Stretches (start, end, part) of at least two equal parts, as long as they go on.
 
-    A character by itself costs a factor 10; a word its rank, twice for each way to write its
-    capitals; a date the days of 130 years, a year alone 130; a run of equal parts one part and
-    its number; a walk over keys or letters its start, direction and length.
+    A part that is itself made of equal parts is left out: its stretch is one of the shorter part.
+    Every length of part is compared over the whole value at once, in bytes times length / 2.
+    """
+    points = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    found: list[tuple[int, int, int]] = []
+    for part in range(1, len(points) // 2 + 1):
+        same = points[part:] == points[:-part]
+        if np.count_nonzero(same) < part:
+            continue
+        edges = np.flatnonzero(np.diff(same, prepend=False, append=False))
+        for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            end = stop + part
+            if stop - start >= part and not any(
+                part % shorter == 0 and first <= start and end <= last for first, last, shorter in found
+            ):
+                found.append((start, end, part))
+    return found
+
+
+class _Starts:
+    """Places at which a stretch that grows by steps may have begun, and the cheapest of them.
+
+    From place j to i it costs ``cost[j] + log10(scale * ((i - j) / step + more))``. That grows
+    the slower the longer it is, so once an earlier place is the cheaper one it stays so, and the
+    later place can be forgotten.
     """
+
+    def __init__(self, scale: int, step: int, more: int):
+        self.scale, self.step, self.more = scale, step, more
+        self.places: list[int] = []
+
+    def best(self, cost: list[float], i: int) -> float:
+        cheapest, kept = math.inf, []
+        for j in self.places:
+            total = cost[j] + math.log10(self.scale * ((i - j) // self.step + self.more))
+            if total < cheapest:
+                cheapest = total
+                kept.append(j)
+        self.places = kept
+        return cheapest
+
+
+def _costs(value: str, ranks: dict[str, int], most: float) -> list[float]:
+    """Cost of the cheapest spelling of every prefix; infinite from ``most``."""
     low, n = value.lower(), len(value)
+    # A few letters grow by one in lower case; walks and words then see the value as it is.
+    low = low if len(low) == n else value
+    opening: dict[int, list[tuple[int, int, int]]] = {}
+    for run in runs_of(value):
+        opening.setdefault(run[0] + (2 if run[2] > 1 else 3) * run[2], []).append(run)
+    open_runs: list[tuple[int, int, int, list[_Starts]]] = []
     cost = [0.0] * (n + 1)
-    walk = repeat = 0  # where the walk and the run of equal characters to i began
+    walk, walks = 0, _Starts(47 * 4, 1, 0)
     for i in range(1, n + 1):
         best = cost[i - 1] + 1.0
         for j in range(max(0, i - LONGEST_WORD), i - 2):
@@ -79,22 +126,45 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
                 capitals = sum(map(str.isupper, value[j:i]))
                 best = min(best, cost[j] + math.log10(rank + 1) + min(capitals, i - j - capitals, 4) * 0.3 + (capitals > 0) * 0.3)
         if i > 1 and low[i - 2 : i] not in _WALKS and low[i - 2 : i] not in _ORDERED:
-            walk = i - 1
+            walk, walks.places = i - 1, []
         if i - walk >= 3:
-            best = min(best, cost[walk] + math.log10(47 * 4 * (i - walk)))
-        if i > 1 and value[i - 2] != value[i - 1]:
-            repeat = i - 1
-        if i - repeat >= 3:
-            best = min(best, cost[repeat] + 1.0 + math.log10(i - repeat))
-        for part in range(2, min(16, i // 2) + 1):
-            if value[i - part : i] == value[i - 2 * part : i - part]:
-                best = min(best, cost[i - part] + math.log10(2))
+            walks.places.append(i - 3)
+            best = min(best, walks.best(cost, i))
+        for first, last, part in opening.pop(i, ()):
+            open_runs.append((first, last, part, [_Starts(1, part, 1) for _ in range(part)]))
+        open_runs = [run for run in open_runs if run[1] >= i]
+        for _, _, part, starts in open_runs:
+            of_place = starts[i % part]
+            of_place.places.append(i - max(part, 2))
+            best = min(best, of_place.best(cost, i))
         if low[i - 1].isdigit():
-            for size in (4, 6, 8, 10):
+            for size in (4, 6, 7, 8, 9, 10):
                 if i >= size and _DATE.fullmatch(value, i - size, i):
                     best = min(best, cost[i - size] + (math.log10(130) if size == 4 else _DAYS))
-        cost[i] = best
-    return cost[n]
+        cost[i] = best if best < most else math.inf
+    return cost
+
+
+def guess_cost(value: str, ranks: dict[str, int], most: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest spelling of ``value`` needs; infinite from ``most``.
+
+    A character by itself costs a factor 10; a word its rank, twice for each way to write its
+    capitals; a date the days of 130 years, a year alone 130; two or more equal parts (three or
+    more equal characters) one part and their number; a walk of three or more keys or letters its
+    start, direction and length. Each may begin and end anywhere, whatever its length.
+
+    Costs only grow along a spelling, so a prefix of a long value settles it when no cheaper
+    spelling reaches its second half: nothing that begins in the first half can pass the end
+    without a stop in the second. What stays cheap all along is compared as a whole, in time
+    that grows with the square of its length.
+    """
+    size = 4 * LONGEST_WORD
+    while size < len(value):
+        cost = _costs(value[:size], ranks, most)
+        if all(map(math.isinf, cost[size // 2 :])):
+            return math.inf
+        size *= 2
+    return _costs(value, ranks, most)[-1]
 
 
 def spans_of(text: str, ranks: dict[str, int]) -> list[tuple[str, int, int]]:
@@ -117,7 +187,7 @@ def spans_of(text: str, ranks: dict[str, int]) -> list[tuple[str, int, int]]:
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
             free = at == len(taken) or taken[at][0] >= end
-            if free and end - start >= 6 and guess_cost(text[start:end], ranks) >= LEAST_COST:
+            if free and end - start >= 6 and guess_cost(text[start:end], ranks, LEAST_COST) >= LEAST_COST:
                 found.append(("guessed", start, end))
     order = {kind: i for i, kind in enumerate(KINDS)}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))

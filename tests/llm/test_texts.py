@@ -397,8 +397,16 @@ def brute_cost(value, ranks):
                 options.append(best(j) + math.log10(rank + 1) + min(capitals, i - j - capitals, 4) * 0.3 + (capitals > 0) * 0.3)
             if i - j >= 3 and all(low[k : k + 2] in secrets._WALKS | secrets._ORDERED for k in range(j, i - 1)):
                 options.append(best(j) + math.log10(47 * 4 * (i - j)))
-            if i - j >= 3 and len(set(value[j:i])) == 1:
-                options.append(best(j) + 1.0 + math.log10(i - j))
+            if secrets._DATE.fullmatch(value[j:i]):
+                options.append(best(j) + (math.log10(130) if i - j == 4 else secrets._DAYS))
+        for part in range(1, i // 2 + 1):
+            whole = value[i - part : i]
+            if any(part % p == 0 and whole == whole[:p] * (part // p) for p in range(1, part)):
+                continue  # its stretch is one of the shorter part
+            for times in range(2 if part > 1 else 3, i // part + 1):
+                if value[i - times * part : i] != whole * times:
+                    break
+                options.append(best(i - (times - 1) * part) + math.log10(times))
         return min(options)
 
     return best(len(value))
@@ -406,17 +414,37 @@ def brute_cost(value, ranks):
 
 def test_guess_cost_finds_the_cheapest_spelling():
     rng = random.Random(7)
-    ranks = {"pass": 3, "word": 9, "password": 1, "dog": 50, "abc": 900}
-    for _ in range(600):
-        value = "".join(rng.choice(["pass", "word", "Dog", "qwe", "rty", "aaa", "x", "Z", "!", "cde"]) for _ in range(rng.randint(1, 4)))
-        cost = secrets.guess_cost(value, ranks)
-        # Walks and repeats are taken at their longest, and periods only here, so never far apart.
-        assert cost <= brute_cost(value, ranks) + 2.5 and cost >= 0
+    ranks = {"pass": 3, "word": 9, "password": 1, "dog": 50, "abc": 900, "tyu": 2, "efg": 4}
+    parts = ["pass", "word", "Dog", "qwe", "rty", "uiop", "aaa", "x", "Z", "!", "cde", "fgh", "1999", "31", "12", "-", "0", "ab", "ba"]
+    for _ in range(1500):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) * rng.choice((1, 1, 1, 2, 3))
+        wanted = brute_cost(value, ranks)
+        assert secrets.guess_cost(value, ranks) == pytest.approx(wanted, abs=1e-9), value
+        bar = secrets.guess_cost(value, ranks, secrets.LEAST_COST)
+        assert bar == pytest.approx(wanted, abs=1e-9) if wanted < secrets.LEAST_COST - 1e-9 else bar >= secrets.LEAST_COST - 1e-9, value
     assert secrets.guess_cost("password", ranks) < 1 < secrets.guess_cost("qwerty", ranks) < 4
     assert secrets.guess_cost("aaaaaaaa", {}) < 2 and secrets.guess_cost("20240131", {}) < 5
     assert secrets.guess_cost("abab" * 6, {}) < 8 < secrets.guess_cost("x9$Kq!2mPzA", {})
 
 
+def test_guess_cost_of_long_values():
+    rng = random.Random(3)
+    bar = secrets.LEAST_COST
+    assert secrets.guess_cost("a" * 20_000, {}, bar) == pytest.approx(1 + math.log10(20_000))
+    period = "x9$Kq!2mPzAwV7&bN5"  # a part of 18 characters costs more than the bar, a word does not
+    assert secrets.guess_cost(period * 300, {}, bar) == math.inf
+    assert secrets.guess_cost("correcthorsebatterystap" * 300, {"correcthorsebatterystap": 9}, bar) == pytest.approx(1 + math.log10(300))
+    start = time.perf_counter()
+    assert secrets.guess_cost("".join(rng.choices("abcdefgh0123XYZ", k=2_000_000)), {}, bar) == math.inf
+    late = "a" * 1_000 + "".join(rng.choices("bcdefgh0123XYZ", k=1_000_000))
+    assert secrets.guess_cost(late, {}, bar) == math.inf
+    assert time.perf_counter() - start < 5
+    for cut in range(90, 400, 7):  # the verdict of a prefix is that of the whole
+        value = ("ab" * 60 + "password" * 30 + "x1!" * 40)[:cut]
+        whole = secrets._costs(value, {"password": 1}, bar)[-1]
+        assert secrets.guess_cost(value, {"password": 1}, bar) == whole
+
+
 def test_hard_values_in_context_are_added():
     ranks = {w: i + 1 for i, w in enumerate(secrets.PLACEHOLDERS)}
     kinds = lambda text: [k for k, _, _ in secrets.spans_of(text, ranks)]
