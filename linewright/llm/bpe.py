@@ -5,7 +5,9 @@ last token that the merge list gives to the bytes up to there; that token leads
 earlier position, so the positions form a tree. Tokens are stable, and are emitted, once all
 positions that later bytes can still lead back to (the last ``longest`` ones) descend from
 their end. ``lookahead`` computes from the merge list within how many bytes that happens, so
-a piece of any length needs memory for one such stretch.
+a piece of any length needs memory for one such stretch. Texts are cut into pieces window by
+window, and ids go on to their use as they come: beside the text itself, what is held does
+not grow with it.
 
 Decoder. A state machine takes ids and gives text as soon as its bytes are whole characters;
 broken sequences become U+FFFD.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property, lru_cache
 from itertools import chain
 
@@ -36,6 +38,9 @@ SHORT = 48  # only of pieces up to this many characters
 BORDERS = 200_000  # whether two tokens fit side by side
 PREFIXES = 500_000  # last token of a piece's first bytes
 
+WINDOW = 1 << 16  # characters of a text that are cut into pieces at a time
+SEEN = 3  # characters from its start on which the end of a piece can depend, beyond its own
+
 
 def byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in vocabulary files: visible Latin-1 characters
@@ -236,15 +241,35 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def stream(self, text: str) -> Iterator[Sequence[int]]:
+        """Ids of a text, some at a time; holds those of one window."""
+        start = 0
+        for found in self.special.finditer(text) if self.special else ():
+            yield from self._plain(text, start, found.start())
+            yield (self.model.special[found[0]],)
+            start = found.end()
+        yield from self._plain(text, start, len(text))
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[Sequence[int]]:
+        """Ids of a stretch without special tokens."""
+        while at < end:
+            stop = min(at + WINDOW, end)
+            found = self.pieces.findall(text, at, stop)
+            if stop < end:  # what ends too near to the window's end may look different with the rest
+                while found and stop + SEEN > at + WINDOW:
+                    stop -= len(found.pop())
+                if not found:
+                    stop = self.pieces.match(text, at, end).end()
+                    transducer = Transducer(self.model, self.memory)
+                    for k in range(at, stop, WINDOW):
+                        yield transducer.feed(text[k : min(k + WINDOW, stop)].encode())
+                    yield transducer.finish()
+            if found:
+                yield list(chain.from_iterable(map(self.__getitem__, found)))
+            at = stop
+
     def encode(self, text: str) -> list[int]:
-        parts = self.special.split(text) if self.special else [text]
-        ids: list[int] = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                ids.append(self.model.special[part])
-            else:
-                ids.extend(chain.from_iterable(map(self.__getitem__, self.pieces.findall(part))))
-        return ids
+        return list(chain.from_iterable(self.stream(text)))
 
 
 @lru_cache(maxsize=1)
@@ -285,16 +310,17 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "")
-                listed = ",".join([decimal[i] for i in ids])
-                back = decoder.feed(ids) + decoder.finish()
-                rows.append(
-                    (
-                        len(ids),
-                        hashlib.sha256(listed.encode()).hexdigest(),
-                        hashlib.sha256(back.encode()).hexdigest(),
-                    )
-                )
+                n, listed, back = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in encoder.stream(text.as_py() or ""):
+                    if not ids:
+                        continue
+                    if n:
+                        listed.update(b",")
+                    n += len(ids)
+                    listed.update(",".join([decimal[i] for i in ids]).encode())
+                    back.update(decoder.feed(ids).encode())
+                back.update(decoder.finish().encode())
+                rows.append((n, listed.hexdigest(), back.hexdigest()))
             n, listed, back = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(back, pa.string())],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -72,6 +73,38 @@ def test_long_pieces_keep_little(encoder, library):
         assert most <= transducer.most
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=60), st.integers(4, 12))
+def test_windows_leave_no_trace(parts, window):
+    own, library = pair()
+    text, before = "".join(parts), bpe.WINDOW
+    bpe.WINDOW = window
+    try:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    finally:
+        bpe.WINDOW = before
+
+
+def peak_of(encoder, text):
+    """Most bytes held while a text is encoded and decoded, beside the text."""
+    decoder = bpe.Decoder(encoder.model)
+    tracemalloc.start()
+    for ids in encoder.stream(text):
+        decoder.feed(ids)
+    decoder.finish()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+@pytest.mark.parametrize("line", ["the quick brown fox, 12 times: don't!\n", " ", "=", "word"])
+def test_memory_does_not_grow_with_the_text(encoder, monkeypatch, line):
+    monkeypatch.setattr(bpe, "WINDOW", 2_000)
+    small, large = (line * (size // len(line)) + "x" for size in (40_000, 160_000))
+    peak_of(encoder, small)  # fills what is remembered
+    assert peak_of(encoder, large) < 1.1 * peak_of(encoder, small) + 5_000
+
+
 def test_memory_is_bounded(encoder, monkeypatch, library):
     monkeypatch.setattr(bpe, "PREFIXES", 50)
     monkeypatch.setattr(bpe, "BORDERS", 20)
