@@ -21,6 +21,7 @@ from linewright.operators import (
     line_rows,
     namespace,
     ordering,
+    stabbing,
 )
 from linewright.plans import ranking
 from linewright.plans.scratch import scratch_path
@@ -520,6 +521,34 @@ def spec_expand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.spec_expand_join(specs, table(spark, sf_dir, "nation"), "n_name").drop("n_name")
 
 
+@bind(
+    """
+WITH s AS (
+  SELECT concat('supplier ', s_suppkey) AS asker, CAST(7 * s_suppkey AS HUGEINT) AS lo,
+         CAST(7 * s_suppkey + s_nationkey AS HUGEINT) AS hi FROM supplier
+  UNION ALL
+  SELECT r_name, 300 * r_regionkey, CAST('1000000000000000000000000000000' AS HUGEINT) FROM region
+)
+SELECT asker, concat('c[', lo, '-', hi, ']') AS spec, CAST(o_custkey - lo AS BIGINT) AS host_no, o_orderkey
+FROM s JOIN orders ON o_custkey BETWEEN lo AND hi
+"""
+)
+def spec_stab_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by host ranges: narrow ones of suppliers, and ones of regions that nothing could open."""
+    low = F.col("s_suppkey").cast("bigint") * 7
+    narrow = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("supplier "), "s_suppkey").alias("asker"),
+        F.concat(F.lit("c["), low, F.lit("-"), low + F.col("s_nationkey"), F.lit("]")).alias("spec"),
+    )
+    wide = table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("asker"),
+        F.concat(F.lit("c["), F.col("r_regionkey") * 300, F.lit(f"-{10**30}]")).alias("spec"),
+    )
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("host"), "o_orderkey")
+    found = stabbing.spec_stab_join(narrow.unionByName(wide), orders, "host")
+    return found.select("asker", "spec", F.col("host_no").cast("bigint").alias("host_no"), "o_orderkey")
+
+
 TARGETS = ["node2", "node3", "node4"]
 
 

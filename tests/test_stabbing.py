@@ -1,0 +1,81 @@
+"""Range specs matched to hosts without opening the ranges."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+from linewright.operators import joins, stabbing
+
+
+def brute(specs, hosts):
+    """(spec, host_no, host) by a loop over all pairs."""
+    out = Counter()
+    for spec in specs:
+        m = re.fullmatch(r"(\w+)\[(\d+)-(\d+)\]", spec or "")
+        for host in hosts:
+            if host is None or spec is None:
+                continue
+            if re.fullmatch(r"\w+(,\w+)*", spec):
+                out.update((spec, i, host) for i, name in enumerate(spec.split(",")) if name == host)
+            elif m and host.startswith(m[1]):
+                rest = host[len(m[1]) :]
+                if re.fullmatch(r"0|[1-9][0-9]*", rest) and int(m[2]) <= int(rest) <= int(m[3]):
+                    out[spec, int(rest) - int(m[2]), host] += 1
+    return out
+
+
+def found(spark, specs, hosts):
+    left = spark.createDataFrame([(s,) for s in specs], "spec string")
+    right = spark.createDataFrame([(h,) for h in hosts], "host string")
+    rows = stabbing.spec_stab_join(left, right, "host").collect()
+    return Counter((r.spec, None if r.host_no is None else int(r.host_no), r.host) for r in rows)
+
+
+def test_every_small_range(spark):
+    specs = [f"h[{a}-{b}]" for a in (0, 1, 8, 9, 10, 19, 99, 100, 101, 120) for b in (0, 1, 5, 9, 10, 11, 99, 100, 110, 119, 120, 1001)]
+    hosts = [f"h{i}" for i in range(0, 1103)]
+    assert found(spark, specs, hosts) == brute(specs, hosts)
+
+
+def test_random_ranges_and_names_that_end_in_digits(spark):
+    rng = random.Random(4)
+    number = lambda: rng.randrange(10 ** rng.randint(1, 9))
+    specs = [f"{rng.choice(['n', 'n1', 'n10', 'é'])}[{a}-{b}]" for a, b in (sorted((number(), number())) for _ in range(150))]
+    hosts = [f"{rng.choice(['n', 'n1', 'n10', 'é'])}{number()}" for _ in range(500)]
+    assert found(spark, specs, hosts) == brute(specs, hosts)
+
+
+def test_odd_specs_and_hosts(spark):
+    specs = [None, "", "h[5-2]", "h[007-009]", "h[٣-5]", "a,b,a", "a", "[1-2]", "h[1-2],a", "h[1-2]", "h[1-2]"]
+    hosts = [None, "", "a", "a", "b", "h", "h1", "h01", "h7", "h3", "h4", "5", "h1\n"]
+    assert found(spark, specs, hosts) == brute(specs, hosts)
+    assert not found(spark, [], hosts) and not found(spark, specs, [])
+
+
+def test_ranges_beyond_what_can_be_opened(spark):
+    wide = f"h[12-{10**30}]"
+    hosts = ["h11", "h12", f"h{10**30}", f"h{10**30 + 1}", f"h{10**29 + 7}", "h999"]
+    assert found(spark, [wide], hosts) == brute([wide], hosts)
+    huge = f"h[{10**50}-{10**60}]"
+    got = found(spark, [huge], [f"h{10**50 - 1}", f"h{10**50}", f"h{10**55 + 1}", f"h{10**60 + 1}"])
+    assert got == {(huge, None, f"h{10**50}"): 1, (huge, None, f"h{10**55 + 1}"): 1}
+
+
+def test_same_rows_as_the_opened_join(spark):
+    specs = spark.createDataFrame([(1, "h[3-40]"), (2, "h[08-12]"), (3, "h5,h5,x")], "host_no int, spec string")
+    rows = spark.createDataFrame([(f"h{i}", i, "r") for i in range(60)] * 2, "host string, spec int, v string")
+    specs = specs.withColumnRenamed("host_no", "id")
+    got = stabbing.spec_stab_join(specs, rows, "host")
+    assert got.columns == ["id", "spec", "host_no", "host", "spec_of_row", "v"]
+    opened = joins.spec_expand_join(specs, rows, "host").select(*got.columns)
+    key = lambda df: Counter((r.id, r.spec, int(r.host_no), r.host, r.spec_of_row, r.v) for r in df.collect())
+    assert key(got) == key(opened)
+
+
+def test_plan_has_equal_keys_only(spark):
+    specs = spark.createDataFrame([("h[1-9]",)], "spec string")
+    rows = spark.createDataFrame([("h1",)], "host string")
+    plan = stabbing.spec_stab_join(specs, rows, "host")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
