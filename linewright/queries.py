@@ -6,8 +6,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +22,15 @@ from linewright.operators import (
     line_rows,
     namespace,
     ordering,
+    prefix_index,
+    rights,
     stabbing,
 )
 from linewright.plans import ranking
 from linewright.plans.scratch import scratch_path
-from linewright.sources import lines, listing, sinks
+from linewright.sources import byte_ranges, ends, lines, listing, sinks
 from linewright.streaming import changes as live
-from linewright.streaming import follow
+from linewright.streaming import follow, growing
 
 Query = Callable[[SparkSession, str], DataFrame]
 BINDINGS: dict[str, tuple[Query, str | None]] = {}
@@ -153,6 +156,61 @@ def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(nation.alias("nation"), "length")
 
 
+@bind(
+    """
+WITH c AS (
+  SELECT concat('n=', c_nationkey) AS nation, concat('n=', c_nationkey, '/s=', c_mktsegment) AS segment,
+         strlen(c_name) + 1 AS n FROM customer
+), t AS (
+  SELECT '' AS folder, segment AS below, n FROM c UNION ALL SELECT '', nation, 0 FROM c
+  UNION ALL SELECT nation, segment, n FROM c UNION ALL SELECT segment, NULL, n FROM c
+)
+SELECT folder, CAST(sum(n) AS BIGINT) AS length, count(DISTINCT below) AS n_folders FROM t GROUP BY folder
+"""
+)
+def folder_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as text files, in folders per nation and segment: what lies at or below each."""
+    out = scratch_path(spark, "tree")
+    table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s"), "c_name"
+    ).write.partitionBy("n", "s").text(out)
+    totals = listing.folder_totals(listing.walk(spark, out), out)
+    below = F.substr("path", F.lit(len(out) + 2))
+    return totals.select(below.alias("folder"), "length", "n_folders")
+
+
+FILE_ROWS = 5000  # events in one file of file_ends
+
+
+@bind(
+    f"""
+WITH l AS (
+  SELECT event_id // {FILE_ROWS} AS file,
+         concat(lpad(CAST(event_id AS VARCHAR), 12, '0'), ' ', event_type) AS line FROM events
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS up,
+         row_number() OVER (PARTITION BY file ORDER BY line DESC) AS down FROM l
+)
+SELECT file, 'first' AS part, up AS rank, line FROM r WHERE up <= 10
+UNION ALL SELECT file, 'last', 11 - down, line FROM r WHERE down <= 10
+"""
+)
+def file_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sorted text files: the first and the last ten lines of each."""
+    number = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    out = scratch_path(spark, "ends")
+    table(spark, sf_dir, "events").select(
+        F.expr(f"event_id div {FILE_ROWS}").alias("file"),
+        F.concat(number, F.lit(" "), "event_type").alias("line"),
+    ).repartition("file").sortWithinPartitions("file", "line").write.partitionBy("file").text(out)
+    parts = [
+        ends.file_ends(spark, out, 10, last=last, recursive=True).withColumn("part", F.lit(name))
+        for name, last in (("first", False), ("last", True))
+    ]
+    file = F.regexp_extract("path", "file=([0-9]+)/", 1).cast("bigint").alias("file")
+    return parts[0].unionByName(parts[1]).select(file, "part", "rank", "line")
+
+
 LOCATIONS_SQL = """
 WITH p AS (
   SELECT list_filter(
@@ -198,6 +256,69 @@ def namespace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@bind(
+    LOCATIONS_SQL
+    + """
+, h AS (SELECT page_id, array_to_string(parts, '/') AS path, parts FROM
+        (SELECT page_id, list_filter(
+           string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^?#]*)', 1), '/'),
+           lambda s: s <> '') AS parts FROM pages)
+), r AS (
+  SELECT array_to_string(parts[1:1 + page_id % 3], '/') AS path, min(len(parts[1:1 + page_id % 3])) AS depth,
+         max(page_id) AS owner
+  FROM h WHERE page_id % 4 = 0 GROUP BY 1
+), m AS (
+  SELECT page_id, depth, owner, row_number() OVER (PARTITION BY page_id ORDER BY depth DESC) AS n
+  FROM h JOIN r ON h.path = r.path OR starts_with(h.path, r.path || '/')
+)
+SELECT page_id, CAST(depth AS INTEGER) AS rule_depth, owner
+FROM h LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (page_id)
+"""
+)
+def inherited_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth page owns its host, its first folder or its second; the latest owner holds."""
+    pages = table(spark, sf_dir, "pages")
+    location = paths.url_location(F.col("url"))
+    head = F.slice(paths.segments(location), F.lit(1), (1 + F.col("page_id") % 3).cast("int"))
+    rules = pages.filter("page_id % 4 = 0").select(
+        F.array_join(head, "/").alias("folder"), F.col("page_id").alias("owner")
+    )
+    held = rights.inherit(pages, location, rules, F.col("folder"), ["owner"], order="owner")
+    return held.select("page_id", "rule_depth", "owner")
+
+
+def _grown(spark: SparkSession, whole: str, inbox: str, halves: int) -> None:
+    """Files of ``inbox`` with the first half of the bytes of those in ``whole``, or with all."""
+    files = spark.read.format("binaryFile").load(whole).select("path", "length")
+
+    def copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"]):
+                store, inner = byte_ranges.located(f"{inbox}/{path.rsplit('/', 1)[1]}")
+                store.create_dir(inner.rsplit("/", 1)[0])
+                left = length * halves // 2
+                with byte_ranges.opened(path) as source, store.open_output_stream(inner) as sink:
+                    while left and (block := source.read(min(left, 1 << 20))):
+                        sink.write(block)
+                        left -= len(block)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.mapInPandas(copied, "n bigint").agg(F.sum("n")).first()
+
+
+@bind("SELECT concat(event_id, ' ', event_type) AS line FROM events")
+def tail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as text files that grow: cut off at half their bytes first, then whole."""
+    whole, inbox, out, mark = (scratch_path(spark, f"tail-{x}") for x in ("all", "inbox", "out", "mark"))
+    table(spark, sf_dir, "events").select(
+        F.concat(F.col("event_id").cast("string"), F.lit(" "), "event_type").alias("line")
+    ).write.text(whole)
+    for halves in (1, 2):
+        _grown(spark, whole, inbox, halves)
+        follow.land(growing.tail_files(spark, inbox), out, mark).awaitTermination()
+    return spark.read.schema(growing.SCHEMA).parquet(out).select("line")
+
+
 @bind("SELECT * FROM events")
 def follow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events land in an inbox in two slices; each is followed in a run of its own."""
@@ -299,6 +420,21 @@ def validate_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.validate_route(specs, "spec", r"\w+:Brand#[1-3]+")
 
 
+@bind(
+    """
+SELECT p_partkey, spec, regexp_full_match(spec, '\\w+:Brand#[1-3]+') AS accepted
+FROM (SELECT p_partkey, concat(p_type, ':', p_brand) AS spec FROM part
+      UNION ALL SELECT p_partkey, concat(p_name, ':', p_brand) FROM part)
+"""
+)
+def write_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specs of validate_route, both routes written in one pass."""
+    checked = validate_route(spark, sf_dir)
+    out = scratch_path(spark, "routes")
+    sinks.write_routes(checked, F.col("ok"), out)
+    return spark.read.parquet(out).select("p_partkey", "spec", F.col("accepted").cast("boolean"))
+
+
 @bind(
     """
 WITH t AS (
@@ -685,8 +821,7 @@ def sync_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@bind(
-    """
+PREFIX_SQL = """
 WITH q AS (
   SELECT left(p_name, 3) AS query FROM part UNION SELECT left(p_name, 6) FROM part
 ), m AS (
@@ -695,7 +830,9 @@ WITH q AS (
 )
 SELECT query, rank, p_name FROM m WHERE rank <= 3
 """
-)
+
+
+@bind(PREFIX_SQL)
 def prefix_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     heads = [F.left("p_name", F.lit(n)) for n in (3, 6)]
@@ -703,6 +840,17 @@ def prefix_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.prefix_complete(asked, part, 3, line="p_name")
 
 
+@bind(PREFIX_SQL)
+def prefix_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of prefix_complete against a written index of the same lines."""
+    part = table(spark, sf_dir, "part")
+    heads = [F.left("p_name", F.lit(n)) for n in (3, 6)]
+    asked = part.select(F.explode(F.array(*heads)).alias("query"))
+    index = scratch_path(spark, "prefix-index")
+    prefix_index.write_index(part, index, line="p_name")
+    return prefix_index.look_up(index, asked, 3, line="p_name")
+
+
 @bind(
     """
 WITH q AS (

@@ -6,7 +6,7 @@ import posixpath
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,28 @@ def append_table(path: str, *sources: DataFrame, fmt: str = "parquet") -> None:
     rows.write.mode("append").format(fmt).save(path)
 
 
+def write_routes(
+    df: DataFrame, accepted: Column, path: str, fmt: str = "parquet", column: str = "accepted"
+) -> dict[str, int]:
+    """Write accepted and rejected rows to two folders of one table in one pass over ``df``.
+
+    ``column`` is the partition column, with folders ``true`` and ``false`` (Spark reads them back as
+    strings); a condition that is NULL rejects. Returns the
+    rows of either route, ``accepted`` and ``rejected``, counted by the tasks that write them, so
+    nothing is read a second time. An existing table is refused.
+    """
+    if column in df.columns:
+        raise ValueError(f"there is a column {column} already")
+    seen = Observation()
+    routed = df.withColumn(column, F.coalesce(accepted, F.lit(False))).observe(
+        seen,
+        F.count_if(F.col(column)).alias("accepted"),
+        F.count_if(~F.col(column)).alias("rejected"),
+    )
+    routed.write.partitionBy(column).format(fmt).save(path)
+    return seen.get
+
+
 def copy_table(
     spark: SparkSession,
     src: str,
