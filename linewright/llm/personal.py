@@ -319,8 +319,9 @@ def fit(docs: DataFrame) -> dict[str, list[int]]:
     """Codes that the trees accept, by generator; at most 2 ** N_FEATURES of each are counted."""
     half = F.pmod(F.xxhash64("_base.start", "doc_id"), F.lit(2))
     # The outer form keeps Catalyst from inferring a filter that would search every text again.
-    seen = with_spans(docs.select("doc_id", "text"))
-    seen = seen.select(half.alias("half"), F.explode_outer("_proposed").alias("s")).filter("s IS NOT NULL AND s.labelled")
+    # The half is worked out once per text: next to the explode it would be hashed for every proposal.
+    seen = with_spans(docs.select("doc_id", "text")).select(half.alias("half"), "_proposed")
+    seen = seen.select("half", F.explode_outer("_proposed").alias("s")).filter("s IS NOT NULL AND s.labelled")
     counts = seen.groupBy("half", "s.kind", "s.code", "s.hit").agg(F.count(F.lit(1)).alias("n")).collect()
     accepted = {}
     for kind in PROPOSED:
