@@ -118,11 +118,12 @@ def _to_zero(values: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 def _accumulated(cell: pa.Table) -> pa.Table:
     """What the terms of a cell add to the distance of each of its groups from each of its peers.
 
-    Rows without a term name a group or peer, with its p for a count of 0; the others are postings.
+    Rows without a term name a group or peer, with its p for a count of 0; the others are postings, whose
+    terms are 0. A shuffle brings the rows in any order.
     """
     lang, part = cell["lang"][0].as_py(), cell["part"][0].as_py()
     source = cell["source"].to_pylist()
-    p, n_terms = cell["p"].to_numpy(), cell["terms"].to_numpy()
+    p, n_terms = cell["p"].to_numpy(), int(cell["terms"].to_numpy().max())
     is_row, is_peer = (cell[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("as_row", "as_peer"))
     term = cell["term"].combine_chunks().dictionary_encode()
     code = term.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -156,7 +157,7 @@ def _accumulated(cell: pa.Table) -> pa.Table:
         mine, apart = row_p[own], np.abs(zero_row[i] - zero_peer)
         total[i] += _to_zero(mine, zero_peer) - len(mine) * apart
         if part == 0:
-            total[i] += apart * n_terms[0]
+            total[i] += apart * n_terms
         # Shared terms: through the index, into the peers' places.
         start = index_start[row_term[own]]
         found = index_start[row_term[own] + 1] - start

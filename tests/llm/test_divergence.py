@@ -79,6 +79,17 @@ def test_same_as_a_loop(spark, monkeypatch, peers, cell_rows):
     assert {r[2] for r in got} == {"pair", "term"}
 
 
+@pytest.mark.parametrize("peers", [512, 3])
+def test_rows_of_a_cell_in_any_order(spark, monkeypatch, peers):
+    """Between executors a shuffle may bring postings before the rows that name groups."""
+    real = divergence._accumulated
+    monkeypatch.setattr(divergence, "PEERS", peers)
+    monkeypatch.setattr(divergence, "TERM_CELLS", 4)
+    monkeypatch.setattr(divergence, "_accumulated", lambda cell: real(cell.take(list(range(len(cell)))[::-1])))
+    rows = made(random.Random(7), 150, [*"abcde", None], WORDS)
+    assert audited(spark, rows, 3) == brute(rows, 3)
+
+
 def test_ties_and_groups_without_terms(spark):
     rows = [("same words here", "en", s) for s in "abc"] * 2 + [("rare", "en", "d"), (None, "en", "e"), ("", "xx", "a"), ("q", "xx", "b")]
     got = audited(spark, rows, 2)
