@@ -39,6 +39,7 @@ LONGS = HASHES // 64
 MISS = 1e-6  # most probability that a link at the threshold shares no band
 DEVIATIONS = 6.5  # the estimate may be this many standard deviations too low
 BLOCK = 512  # members of a group per block
+TASK_ROWS = 4_000  # texts of a task, about; of one that works on pairs or window sets a quarter
 
 #: n, f1 and f2, then the bit planes and the bands.
 SIGNATURE = [T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")] + [
@@ -148,18 +149,18 @@ def _window_sets(texts: DataFrame, width: int) -> DataFrame:
     return mapped(texts, run, "doc_id bigint, grams array<bigint>")
 
 
-def _own_windows(texts: DataFrame, width: int) -> DataFrame:
+def _own_windows(texts: DataFrame, width: int, tasks: int) -> DataFrame:
     """(doc_id, own): windows of each text that no other text of ``texts`` has, where there are any."""
     grams = _window_sets(texts, width).select("doc_id", F.explode("grams").alias("gram"))
     # Counting combines before the shuffle, so a window that everything has is no hot task.
-    single = grams.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
+    single = grams.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n")).coalesce(tasks)
     return single.filter("_n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on their full window sets."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), "a")
+    both = both.coalesce(tasks).join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, set()
@@ -174,7 +175,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 keep.append(100 * same >= percent * (len(sets) + len(other) - same))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = mapped(both.select("a", "b", "_ta", "_tb"), run, "a bigint, b bigint")
+    links = mapped(both.select("a", "b", "_ta", "_tb").coalesce(tasks), run, "a bigint, b bigint")
     return written(links, "op1-links")
 
 
@@ -208,29 +209,36 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # The text's own hash tells rows of one id apart.
     docs = docs.withColumn("_of", F.xxhash64("text"))
     signed = written(signatures(docs.select(*named, "_of", "text"), width, rows), "op1-signatures")
+    # Tasks follow the rows, not the number of shuffle partitions: most steps here have few rows, and
+    # a task with next to none still opens and writes files.
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, signed.count() // TASK_ROWS)
+    busy = 4 * tasks
     print_of = ["n", "f1", "f2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_of").alias("of")))
-    classes = signed.filter("n > 0").groupBy(*print_of).agg(first.alias("_first"))
-    classes = classes.select(*print_of, F.col("_first.id").alias("_id"), F.col("_first.of").alias("_head"))
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "op1-classes")
+    # A class has one sequence of words, so any member's planes and bands are those of all.
+    same = [F.first(c).alias(c) for c in ("planes", "bands")]
+    classes = signed.filter("n > 0").groupBy(*print_of).agg(first.alias("_first"), *same)
+    classes = classes.select(*print_of, F.col("_first.id").alias("_id"), F.col("_first.of").alias("_head"), "planes", "bands")
+    classes = written(classes.coalesce(tasks).withColumn("rep", F.monotonically_increasing_id()), "op1-classes")
     # From here on a class, as its number, is what has a text.
-    is_head = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_head"))
-    heads = signed.join(classes, print_of).filter(is_head).dropDuplicates(["rep"])
-    reps = written(heads.select(F.col("rep").alias("doc_id"), "n", "planes", "bands"), "op1-reps")
-    members = reps.select("doc_id", F.explode("bands").alias("key"))
+    members = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = written(members.join(written(sizes, "op1-sizes"), "key"), "op1-buckets")
+    buckets = members.join(written(sizes.coalesce(tasks), "op1-sizes"), "key")
+    buckets = written(buckets.coalesce(tasks), "op1-buckets")
 
+    asked = buckets.select(F.col("doc_id").alias("rep")).distinct().coalesce(tasks).hint("merge")
+    reps = classes.select("_id", "_head", "rep", "n", "planes").join(asked, "rep")
+    reps = written(reps.coalesce(tasks), "op1-reps")
     # One exchange of the texts, whatever the number of candidates; later steps read these.
-    asked = buckets.select("doc_id").distinct().hint("merge")
-    wanted = classes.select("_id", "_head", "rep").join(asked, F.col("rep") == F.col("doc_id")).drop("doc_id")
-    texts = docs.select("doc_id", "_of", "text").join(wanted.hint("merge"), is_head)
-    texts = texts.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    texts = written(texts, "op1-texts")
-    shares = reps.join(asked, "doc_id").join(_own_windows(texts, width), "doc_id", "left")
+    is_head = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_head"))
+    texts = docs.select("doc_id", "_of", "text").join(reps.select("_id", "_head", "rep").hint("merge"), is_head)
+    texts = texts.select(F.col("rep").alias("doc_id"), "text").coalesce(tasks).dropDuplicates(["doc_id"])
+    texts = written(texts.coalesce(tasks), "op1-texts")
+    own = _own_windows(texts, width, busy)
+    shares = reps.select(F.col("rep").alias("doc_id"), "n", "planes").join(own, "doc_id", "left")
     shares = shares.withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
     shares = shares.filter(100 * F.col("shared") >= percent * F.col("n"))
-    shares = written(shares.select("doc_id", "n", "shared", "planes"), "op1-shares")
+    shares = written(shares.select("doc_id", "n", "shared", "planes").coalesce(tasks), "op1-shares")
 
     def side(x: str) -> DataFrame:
         return shares.select(*(F.col(c).alias(f"{c}_{x}") for c in shares.columns))
@@ -240,48 +248,51 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return (100 * bound >= percent - 1e-6) & (estimate(F.col("planes_a"), F.col("planes_b")) >= cut)
 
     alone = (1 - F.col("shared") / F.col("n")).alias("alone")
-    placed = written(buckets.join(shares.select("doc_id", alone), "doc_id"), "op1-placed")
+    placed = written(buckets.join(shares.select("doc_id", alone), "doc_id").coalesce(tasks), "op1-placed")
     centres = placed.groupBy("key").agg(F.min(F.struct("alone", "doc_id")).alias("_c"))
-    centres = written(centres.select("key", F.col("_c.doc_id").alias("centre")), "op1-centres")
+    centres = written(centres.select("key", F.col("_c.doc_id").alias("centre")).coalesce(tasks), "op1-centres")
     # Two texts of a bucket are in the group of its centre; a text is in one group or a few.
-    groups = placed.join(centres, "key").select("centre", "doc_id", "alone").distinct()
-    groups = written(groups, "op1-groups")
+    groups = placed.join(centres, "key").select("centre", "doc_id", "alone").coalesce(tasks).distinct()
+    groups = written(groups.coalesce(tasks), "op1-groups")
 
     def met(meetings: DataFrame) -> DataFrame:
         """Links among the pairs of ``meetings`` (doc_id, with)."""
         pairs = meetings.select(F.least("doc_id", "with").alias("a"), F.greatest("doc_id", "with").alias("b"))
-        pairs = pairs.filter("a < b").distinct()
-        pairs = pairs.join(side("b"), F.col("b") == F.col("doc_id_b")).join(side("a"), F.col("a") == F.col("doc_id_a"))
-        pairs = written(pairs.filter(likely()).select("a", "b"), "op1-pairs")
-        return _confirmed(pairs, texts, width, percent)
+        pairs = pairs.filter("a < b").distinct().coalesce(tasks)
+        pairs = pairs.join(side("b"), F.col("b") == F.col("doc_id_b")).coalesce(busy)
+        pairs = pairs.join(side("a"), F.col("a") == F.col("doc_id_a"))
+        pairs = written(pairs.filter(likely()).select("a", "b").coalesce(busy), "op1-pairs")
+        return _confirmed(pairs, texts, width, percent, busy)
 
     def outside(roots: DataFrame) -> DataFrame:
         """``groups`` of three and more with ``root``, ``main`` (the largest component's) and sizes."""
         rooted = groups.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        rooted = written(rooted.withColumn("root", F.coalesce("root", "doc_id")), "op1-rooted")
-        parts = rooted.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("members"))
+        rooted = written(rooted.withColumn("root", F.coalesce("root", "doc_id")).coalesce(tasks), "op1-rooted")
+        parts = rooted.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("members")).coalesce(tasks)
         mains = parts.groupBy("centre").agg(
             F.max(F.struct("members", "root")).alias("_m"), F.sum("members").alias("size")
         )
         mains = mains.select("centre", F.col("_m.root").alias("main"), F.col("_m.members").alias("inside"), "size")
         mains = mains.filter("size > 2 AND inside < size").withColumn("left_out", F.col("size") - F.col("inside"))
-        return written(rooted.join(written(mains, "op1-mains"), "centre"), "op1-outside")
+        return written(rooted.join(written(mains.coalesce(tasks), "op1-mains"), "centre").coalesce(tasks), "op1-outside")
 
     links = met(groups.select("doc_id", F.col("centre").alias("with")))
-    first = components(links, "op1")
+    first = components(links, "op1", tasks)
 
     # The others in a group meet a centre of their own.
     found = outside(first)
     others = found.filter("root != main")
     second = others.groupBy("centre").agg(F.min(F.struct("alone", "doc_id")).alias("_c"))
-    second = written(second.select("centre", F.col("_c.doc_id").alias("with")), "op1-second")
-    links = written(links.unionByName(met(others.join(second, "centre"))), "op1-two")
-    first = components(links, "op1")
+    second = written(second.select("centre", F.col("_c.doc_id").alias("with")).coalesce(tasks), "op1-second")
+    more = met(others.join(second, "centre"))
+    if not more.isEmpty():
+        links = written(links.unionByName(more).coalesce(tasks), "op1-two")
+        first = components(links, "op1", tasks)
 
     # Those still outside meet everything in the group, in blocks.
     found = outside(first)
     sets = _window_sets(texts.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", "text"), width)
-    full = written(sets.join(shares, "doc_id"), "op1-sets")
+    full = written(sets.join(shares, "doc_id").coalesce(busy), "op1-sets")
     known = found.join(full, "doc_id")
     rows, cols = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("left_out", "size"))
     own = F.xxhash64("doc_id")
@@ -304,20 +315,22 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     linked = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
     rest = a.join(b, same_block & apart & likely() & linked)
     rest = rest.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
-    rest = written(rest.distinct(), "op1-rest")
+    rest = written(rest.coalesce(busy).distinct().coalesce(tasks), "op1-rest")
     if not rest.isEmpty():
-        more = _confirmed(rest, texts, width, percent)
-        first = components(links.unionByName(more), "op1")
+        more = _confirmed(rest, texts, width, percent, busy)
+        first = components(links.unionByName(more), "op1", tasks)
 
     rooted = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    rooted = written(rooted.select(*print_of, "_id", F.coalesce("root", "rep").alias("root")), "op1-labels")
+    rooted = written(rooted.select(*print_of, "_id", F.coalesce("root", "rep").alias("root")).coalesce(tasks), "op1-labels")
     least = rooted.groupBy("root").agg(F.min("_id").alias("_component"))
-    labelled = written(rooted.join(least, "root").select(*print_of, "root", "_component"), "op1-labelled")
+    labelled = rooted.join(least, "root").select(*print_of, "root", "_component")
+    labelled = written(labelled.coalesce(tasks), "op1-labelled")
     for table in (rest, links, full, found, second, groups, placed, centres, shares, texts, buckets, reps, classes, rooted):
         discard(table)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_component"))
     return (
         signed.select(*named, *print_of)
         .join(labelled, print_of, "left")
+        .coalesce(tasks)
         .select(*named, "n", "root", component.alias("component_id"))
     )

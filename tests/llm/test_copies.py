@@ -122,6 +122,34 @@ def test_near_copies_of_odd_rows(spark, odd, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """A small corpus is not written as a file per shuffle partition, however many these are."""
+    settings = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in settings}
+    files = {}
+
+    def counted(df, label, real=minhash.written):
+        table = real(df, label)
+        files[label] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(minhash, "written", counted)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnop", k=40))) for i in range(400)]
+    rows += [(400 + i, f"{text} more") for i, text in rows[:300]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    try:
+        for c, value in settings.items():
+            spark.conf.set(c, value)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert got == brute_components(rows, 3, 85)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert max(files[t] for t in ("op1-classes", "op1-buckets", "op1-texts", "op1-shares", "op1-groups")) <= most
+
+
 def test_texts_under_one_id(spark):
     """Each is linked by its own text; a link of one of them is not lost."""
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
