@@ -2,12 +2,15 @@
 
 Encoder. A piece's bytes are read left to right. For every position the transducer knows the
 last token that the merge list gives to the bytes up to there; that token leads back to an
-earlier position, so the positions form a tree. Tokens are stable, and are emitted, once all
-positions that later bytes can still lead back to (the last ``longest`` ones) descend from
-their end. ``lookahead`` computes from the merge list within how many bytes that happens, so
-a piece of any length needs memory for one such stretch. Texts are cut into pieces window by
-window, and ids go on to their use as they come: beside the text itself, what is held does
-not grow with it.
+earlier position, so the positions form a tree. Its state is what the next bytes depend on:
+of every position from which a token may still grow, the node of the vocabulary's tree that
+the bytes behind it lead to, and the token before it. Different beginnings come to the same
+states, whose steps are remembered, so new words mostly take known steps. Tokens are stable,
+and are emitted, once all positions that later bytes can still lead back to (the last
+``longest`` ones) descend from their end. ``lookahead`` computes from the merge list within
+how many bytes that happens, so a piece of any length needs memory for one such stretch.
+Texts are cut into pieces window by window, and ids go on to their use as they come: beside
+the text itself, what is held does not grow with it.
 
 Decoder. A state machine takes ids and gives text as soon as its bytes are whole characters;
 broken sequences become U+FFFD.
@@ -33,10 +36,11 @@ from linewright.llm.arrow import mapped
 PIECES = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # What a Python worker remembers, so that it need not work it out again; full tables start anew.
-REMEMBERED = 300_000  # tokens of pieces
+REMEMBERED = 300_000  # tokens of pieces; the last full table is kept beside the new one
 SHORT = 48  # only of pieces up to this many characters
 BORDERS = 200_000  # whether two tokens fit side by side
-PREFIXES = 500_000  # last token of a piece's first bytes
+PREFIXES = 300_000  # states that the first bytes of pieces lead to
+ENTRIES = 2_500_000  # open positions of all these states, and steps between them
 
 WINDOW = 1 << 16  # characters of a text that are cut into pieces at a time
 SEEN = 3  # characters from its start on which the end of a piece can depend, beyond its own
@@ -71,13 +75,25 @@ class MergeList:
             if new not in self.parts:
                 self.parts[new], self.rank[new] = pair, rank
         self.longest = max(map(len, self.bytes_of.values()))
-        # Tokens from their last byte backwards: byte -> node; None -> the token that ends here.
-        self.backwards: dict = {}
-        for token, raw in self.bytes_of.items():
-            node = self.backwards
-            for byte in reversed(raw):
-                node = node.setdefault(byte, {})
-            node[None] = token
+
+    @cached_property
+    def tree(self) -> dict[int, tuple[int, int | None]]:
+        """Tokens byte by byte: node + byte -> (node, the token that ends there).
+
+        Nodes are multiples of 256; the root is 0, and so is a node that no token goes on from.
+        """
+        inner: dict[bytes, int] = {b"": 0}
+        for raw in self.bytes_of.values():
+            for n in range(len(raw) - 1, 0, -1):
+                if raw[:n] in inner:
+                    break
+                inner[raw[:n]] = 256 * len(inner)
+        token_of = {raw: token for token, raw in self.bytes_of.items()}
+        return {
+            inner[raw[:-1]] + raw[-1]: (inner.get(raw, 0), token_of.get(raw))
+            for raw in {**inner, **token_of}
+            if raw
+        }
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merge list leaves these two tokens side by side.
@@ -117,65 +133,89 @@ class MergeList:
         return max(farthest.values(), default=0)
 
 
+class State(dict):
+    """Where some bytes lead to. As a dict it remembers the states that one more byte leads to.
+
+    ``open`` lists the open positions from left to right, each as the node that the bytes behind
+    it lead to and the token before it; the last one is where the bytes end. ``last`` is the token
+    that ends there, ``width`` how many bytes it has.
+    """
+
+    __slots__ = ("last", "open", "width")
+
+    def __init__(self, open_positions: tuple[int | None, ...], width: int):
+        self.open, self.last, self.width = open_positions, open_positions[-1], width
+
+
 class Memory:
     """What transducers of one model have found out so far."""
 
     def __init__(self):
         self.borders: dict[tuple[int, int], bool] = {}
-        self.next: dict[int, int] = {}  # 256 * prefix + byte -> prefix; the empty one is 0
-        self.last: list[int] = [-1]  # last token of each prefix
+        self.start = State((0, None), 0)
+        self.last: dict[tuple[int | None, ...], State] = {}  # states by what the last bytes leave open
+        self.entries = 0  # their open positions, and the steps between them
 
     def trim(self) -> None:
-        if len(self.borders) > BORDERS:
+        if len(self.borders) >= BORDERS:
             self.borders.clear()
-        if len(self.last) > PREFIXES:
-            self.next.clear()
-            del self.last[1:]
+        if len(self.last) >= PREFIXES or self.entries >= ENTRIES:
+            self.start.clear()
+            for state in self.last.values():  # they lead to each other
+                state.clear()
+            self.last.clear()
+            self.entries = 0
 
 
 class Transducer:
     """Bytes of one piece in, stable tokens out."""
 
     def __init__(self, model: MergeList, memory: Memory):
-        memory.trim()
         self.model, self.memory = model, memory
-        self.prefix = 0  # what was read, as long as it is short
-        self.held = bytearray()  # bytes after the last emitted token
-        self.ends: list[int] = []  # last token of each held position
-        self.before: int | None = None  # the last emitted token
+        self.state = memory.start
+        self.held: list[State] = []  # of each position after the last emitted token
         self.most = 2 * (model.lookahead + model.longest)
 
-    def _last_token(self, byte: int) -> int:
-        """The token that ends at the next byte and fits the one it follows.
+    def _step(self, state: State, byte: int) -> State:
+        """The state behind the next byte.
 
-        Just one does; the longest is the likeliest.
+        Just one of the tokens that end there fits the one it follows; the longest is the
+        likeliest, and that of one byte needs no check.
         """
-        held, borders = self.held, self.memory.borders
-        node, at, found = self.model.backwards.get(byte), len(held), []
-        while node is not None:
-            if None in node:
-                found.append((at, node[None]))
-            if not at:
-                break
-            at -= 1
-            node = node.get(held[at])
-        while True:
-            at, token = found.pop()
-            left = self.ends[at - 1] if at else self.before
-            if left is None or not found:
-                return token
-            good = borders.get((left, token))
-            if good is None:
-                good = borders[left, token] = self.model.fits(left, token)
-            if good:
-                return token
+        model, memory = self.model, self.memory
+        memory.trim()
+        tree, borders = model.tree, memory.borders
+        going_on, last = [], None
+        ways = iter(state.open)
+        for node, left in zip(ways, ways):
+            found = tree.get(node + byte)
+            if found is None:
+                continue
+            inner, token = found
+            if last is None and token is not None:
+                good = left is None or not node or borders.get((left, token))
+                if good is None:
+                    good = borders[left, token] = model.fits(left, token)
+                if good:
+                    last = token
+            if inner:
+                going_on += (inner, left)
+        key = (*going_on, 0, last)
+        after = memory.last.get(key)
+        if after is None:
+            after = memory.last[key] = State(key, len(model.bytes_of[last]))
+            memory.entries += len(key) // 2
+        state[byte] = after
+        memory.entries += 1
+        return after
 
     def _path(self, position: int) -> list[int]:
         """Tokens from the first held byte up to ``position``."""
-        tokens = []
+        tokens, held = [], self.held
         while position:
-            tokens.append(self.ends[position - 1])
-            position -= len(self.model.bytes_of[tokens[-1]])
+            state = held[position - 1]
+            tokens.append(state.last)
+            position -= state.width
         return tokens[::-1]
 
     def _stable(self) -> int:
@@ -185,36 +225,28 @@ class Transducer:
         while len(open_ends) > 1:
             latest = max(open_ends)
             open_ends.remove(latest)
-            open_ends.add(latest - len(self.model.bytes_of[self.ends[latest - 1]]))
+            open_ends.add(latest - self.held[latest - 1].width)
         return open_ends.pop()
 
     def feed(self, raw: bytes) -> list[int]:
         """Read bytes; the tokens that have become stable."""
-        held, ends, memory = self.held, self.ends, self.memory
+        held, state = self.held, self.state
         out: list[int] = []
-        for byte in raw:
-            key = 256 * self.prefix + byte
-            known = memory.next.get(key) if self.prefix >= 0 else None
-            if known is not None:
-                self.prefix = known
-                held.append(byte)
-                ends.append(memory.last[known])
-                continue
-            token = self._last_token(byte)
-            held.append(byte)
-            ends.append(token)
-            if self.prefix >= 0:
-                if len(held) < SHORT:
-                    self.prefix = memory.next[key] = len(memory.last)
-                    memory.last.append(token)
-                else:
-                    self.prefix = -1
+        at = 0
+        while at < len(raw):
+            part = raw[at : at + max(1, self.most - len(held))]
+            at += len(part)
+            for byte in part:
+                try:
+                    state = state[byte]
+                except KeyError:
+                    state = self._step(state, byte)
+                held.append(state)
             if len(held) >= self.most:
                 position = self._stable()
-                if position:
-                    out += self._path(position)
-                    self.before = out[-1]
-                    del held[:position], ends[:position]
+                out += self._path(position)
+                del held[:position]
+        self.state = state
         return out
 
     def finish(self) -> list[int]:
@@ -226,6 +258,7 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, tuple[int, ...]] = {}
         self.model = MergeList(path)
         self.memory = Memory()
         self.pieces = regex.compile(PIECES)
@@ -233,10 +266,13 @@ class Encoder(dict):
         self.special = regex.compile(f"({'|'.join(names)})") if names else None
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        transducer = Transducer(self.model, self.memory)
-        ids = (*transducer.feed(piece.encode()), *transducer.finish())
+        ids = self.older.get(piece)
+        if ids is None:
+            transducer = Transducer(self.model, self.memory)
+            ids = (*transducer.feed(piece.encode()), *transducer.finish())
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -283,10 +319,11 @@ class Decoder:
 
     def __init__(self, model: MergeList):
         self.bytes_of = model.bytes_of | {i: t.encode() for t, i in model.special.items()}
+        self._bytes = self.bytes_of.__getitem__
         self.state = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join([self.bytes_of[i] for i in ids]))
+        return self.state.decode(b"".join(map(self._bytes, ids)))
 
     def finish(self) -> str:
         rest = self.state.decode(b"", final=True)
@@ -306,7 +343,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         decoder = Decoder(encoder.model)
-        decimal = {i: str(i) for i in decoder.bytes_of}
+        decimal = {i: str(i) for i in decoder.bytes_of}.__getitem__
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -317,7 +354,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
                     if n:
                         listed.update(b",")
                     n += len(ids)
-                    listed.update(",".join([decimal[i] for i in ids]).encode())
+                    listed.update(",".join(map(decimal, ids)).encode())
                     back.update(decoder.feed(ids).encode())
                 back.update(decoder.finish().encode())
                 rows.append((n, listed.hexdigest(), back.hexdigest()))

@@ -115,6 +115,45 @@ def test_memory_is_bounded(encoder, monkeypatch, library):
     assert len(own) <= 10 and len(own.memory.last) <= 50 + 2 * bpe.SHORT
 
 
+def test_new_words_take_known_steps(encoder, library):
+    rng = random.Random(9)
+    parts = ("an", "der", "ing", "qu", "é", "st")
+    words = list(dict.fromkeys(" " + "".join(rng.choices(parts, k=6)) for _ in range(8_000)))
+    memory = bpe.Memory()
+
+    def states_after(some):
+        for word in some:
+            transducer = bpe.Transducer(encoder.model, memory)
+            assert transducer.feed(word.encode()) + transducer.finish() == encoder.encode(word)
+        return len(memory.last)
+
+    half = len(words) // 2
+    first, both = states_after(words[:half]), states_after(words[half:])
+    seen = {word[:k] for word in words[:half] for k in range(1, len(word) + 1)}
+    new = {word[:k] for word in words[half:] for k in range(1, len(word) + 1)} - seen
+    assert both - first < 0.02 * len(new)  # one each, when every prefix is a state of its own
+    both_ways(encoder, library, "".join(words))
+
+
+def test_frequent_pieces_outlast_a_full_table(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    own, fed, feed = bpe.Encoder(vocabulary()), [], bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, raw: fed.append(raw) or feed(self, raw))
+    for i in range(500):
+        own.encode(f" often w{chr(97 + i % 26)}{chr(97 + i // 26)}")
+    assert fed.count(b" often") == 1
+    assert len(own) <= 50 and len(own.older) <= 50
+
+
+@pytest.mark.parametrize("limit", ["PREFIXES", "ENTRIES", "BORDERS"])
+def test_memory_that_starts_anew_inside_a_piece(monkeypatch, library, limit):
+    monkeypatch.setattr(bpe, limit, 7)
+    own, rng = bpe.Encoder(vocabulary()), random.Random(3)
+    for letters in ("a", "=", "abcdeinrst"):
+        both_ways(own, library, "".join(rng.choice(letters) for _ in range(5_000)))
+    assert len(own.memory.last) <= max(7, bpe.PREFIXES) and own.memory.entries <= max(300, bpe.ENTRIES)
+
+
 def test_decoder_holds_back_broken_characters(encoder):
     decoder = bpe.Decoder(encoder.model)
     first, second = (next(i for i, t in encoder.model.bytes_of.items() if t == b) for b in (b"\xc3", b"\xa9"))
